@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, url_rules
+from . import chat, mixing, sharding, toxicity, url_rules
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
     "op3_url_rules": url_rules.op3_url_rules,
+    "op4_chat_format": chat.op4_chat_format,
     "op6_mixing": mixing.op6_mixing,
 }
 
 ORACLES = {
     "op3_url_rules": url_rules.ORACLE,
+    "op4_chat_format": chat.ORACLE,
     "op6_mixing": mixing.ORACLE,
 }
