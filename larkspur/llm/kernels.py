@@ -109,6 +109,24 @@ def ngrams(word_hash: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Flags of the values that stand in the array twice or more."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    out = np.zeros(len(keys), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def seen_before(keys: np.ndarray) -> np.ndarray:
+    """Flags of the values that stand further left in the array too."""
+    order = np.argsort(keys, kind="stable")
+    out = np.zeros(len(keys), bool)
+    out[order[1:][keys[order][1:] == keys[order][:-1]]] = True
+    return out
+
+
 def run_starts(x: np.ndarray) -> np.ndarray:
     """Begin of each run of equal values."""
     if not len(x):
@@ -118,10 +136,8 @@ def run_starts(x: np.ndarray) -> np.ndarray:
 
 def covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Flags of the places that lie in any of the half-open spans."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, begin, 1)
-    np.add.at(change, end, -1)
-    return np.cumsum(change[:-1]) > 0
+    change = np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+    return np.cumsum(change[:n]) > 0
 
 
 def spans_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

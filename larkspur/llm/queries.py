@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding, toxicity, url_rules
+from . import chat, mixing, quality, sharding, toxicity, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_rules": url_rules.op3_url_rules,
     "op4_chat_format": chat.op4_chat_format,
     "op6_mixing": mixing.op6_mixing,
+    "op8_quality": quality.op8_quality,
 }
 
 ORACLES = {
