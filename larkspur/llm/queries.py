@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, sharding, toxicity, url_rules
+from . import chat, decontaminate, mixing, quality, sharding, toxicity, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
     "op3_url_rules": url_rules.op3_url_rules,
     "op4_chat_format": chat.op4_chat_format,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_mixing": mixing.op6_mixing,
     "op8_quality": quality.op8_quality,
 }
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLES = {
     "op3_url_rules": url_rules.ORACLE,
     "op4_chat_format": chat.ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
     "op6_mixing": mixing.ORACLE,
 }
