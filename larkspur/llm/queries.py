@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality, sharding, toxicity, url_rules
+from . import chat, decontaminate, lm_score, mixing, quality, sharding, toxicity, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat_format": chat.op4_chat_format,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_mixing": mixing.op6_mixing,
+    "op7_lm_score": lm_score.op7_lm_score,
     "op8_quality": quality.op8_quality,
 }
 
