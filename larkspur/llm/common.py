@@ -88,3 +88,32 @@ def ids(column: pa.Array, null: int = -(1 << 63)) -> np.ndarray:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns and nothing else, so that other columns with clashing names do no harm."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def bit_sketch(rows: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
+    """A bitmap of the hashed ids of a column, of a fixed size: has() is true for each of them, and for few others while it is sparse.
+
+    It only spares shuffling what is surely not wanted; whoever uses it must not rely on it beyond that.
+    """
+    from .kernels import mix
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            place = mix(ids(batch.column(0)).astype(np.uint64)) & np.uint64(bits - 1)
+            np.bitwise_or.at(held, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at].view(np.int64))], ["place", "mask"])
+
+    masks = only(rows, column).mapInArrow(run, "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[masks.column("place").to_numpy()] = masks.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def has(sketch: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which ids may be in the sketch."""
+    from .kernels import mix
+
+    place = mix(values.astype(np.uint64)) & np.uint64(len(sketch) * 64 - 1)
+    return (sketch[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
