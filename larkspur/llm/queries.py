@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lm_score, mixing, quality, sharding, suffix_dedup, toxicity, url_rules
+from . import chat, decontaminate, jaccard_join, lm_score, mixing, quality, sharding, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_lm_score": lm_score.op7_lm_score,
     "op8_quality": quality.op8_quality,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
