@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ids, only, slices, table, text_bytes
+from .common import ids, numbered, only, slices, table, text_bytes
 from .kernels import ALNUM, covered, fold_case, ngrams, prefix_hash, span_hash, spans_of, words
 
 #: Words that decide whether a position enters the suffix array.
@@ -212,7 +212,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, bloc
     repeated documents each is found; repeated items count once.
     """
     spark = docs.sparkSession
-    rows = only(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = numbered(docs, "doc_id", "text")
     parts = []
     for k, bench in enumerate(_blocks(benchmark, window, block_words)):
         shared = spark.sparkContext.broadcast(bench)
