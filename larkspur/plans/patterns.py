@@ -148,8 +148,9 @@ def funnel(events: DataFrame, steps: tuple[str, ...], user: str = "user_id", kin
     reached = F.array_min("t0")
     flags = [reached.isNotNull()]
     columns = times.withColumn("r0", reached)
+    since = lambda before: lambda t: t >= F.col(before)
     for i in range(1, len(steps)):
-        columns = columns.withColumn(f"r{i}", F.array_min(F.filter(f"t{i}", lambda t, i=i: t >= F.col(f"r{i - 1}"))))
+        columns = columns.withColumn(f"r{i}", F.array_min(F.filter(f"t{i}", since(f"r{i - 1}"))))
         flags.append(F.col(f"r{i}").isNotNull())
     counts = columns.agg(*[F.count(F.col(f"r{i}")).alias(f"n{i}") for i in range(len(steps))])
     rows = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(s).alias("name"), F.col(f"n{i}").alias("users"), F.col("n0").alias("first")) for i, s in enumerate(steps)]))

@@ -1,7 +1,7 @@
 """The driver's star schema bound to the retail model.
 
 What the star lacks is derived from its keys, the same way here and in the SQL of SQL_VIEWS. The order status F is Completed, O Pending and P Cancelled. The
-amount of a line is l_extendedprice; its unit price is amount / quantity.
+amount of a line is l_extendedprice; its unit price is amount / quantity. Lines have no key in the star, so line_id is null.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Database:
         F.lit(0).cast("decimal(5,2)").alias("discount_pct"), none("string").alias("notes"), status.alias("status"), F.lit(False).alias("requires_approval"), none("int").alias("invoice_id"), none("timestamp_ntz").alias("updated_at"), none("timestamp_ntz").alias("processed_at"),
     )
     amount = money("l_extendedprice")
-    lines = t["lineitem"].select(c("l_orderkey").alias("order_id"), c("l_partkey").alias("product_id"), c("l_quantity").cast("smallint").alias("quantity"), money(amount / c("l_quantity").cast("decimal(5,0)")).alias("unit_price"), amount.alias("line_total"), amount.alias("line_amount"))
+    lines = t["lineitem"].select(none("int").alias("line_id"), c("l_orderkey").alias("order_id"), c("l_partkey").alias("product_id"), c("l_quantity").cast("smallint").alias("quantity"), money(amount / c("l_quantity").cast("decimal(5,0)")).alias("unit_price"), amount.alias("line_total"), amount.alias("line_amount"))
     key = c("p_partkey")
     products = t["part"].select(
         key.alias("product_id"), F.concat(F.lit("SKU-"), key).alias("sku"), c("p_name").alias("product_name"), c("p_type").alias("category"), c("p_size").alias("category_id"), money("p_retailprice").alias("price"), c("p_size").cast("decimal(10,3)").alias("weight_lbs"),
