@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from .common import partitions_for
 
 #: Buckets for each partition, so that hashing them to partitions stays even.
-PER_PARTITION = 8
+PER_PARTITION = 4
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -54,7 +54,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts.astype(np.int64), at)
 
 
-def buckets_for(docs: DataFrame, each_bytes: int = 8 << 20) -> tuple[int, int]:
+def buckets_for(docs: DataFrame, each_bytes: int = 3 << 20) -> tuple[int, int]:
     """Partitions and buckets for records whose volume follows the input of docs."""
     n = partitions_for(docs, each_bytes)
     return n, n * PER_PARTITION
