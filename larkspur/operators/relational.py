@@ -36,10 +36,12 @@ def with_total(df: DataFrame, paged: DataFrame) -> DataFrame:
 
 def spine(spark: SparkSession, start: date, end: date, unit: str = "month") -> DataFrame:
     """period_start of every period that overlaps [start, end): no gaps."""
+    if start >= end:
+        return spark.createDataFrame([], "period_start date")
     first, last = F.lit(start).cast("date"), F.date_sub(F.lit(end).cast("date"), 1)
     step = F.expr({"month": "interval 1 month", "quarter": "interval 3 months", "week": "interval 7 days", "day": "interval 1 day"}[unit])
     begin = F.trunc(first, unit) if unit != "day" else first
-    return spark.range(1).where(first <= last).select(F.explode(F.sequence(begin, last, step)).alias("period_start"))
+    return spark.range(1).select(F.explode(F.sequence(begin, last, step)).alias("period_start"))
 
 
 def allocated(existing: DataFrame, key: str, fresh: DataFrame, order: list[Column]) -> DataFrame:
