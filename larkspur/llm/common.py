@@ -92,21 +92,33 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 
 
 def bit_sketch(rows: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
-    """A bitmap of the hashed ids of a column, of a fixed size: has() is true for each of them, and for few others while it is sparse.
+    """A bitmap of the hashed ids of a column (long, or packed as bytes), of a fixed size: has() is true for each of them, and for few others while it is sparse.
 
     It only spares shuffling what is surely not wanted; whoever uses it must not rely on it beyond that.
     """
+    from .blobs import packed, unpacked
     from .kernels import mix
 
+    segment = 4096  # words of the bitmap that go together
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(bits // 64, np.uint64)
         for batch in batches:
-            place = mix(ids(batch.column(0)).astype(np.uint64)) & np.uint64(bits - 1)
+            values = unpacked(batch.column(0), np.int64) if pa.types.is_binary(batch.column(0).type) else ids(batch.column(0))
+            place = np.unique(mix(values.astype(np.uint64)) & np.uint64(bits - 1))
             np.bitwise_or.at(held, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
         at = np.flatnonzero(held)
+        yield packed(0, at // segment, [at, held[at]], ["place", "mask"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            np.bitwise_or.at(held, unpacked(batch.column("place"), np.int64), unpacked(batch.column("mask"), np.uint64))
+        at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at].view(np.int64))], ["place", "mask"])
 
-    masks = only(rows, column).mapInArrow(run, "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
+    parts = only(rows, column).mapInArrow(run, "kind int, bucket int, place binary, mask binary")
+    masks = parts.repartition(max(1, bits // 64 // segment), "bucket").mapInArrow(join, "place long, mask long").toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[masks.column("place").to_numpy()] = masks.column("mask").to_numpy().view(np.uint64)
     return out
@@ -131,6 +143,17 @@ def numbered(docs: DataFrame, *names: str) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{n}`") for n in names])
 
 
+def possible(rows: DataFrame, column: str, sketch: np.ndarray) -> DataFrame:
+    """The ids of a column that may be in the sketch."""
+    shared = rows.sparkSession.sparkContext.broadcast(sketch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has(shared.value, ids(batch.column(0)))))
+
+    return only(rows, column).mapInArrow(run, f"{column} long")
+
+
 def lean(run):
     """A batch function that gives memory back when a task ends: workers stay for other tasks, and several share an executor."""
 

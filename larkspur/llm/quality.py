@@ -230,8 +230,9 @@ def judge_quality(docs: DataFrame, labels: DataFrame, least_content: float = 0.5
 
 def _keep(chain: Chain, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        verdict = next(_judge(chain, least, iter([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], ["doc_id", "text"])])))
-        whole = batch.filter(verdict.column("kept"))
+        rows = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], ["doc_id", "text"])
+        kept = np.concatenate([np.asarray(verdict.column("kept")) for verdict in _judge(chain, least, iter([rows]))])
+        whole = batch.filter(pa.array(kept))
         if whole.num_rows:
             yield whole
 

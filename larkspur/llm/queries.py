@@ -22,4 +22,6 @@ ORACLES = {
     "op4_chat_format": chat.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
+    "op10_suffix_dedup": suffix_dedup.ORACLE,
 }

@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import bucket_of, buckets_for, packed, unpacked
-from .common import bit_sketch, has, ids, only, slices, table, text_bytes, written
+from .common import bit_sketch, has, ids, lean, numbered, only, possible, slices, table, text_bytes, written
 from .kernels import mix, prefix_hash, run_starts, span_hash, window_hash
 
 U = np.uint64
 WIDTH, GRAM = 50, 24
 SLICE = 1 << 19
-FLUSH = 2_000_000
+FLUSH = 400_000
 #: Windows that are ordered at once; the places of one anchor are never parted.
-ORDER_AT_ONCE = 200_000
+ORDER_AT_ONCE = 100_000
 PAIRS = "kind int, bucket int, key binary, row binary"
 TEXTS = "bucket int, row long, doc_id long, text string, key binary, rows binary"
 PIECES = "kind int, bucket int, anchor binary, row binary, doc_id binary, at binary, size binary, bytes binary"
@@ -135,11 +135,6 @@ def _emit_shared(n_buckets: int):
     return run
 
 
-def _rows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(unpacked(batch.column(0), np.int64)))], ["row"])
-
-
 def _wanted(sketch: np.ndarray, n_buckets: int):
     """The texts of rows that may be in the sketch, with their bucket."""
 
@@ -177,7 +172,7 @@ def _emit_pieces(n_buckets: int, width: int, gram: int):
         shared = np.unique(np.concatenate([np.zeros(0, U), *(_pair_key(unpacked(r.column("key"), U), unpacked(r.column("rows"), np.int64)) for r in records)]))
         if not len(shared):
             return
-        for batch in slices(iter(texts), "text", 8 << 20):
+        for batch in slices(iter(texts), "text", 2 << 20):
             data, starts = text_bytes(batch.column("text"))
             low, inside = anchors(data, starts, width, gram)
             begin, end = _stretches(low, inside)
@@ -258,7 +253,8 @@ def _factors(n_buckets: int, width: int):
         places = size - width + 1
         group = run_starts(anchor[order])
         lone = np.diff(np.append(group, len(order))) == 1
-        order, part = order[np.repeat(~lone, np.diff(np.append(group, len(order))))], np.arange(width)
+        order = order[np.repeat(~lone, np.diff(np.append(group, len(order))))]
+        windows = np.lib.stride_tricks.sliding_window_view(data, width)
         total, bounds = np.cumsum(places[order]), run_starts(anchor[order])
         edges, done = [0], 0
         for b in bounds[1:].tolist():  # whole anchors, about ORDER_AT_ONCE windows at once
@@ -271,7 +267,7 @@ def _factors(n_buckets: int, width: int):
                 continue
             n = places[mine]
             start = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-            gone = earlier_factor(data[start[:, None] + part], np.repeat(doc_id[mine], n))
+            gone = earlier_factor(windows[start], np.repeat(doc_id[mine], n))
             piece = np.repeat(np.arange(len(mine)), n)
             # runs of places that go, within each piece
             on = gone.copy()
@@ -317,24 +313,23 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     shorter than width lose nothing. An empty table gives an empty result.
     """
     parts, n_buckets = buckets_for(docs)
-    source = only(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    source = numbered(docs, "doc_id", "text").select("row", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     raw = F.col("text").cast("binary")
     keyed = written(source.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("text_sha256")), "dedup-keys")
     smallest = keyed.groupBy("text_sha256").agg(F.min("doc_id").alias("first_id"))
     keyed = written(keyed.join(smallest, "text_sha256"), "dedup-classes")
-    shared = source.select("row", "text").mapInArrow(_emit_anchors(n_buckets, width, gram), PAIRS).repartition(parts, "bucket").mapInArrow(_emit_shared(n_buckets), PAIRS)
+    shared = source.select("row", "text").mapInArrow(lean(_emit_anchors(n_buckets, width, gram)), PAIRS).repartition(parts, "bucket").mapInArrow(lean(_emit_shared(n_buckets)), PAIRS)
     shared = written(shared, "dedup-anchors")
-    with_shared = shared.select("row").mapInArrow(_rows_in, "row long").distinct()
-    owners = keyed.where("doc_id = first_id").join(with_shared, "row", "left_semi").select("row")
+    owners = possible(keyed.where("doc_id = first_id"), "row", bit_sketch(shared, "row"))
     first = docs.sparkSession.sparkContext.broadcast(bit_sketch(owners, "row"))
     texts = source.mapInArrow(lambda batches: _wanted(first.value, n_buckets)(batches), TEXTS)
     empty = [F.lit(None).cast(t).alias(n) for n, t in (("row", "long"), ("doc_id", "long"), ("text", "string"))]
-    pieces = texts.unionByName(shared.select("bucket", *empty, "key", F.col("row").alias("rows"))).repartition(parts, "bucket").mapInArrow(_emit_pieces(n_buckets, width, gram), PIECES)
-    spans = written(pieces.repartition(parts, "bucket").mapInArrow(_factors(n_buckets, width), SPANS), "dedup-spans")
-    second = docs.sparkSession.sparkContext.broadcast(bit_sketch(spans.select("row").mapInArrow(_rows_in, "row long"), "row"))
+    pieces = texts.unionByName(shared.select("bucket", *empty, "key", F.col("row").alias("rows"))).repartition(parts, "bucket").mapInArrow(lean(_emit_pieces(n_buckets, width, gram)), PIECES)
+    spans = written(pieces.repartition(parts, "bucket").mapInArrow(lean(_factors(n_buckets, width)), SPANS), "dedup-spans")
+    second = docs.sparkSession.sparkContext.broadcast(bit_sketch(spans, "row"))
     texts = source.mapInArrow(lambda batches: _wanted(second.value, n_buckets)(batches), TEXTS).select("bucket", "row", "text", F.lit(None).cast("binary").alias("rows"), F.lit(None).cast("binary").alias("begin"), F.lit(None).cast("binary").alias("end"))
     packed_spans = spans.select("bucket", F.lit(None).cast("long").alias("row"), F.lit(None).cast("string").alias("text"), F.col("row").alias("rows"), "begin", "end")
-    cut = texts.unionByName(packed_spans).repartition(parts, "bucket").mapInArrow(_cut, CUT)
+    cut = texts.unionByName(packed_spans).repartition(parts, "bucket").mapInArrow(lean(_cut), CUT)
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= width)
     none = F.array().cast("array<long>")
     real_id = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id"))
@@ -350,3 +345,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     n_removed = F.aggregate(F.zip_with("begin", "end", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("begin").cast("long").alias("n_spans"), F.when(F.col("kept").isNull(), F.col("text_sha256")).otherwise(F.sha2("kept", 256)).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), w AS (SELECT doc_id, k, array_slice(b, k, k + 49) AS s FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS k FROM d WHERE n >= 50)
+), g AS (SELECT doc_id, k FROM w JOIN (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s) USING (s) WHERE doc_id > first_id
+), i AS (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM (SELECT doc_id, k, CASE WHEN k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50 THEN 1 ELSE 0 END AS fresh FROM g)
+), r AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS e FROM i GROUP BY doc_id, island
+), edges AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 1) AS x, a AS y FROM r UNION ALL SELECT doc_id, max(e), max(n) + 1 FROM r JOIN d USING (doc_id) GROUP BY doc_id
+), kept AS (SELECT doc_id, sha256(unhex(string_agg(CASE WHEN y > x THEN hex(array_slice(b, x, y - 1)) ELSE '' END, '' ORDER BY x))) AS digest FROM edges JOIN d USING (doc_id) GROUP BY doc_id
+), sums AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(digest, sha256(b)) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
