@@ -54,7 +54,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts.astype(np.int64), at)
 
 
-def buckets_for(docs: DataFrame, each_bytes: int = 3 << 20) -> tuple[int, int]:
-    """Partitions and buckets for records whose volume follows the input of docs."""
-    n = partitions_for(docs, each_bytes)
+def buckets_for(rows: DataFrame, each_bytes: int = 3 << 19) -> tuple[int, int]:
+    """Partitions and buckets for records whose volume follows the texts of numbered() rows. Of anything else Catalyst may not know the size."""
+    n = partitions_for(rows, each_bytes)
     return n, n * PER_PARTITION

@@ -135,10 +135,11 @@ def has(sketch: np.ndarray, values: np.ndarray) -> np.ndarray:
 def numbered(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns and row, a number of each row that is the same in every later job.
 
-    Over a plain scan it is the place in the scan; anything else is written first, as its rows could come in another order next time.
+    Over a plain scan it is the place in the scan; anything else is written first, as its rows could come in another order next time. So the size of
+    the result is always known from files.
     """
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    plain = all(line.strip(" :+-").startswith(("Project", "Filter", "Relation", "LocalRelation", "LogicalRDD")) for line in plan.splitlines() if line.strip())
+    plain = all(line.strip(" :+-").startswith(("Project", "Filter", "Relation", "LocalRelation")) for line in plan.splitlines() if line.strip())
     rows = only(docs, *names) if plain else written(only(docs, *names), "numbered")
     return rows.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{n}`") for n in names])
 

@@ -312,8 +312,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     all are judged on the input. A null text is empty; a null id is smaller than all others. Rows of equal id don't take from each other. Texts
     shorter than width lose nothing. An empty table gives an empty result.
     """
-    parts, n_buckets = buckets_for(docs)
-    source = numbered(docs, "doc_id", "text").select("row", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = numbered(docs, "doc_id", "text")
+    parts, n_buckets = buckets_for(rows)
+    source = rows.select("row", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     raw = F.col("text").cast("binary")
     keyed = written(source.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("text_sha256")), "dedup-keys")
     smallest = keyed.groupBy("text_sha256").agg(F.min("doc_id").alias("first_id"))
