@@ -90,8 +90,7 @@ def _emit_anchors(n_buckets: int, width: int, gram: int):
             at = bucket_of(one, n_buckets)
             order = np.argsort(at, kind="stable")
             cut = run_starts(at[order])
-            spread = np.insert((first - base)[order].astype(np.uint32), cut, 0)
-            low = np.insert(spread, cut, 0)
+            low = np.insert((first - base)[order].astype(np.uint32), np.repeat(cut, 2), 0)
             where = cut + 2 * np.arange(len(cut))
             low[where], low[where + 1] = base & 0xFFFFFFFF, base >> 32
             bounds = np.append(where, len(low)) * 4
