@@ -44,7 +44,8 @@ class Benchmark:
         sizes = np.bincount(item, minlength=len(item_ids))
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         self.vocabulary = np.unique(word)
-        self.depth = int(sizes.max(initial=1))
+        #: one more than the longest suffix, so that each window leaves a place where anything may stand
+        self.depth = int(sizes.max(initial=1)) + 1
         number = (np.searchsorted(self.vocabulary, word) + 1).astype(np.int32)
         self.item = item
         self.place = np.arange(len(word)) - self.first[item]
