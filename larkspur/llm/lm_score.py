@@ -1,14 +1,14 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The unigrams and bigrams of the training documents are counted exactly, by a shuffle that grows with the corpus. A count c is quantised as
-q = 1 + floor(log2 c) and held in a Bloom filter of fixed size as the q keys (n-gram, 1) .. (n-gram, q): probing one after another until a miss reads
-it back, never too low, and too high with a chance that falls geometrically. n-grams below the least level that fits the filter's capacity are left
-out of it; they back off to the exact unigram, so the filter's size bounds what is broadcast and not what is counted.
+Each slice of documents sends its words and bigrams, once each and with their counts in the training documents, to the task of their bucket. There they are
+counted exactly. A count c is quantised as q = 1 + floor(log2 c) and held in a Bloom filter as the q keys (n-gram, 1) .. (n-gram, q): probing one after
+another until a miss reads it back, never too low, and too high with a chance that falls geometrically. The filter is sized by the counted keys of the task,
+in segments of a fixed size, so every n-gram is in it however large the corpus is; nothing is broadcast. The slice gets back the filter's count of
+each of its words and bigrams, and the exact one of its words.
 
-    P(w | h) = a(h) * f(h, w) / f(h) + (1 - a(h)) * (c(w) + 0.1) / (N + 0.1 (V + 1)),   a(h) = MOST * f(h) / (f(h) + PRIOR)
+    P(w | h) = a(h) * f(h, w) / f(h) + (1 - a(h)) * (c(w) + 0.1) / (N + 0.1 (V + 1)),   a(h) = MOST if h is known, else 0
 
-f is the filter's count and c the exact one. The counts of frequent words, a bounded table, go along with the filter; the
-other words of each document meet their counts in a second shuffle.
+f is the filter's count and c the exact one. a doesn't depend on how large the corpus is.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import bucket_of, buckets_for, packed, summed, unpacked
-from .common import ids, lean, numbered, only, slices, table, text_bytes, written
-from .kernels import BASE, NOT_SPACE, fold_case, mix, prefix_hash, span_hash, words
+from .blobs import bucket_of, buckets_for, packed, unpacked
+from .common import ids, lean, numbered, partitions_for, slices, table, text_bytes, written
+from .kernels import BASE, NOT_SPACE, fold_case, mix, prefix_hash, run_starts, span_hash, words
 from .toxicity import fold
 
 U = np.uint64
@@ -31,12 +32,13 @@ END, START = U(0x51ED270B5F1D3C9B), U(0x2545F4914F6CDD1D)
 SEGMENT_BITS = 1 << 19
 PROBES = 6
 LEVELS = 48
-FLUSH = 1_000_000
-MOST, PRIOR = 0.5, 20_000.0
-COUNTS = "kind int, bucket int, keys binary, counts binary"
-PARTS = "kind int, bucket int, row binary, doc_id binary, held_out binary, keys binary, n binary, seen binary, base binary, score binary"
-FIELDS = ["row", "doc_id", "held_out", "keys", "n", "seen", "base", "score"]
-SUMS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+#: Text bytes that ask for their counts together.
+ASK_BYTES = 1 << 22
+MOST = 0.5
+ASKED = "kind int, bucket int, keys binary, counts binary, slice long"
+#: Kind 0: the documents of a slice; 1 and 2: what is known of its words and bigrams; 3: sums of a partition.
+ANSWERS = "kind int, bucket int, slice long, counts binary, levels binary, tokens long, types long"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,45 +62,17 @@ def _pair(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(before * U(BASE) + token)
 
 
-def _count(n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {1: [], 2: []}
-
-        def flush(kind: int) -> pa.RecordBatch:
-            keys, counts = summed(np.concatenate([k for k, _ in held[kind]]), np.concatenate([c for _, c in held[kind]]))
-            held[kind] = []
-            return packed(kind, bucket_of(keys, n_buckets), [keys, counts.astype(np.uint32)], ["keys", "counts"])
-
-        for batch in slices(batches, "text"):
-            token, before, _ = _tokens(batch)
-            for kind, keys in ((1, token), (2, _pair(before, token))):
-                held[kind].append(np.unique(keys, return_counts=True))
-                if sum(len(k) for k, _ in held[kind]) > FLUSH:
-                    yield flush(kind)
-        for kind in (1, 2):
-            if held[kind]:
-                yield flush(kind)
-
-    return run
-
-
-def _gather(n_buckets: int):
-    """Sums the counts of a partition; bigrams found once are dropped, as the filter takes none."""
+def _ask(n_buckets: int):
+    """Of each slice, its words (kind 1) and bigrams (kind 2) once each, with their counts in rows to learn from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list] = {1: [], 2: []}
-        for batch in batches:
-            kinds = batch.column("kind").to_numpy()
-            for kind in (1, 2):
-                part = batch.filter(pa.array(kinds == kind))
-                if part.num_rows:
-                    got[kind].append((unpacked(part.column("keys"), U).copy(), unpacked(part.column("counts"), np.uint32).copy()))
-        for kind, parts in got.items():
-            if parts:
-                keys, counts = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-                if kind == 2:
-                    keys, counts = keys[counts > 1], counts[counts > 1]
-                yield packed(kind, bucket_of(keys, n_buckets), [keys, counts], ["keys", "counts"])
+        for batch in slices(batches, "text", ASK_BYTES):
+            token, before, doc = _tokens(batch)
+            learnt = ~np.asarray(batch.column("held_out")).astype(bool)[doc]
+            for kind, keys in ((1, token), (2, _pair(before, token))):
+                key, at = np.unique(keys, return_inverse=True)
+                out = packed(kind, bucket_of(key, n_buckets), [key, np.bincount(at, learnt, len(key)).astype(np.uint32)], ["keys", "counts"])
+                yield out.append_column("slice", pa.array(np.full(out.num_rows, ids(batch.column("row"))[0])))
 
     return run
 
@@ -108,31 +82,6 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]
 
 
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for kind in (1, 2):
-            part = batch.filter(pa.array(batch.column("kind").to_numpy() == kind))
-            counts = unpacked(part.column("counts"), np.int64)
-            level = level_of(counts)
-            types = np.bincount(level, minlength=LEVELS)
-            total = np.bincount(level, counts, LEVELS).astype(np.int64)
-            at = np.flatnonzero(types)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(types[at]), pa.array(total[at])], ["kind", "level", "types", "tokens"])
-
-
-def _selected(kind: int, least: int, by_segment: int):
-    """The n-grams of a level or more, packed by segment of the filter (or as they are, with by_segment = 1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = batch.filter(pa.array(np.isin(batch.column("kind").to_numpy(), [kind] if kind else [1, 2])))
-            keys, counts = unpacked(part.column("keys"), U), unpacked(part.column("counts"), np.int64)
-            keep = level_of(counts) >= least
-            yield packed(kind, (keys[keep] % U(by_segment)).astype(np.int64), [keys[keep], counts[keep]], ["keys", "counts"])
-
-    return run
-
-
 def _places(keys: np.ndarray, level: np.ndarray | int, k: int) -> np.ndarray:
     """The bit, within its segment, of probe k for (n-gram, level)."""
     h = mix(keys + np.asarray(level).astype(U) * U(0xD6E8FEB86659FD93))
@@ -155,147 +104,164 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(mine, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
 
 
+def _probed(bits: np.ndarray, base: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The quantised count of each n-gram, 0 for none: probes of one level after another until a miss. Its segment begins at the byte base."""
+    out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
+    for j in range(1, LEVELS):
+        for k in range(PROBES):
+            place = _places(keys[left], j, k)
+            left = left[(bits[base[left] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 > 0]
+        if not len(left):
+            break
+        out[left] = j
+    return out
+
+
+def filter_levels(keys: np.ndarray, counts: np.ndarray, filter_bits: int) -> np.ndarray:
+    """What a filter of all keys with a count of 1 or more gives back for each key. It is sized by the counts; filter_bits are held at a time."""
+    level = level_of(counts)
+    segments = max(1, int(np.ceil(level.sum() * PROBES / np.log(2) / SEGMENT_BITS)))
+    segment = (keys % U(segments)).astype(np.int64)
+    out, most, size = np.zeros(len(keys), np.uint8), max(1, filter_bits // SEGMENT_BITS), SEGMENT_BITS // 8
+    for low in range(0, segments, most):
+        mine = np.flatnonzero((segment >= low) & (segment < low + most))
+        there = mine[counts[mine] > 0]
+        bits = np.zeros(min(most, segments - low) * size, np.uint8)
+        for filled in _filled(iter([packed(0, segment[there] - low, [keys[there], counts[there].astype(np.int64)], ["keys", "counts"])])):
+            for at, data in zip(filled.column("segment").to_pylist(), filled.column("bits").to_pylist()):
+                bits[at * size : (at + 1) * size] = np.frombuffer(data, np.uint8)
+        out[mine] = _probed(bits, (segment[mine] - low) * size, keys[mine])
+    return out
+
+
 class Model:
     def __init__(self, tokens: int, types: int, keys: np.ndarray, counts: np.ndarray, bits: np.ndarray, segments: int) -> None:
-        self.tokens, self.types = tokens, types
-        order = np.argsort(keys)
-        self.keys, self.counts, self.bits, self.segments = keys[order], counts[order], bits, segments
+        self.tokens, self.types, self.keys, self.counts, self.bits, self.segments = tokens, types, keys, counts, bits, segments
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.1) / (self.tokens + 0.1 * (self.types + 1))
 
-    def known(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts, and whether they are in the table of frequent words."""
-        if not len(self.keys):
-            return np.zeros(len(token), np.int64), np.zeros(len(token), bool)
-        at = np.minimum(np.searchsorted(self.keys, token), len(self.keys) - 1)
-        hit = self.keys[at] == token
-        return np.where(hit, self.counts[at], 0), hit
-
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """The quantised count of each n-gram, 0 for none: probes of one level after another until a miss."""
-        out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        base = (keys % U(self.segments)).astype(np.int64) * (SEGMENT_BITS // 8)
-        for j in range(1, LEVELS):
-            for k in range(PROBES):
-                place = _places(keys[left], j, k)
-                left = left[(self.bits[base[left] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 > 0]
-            if not len(left):
-                break
-            out[left] = j
-        return out
-
-    def bigram(self, before: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The share of the bigram and its estimate, for P = share * estimate + (1 - share) * unigram."""
-        size = np.array([0.0] + [2.0 ** (q - 1) * (1.5 if q > 1 else 1.0) for q in range(1, LEVELS + 1)])
-        history, at = np.unique(before, return_inverse=True)
-        whole = size[self.level(history)]
-        whole[history == START] = size[level_of(np.array([max(self.tokens and self.known(np.array([END]))[0][0], 1)]))[0]]
-        whole = whole[at]
-        pair, back = np.unique(_pair(before, token), return_inverse=True)
-        both = np.where(whole > 0, size[self.level(pair)][back], 0.0)
-        return MOST * whole / (whole + PRIOR), np.where(whole > 0, both / np.maximum(whole, np.maximum(both, 1.0)), 0.0)
-
-
-def _score(model: Model, n_buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of each document over frequent words (kind 0), and the other words to meet their counts (kind 1)."""
-    for batch in slices(batches, "text"):
-        token, before, doc = _tokens(batch)
-        n = batch.num_rows
-        row, doc_id = ids(batch.column("row")), ids(batch.column("doc_id"))
-        held = np.asarray(batch.column("held_out")).astype(np.uint8)
-        count, known = model.known(token)
-        share, estimate = model.bigram(before, token)
-        p = model.unigram(count)
-        base, score = np.where(known, np.log10(p), 0.0), np.where(known, np.log10(share * estimate + (1 - share) * p), 0.0)
-        per = lambda x: np.bincount(doc, x, n)
-        yield packed(0, bucket_of(mix(row.astype(U)), n_buckets), [row, doc_id, held, row.astype(U), np.bincount(doc, minlength=n), per(known).astype(np.int64), per(base), per(score)], FIELDS)
-        rare = np.flatnonzero(~known)
-        # equal words of a document with equal bigram terms are one record
-        order = rare[np.lexsort((estimate[rare], share[rare], doc[rare], token[rare]))]
-        if len(order):
-            new = np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (doc[order][1:] != doc[order][:-1]) | (share[order][1:] != share[order][:-1]) | (estimate[order][1:] != estimate[order][:-1])])
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(order)))
-            k = order[at]
-            yield packed(1, bucket_of(token[k], n_buckets), [row[doc[k]], doc_id[doc[k]], held[doc[k]], token[k], times, np.zeros(len(k), np.int64), share[k], share[k] * estimate[k]], FIELDS)
-
-
-def _meet(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins words and counts (kind 2) of a partition; gives sums by document."""
-    kinds = {"row": np.int64, "doc_id": np.int64, "held_out": np.uint8, "keys": U, "n": np.int64, "seen": np.int64, "base": np.float64, "score": np.float64}
-    words_, keys, counts = [], [], []
-    out = lambda row, doc_id, held, n, seen, base, score: pa.RecordBatch.from_arrays([pa.array(row), pa.array(doc_id, mask=doc_id == -(1 << 63)), pa.array(held.astype(bool)), pa.array(n), pa.array(seen), pa.array(base), pa.array(score)], [c.split()[0] for c in SUMS.split(", ")])
-    for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        for k in np.unique(kind):
-            part = batch.filter(pa.array(kind == k))
-            if k == 2:
-                keys.append(unpacked(part.column("keys"), U).copy())
-                counts.append(unpacked(part.column("n"), np.int64).copy())
+        return _probed(self.bits, (keys % U(self.segments)).astype(np.int64) * (SEGMENT_BITS // 8), keys)
+
+
+def _answer(filter_bits: int):
+    """Counts the n-grams of a partition and answers each slice, in the order in which it asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list] = {1: [], 2: []}
+        for batch in batches:
+            for kind in (1, 2):
+                part = batch.filter(pa.array(batch.column("kind").to_numpy() == kind))
+                if part.num_rows:
+                    size = pc.binary_length(part.column("keys")).to_numpy() // 8
+                    got[kind].append((ids(part.column("slice")), part.column("bucket").to_numpy().copy(), size, unpacked(part.column("keys"), U).copy(), unpacked(part.column("counts"), np.uint32).copy()))
+        for kind, parts in got.items():
+            if not parts:
                 continue
-            x = [unpacked(part.column(c), t).copy() for c, t in kinds.items()]
-            if k == 0:
-                yield out(x[0], x[1], x[2], x[4], x[5], x[6], x[7])
-            else:
-                words_.append(x)
-    if not words_:
-        return
-    row, doc_id, held, word, times, _, share, both = (np.concatenate(c) for c in zip(*words_))
-    of = Model(model.tokens, model.types, np.concatenate(keys) if keys else np.zeros(0, U), np.concatenate(counts) if counts else np.zeros(0, np.int64), model.bits, model.segments)
-    count, _ = of.known(word)
-    p = of.unigram(count)
-    base, score = times * np.log10(p), times * np.log10(both + (1 - share) * p)
-    order = np.argsort(row, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], row[order][1:] != row[order][:-1]]))
-    first = order[at]
-    total = lambda x: np.add.reduceat(x[order], at)
-    yield out(row[first], doc_id[first], held[first], np.zeros(len(at), np.int64), total(times * (count > 0)), total(base), total(score))
+            of, bucket, size, keys, counts = (np.concatenate(c) for c in zip(*parts))
+            key, at = np.unique(keys, return_inverse=True)
+            total = np.bincount(at, counts, len(key)).astype(np.int64)
+            level = filter_levels(key, total, filter_bits)[at]
+            exact = total[at] if kind == 1 else np.zeros(0, np.int64)
+            ends = np.cumsum(size)
+            cut = [(a, b) for a, b in zip((ends - size).tolist(), ends.tolist())]
+            columns = [[exact[a:b].tobytes() for a, b in cut], [level[a:b].tobytes() for a, b in cut]]
+            n = len(cut)
+            yield _answers(np.full(n, kind), bucket, of, *columns)
+            if kind == 1:
+                yield _answers(np.array([3]), np.zeros(1), np.zeros(1), [b""], [b""], [int(total.sum())], [int((total > 0).sum())])
+
+    return run
+
+
+def _answers(kind, bucket, of, counts: list, levels: list, tokens: list | None = None, types: list | None = None) -> pa.RecordBatch:
+    none = [None] * len(counts)
+    columns = [pa.array(kind.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(of.astype(np.int64)), pa.array(counts, pa.binary()), pa.array(levels, pa.binary()), pa.array(tokens or none, pa.int64()), pa.array(types or none, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ANSWERS.split(", ")])
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slices of _ask() as they are, each one record."""
+    for batch in slices(batches, "text", ASK_BYTES):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as stream:
+            stream.write_batch(batch)
+        yield _answers(np.zeros(1), np.zeros(1), ids(batch.column("row"))[:1], [sink.getvalue().to_pybytes()], [b""])
+
+
+def _spread(keys: np.ndarray, n_buckets: int, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The answers by the distinct keys of a slice, and the place of each token among these."""
+    key, at = np.unique(keys, return_inverse=True)
+    if len(key) != len(answers):
+        raise RuntimeError("the scan of the documents came in other slices the second time")
+    out = np.empty_like(answers)
+    out[np.argsort(bucket_of(key, n_buckets), kind="stable")] = answers
+    return out, at
+
+
+def _scored(model: Model, n_buckets: int, docs: pa.RecordBatch, counts: np.ndarray, words_: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+    token, before, doc = _tokens(docs)
+    size = np.array([0.0] + [2.0 ** (q - 1) * (1.5 if q > 1 else 1.0) for q in range(1, LEVELS + 1)])
+    exact, at = _spread(token, n_buckets, counts)
+    count, known = exact[at], size[_spread(token, n_buckets, words_)[0][at]]
+    end = int(exact[at[np.flatnonzero(token == END)[0]]])  # as often as there are beginnings
+    whole = np.concatenate([[0.0], known[:-1]])
+    whole[before == START] = size[level_of(np.array([end]))[0]]
+    both, at = _spread(_pair(before, token), n_buckets, pairs)
+    both = np.where(whole > 0, size[both[at]], 0.0)
+    share, estimate, p = np.where(whole > 0, MOST, 0.0), both / np.maximum(np.maximum(whole, both), 1.0), model.unigram(count)
+    n = docs.num_rows
+    sums = [np.bincount(doc, minlength=n), np.bincount(doc[count > 0], minlength=n), np.bincount(doc, np.log10(p), n), np.bincount(doc, np.log10(share * estimate + (1 - share) * p), n)]
+    return pa.RecordBatch.from_arrays([docs.column("doc_id"), docs.column("held_out"), *[pa.array(x) for x in sums]], [c.split()[0] for c in SCORES.split(", ")])
+
+
+def _score(model: Model, n_buckets: int):
+    """Rows by (slice, kind, bucket): the documents of a slice, and what is known of its words and bigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, held = None, []
+
+        def scored() -> pa.RecordBatch:
+            docs = pa.ipc.open_stream(held[0].column("counts")[0].as_buffer()).read_next_batch()
+            of = lambda kind, name, to: np.concatenate([np.zeros(0, to), *[unpacked(b.column(name), to) for b in (x.filter(pa.array(x.column("kind").to_numpy() == kind)) for x in held)]])
+            return _scored(model, n_buckets, docs, of(1, "counts", np.int64), of(1, "levels", np.uint8), of(2, "levels", np.uint8))
+
+        for batch in batches:
+            own = ids(batch.column("slice"))
+            at = run_starts(own) if len(own) else []
+            for a, b in zip(at, [*at[1:], len(own)]):
+                if where != own[a]:
+                    if held:
+                        yield scored()
+                    where, held = own[a], []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield scored()
+
+    return run
 
 
 def score_texts(docs: DataFrame, folds: int = 10, filter_bits: int = 1 << 27, max_frequent: int = 1 << 18) -> DataFrame:
     """The log10 probability of every text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams), score (the model).
 
     docs: doc_id, text; other columns are ignored. The model learns from rows of which the fold (crc32 of the id as text) is not 0. A null or empty
-    text has its end token alone. Repeated rows are learnt from and scored each. filter_bits and max_frequent bound what is broadcast: the
-    filter, and the table of the words of the highest levels. Words are told apart by 64-bit hashes. An empty table gives an empty result.
+    text has its end token alone. Repeated rows are learnt from and scored each. filter_bits bounds the part of the filter that a task holds at a time;
+    all n-grams are in the filter. max_frequent is accepted and has no effect, as no table of words is broadcast. Words are told apart by 64-bit
+    hashes. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     rows = numbered(docs, "doc_id", "text")
     parts, n_buckets = buckets_for(rows)
     docs = rows.select("row", "doc_id", "text", (fold(F.col("doc_id"), folds) == 0).alias("held_out"))
-    counts = docs.where("not held_out").select("text").mapInArrow(lean(_count(n_buckets)), COUNTS).repartition(parts, "bucket").mapInArrow(lean(_gather(n_buckets)), COUNTS)
-    counts = written(counts, "lm-counts")
-    levels = counts.mapInArrow(_levels, "kind int, level int, types long, tokens long").groupBy("kind", "level").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()
-    tokens, types = (sum(r[c] for r in levels if r["kind"] == 1) for c in ("tokens", "types"))
-
-    def least(cost: dict[int, int], room: float, lowest: int) -> int:
-        """The least level from which on all levels together cost no more than room."""
-        level, spent = LEVELS, 0
-        while level > lowest and spent + cost.get(level - 1, 0) <= room:
-            level -= 1
-            spent += cost.get(level, 0)
-        return level
-
-    frequent = least({r["level"]: r["types"] for r in levels if r["kind"] == 1}, max_frequent, 1)
-    keys_at: dict[int, int] = {}
-    for r in levels:
-        keys_at[r["level"]] = keys_at.get(r["level"], 0) + r["types"] * r["level"]
-    stored = least(keys_at, filter_bits * np.log(2) / PROBES, 2)
-    segments = max(1, filter_bits // SEGMENT_BITS)
-    top = counts.where("kind = 1").mapInArrow(_selected(1, frequent, 1), COUNTS).select("keys", "counts").collect()  # max_frequent entries at most
-    keys = np.concatenate([np.frombuffer(r["keys"], U) for r in top] or [np.zeros(0, U)])
-    held = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in top] or [np.zeros(0, np.int64)])
-    bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    for r in counts.mapInArrow(_selected(0, stored, segments), COUNTS).repartition(min(segments, parts), "bucket").mapInArrow(_filled, "segment int, bits binary").collect():  # filter_bits in all
-        bits[r["segment"] * (SEGMENT_BITS // 8) : (r["segment"] + 1) * (SEGMENT_BITS // 8)] = np.frombuffer(r["bits"], np.uint8)
-    model = spark.sparkContext.broadcast(Model(tokens, types, keys, held, bits, segments))
-    scored = docs.mapInArrow(lean(lambda batches: _score(model.value, n_buckets, batches)), PARTS)
-    blank = [F.lit(b"").alias(c) for c in FIELDS]
-    exact = counts.where("kind = 1").select(F.lit(2).alias("kind"), "bucket", *[F.col("keys") if c == "keys" else F.col("counts").alias("n") if c == "n" else blank[FIELDS.index(c)] for c in FIELDS])
-    met = scored.unionByName(exact).repartition(parts, "bucket").mapInArrow(lean(lambda batches: _meet(model.value, batches)), SUMS)
-    total = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    asked = docs.mapInArrow(lean(_ask(n_buckets)), ASKED).repartition(parts, "bucket")
+    answers = written(asked.mapInArrow(lean(_answer(filter_bits)), ANSWERS), "lm-answers")
+    sums = answers.where("kind = 3").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+    tokens, types = sums["tokens"] or 0, sums["types"] or 0
+    none = np.zeros(0, U)
+    model = Model(tokens, types, none, none, none, 1)
+    dealt = answers.where("kind < 3").unionByName(docs.mapInArrow(lean(_documents), ANSWERS)).repartition(partitions_for(rows, ASK_BYTES), "slice").sortWithinPartitions("slice", "kind", "bucket")
+    scores = dealt.mapInArrow(lean(_score(model, n_buckets)), SCORES)
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Operators on single texts: quality, decontamination, language model, toxicity, chat, URL rules."""
 
 import hashlib
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -106,6 +108,21 @@ def test_language_model(spark, rows, docs):
     assert lm_score.score_texts(docs.limit(0)).count() == 0
 
 
+def test_all_bigrams_count_whatever_the_corpus_size(spark):
+    """A bigram seen once raises its text's score, with the smallest filter and many other n-grams too; the same texts beside more others keep their weights."""
+    rng = random.Random(5)
+    few = [(i, " ".join(f"p{i}x{j}" for j in range(20))) for i in range(40)]
+    more = few + [(i, " ".join(f"v{rng.randrange(3000)}" for _ in range(1500))) for i in range(40, 120)]
+    learnt = {i for i, _ in few if zlib.crc32(str(i).encode()) % 10}
+    for rows in (few, more):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: r for r in lm_score.score_texts(docs, filter_bits=1 << 19).collect()}
+        # each word is seen once and always follows the one before, so the bigram's share is at least MOST
+        assert all(got[i].score >= got[i].n_tokens * math.log10(lm_score.MOST) - 5 for i in learnt)
+        same = {r.doc_id: r.score for r in lm_score.score_texts(docs).collect()}
+        assert all(abs(got[i].score - same[i]) < 1e-6 for i in got)
+
+
 def test_filter_gives_back_levels():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 2**64, 4000, dtype=np.uint64))
