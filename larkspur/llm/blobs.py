@@ -44,14 +44,10 @@ def unpacked(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(data.to_pybytes() if at[0] % np.dtype(kind).itemsize else data, kind, count=(at[-1] - at[0]) // np.dtype(kind).itemsize, offset=int(at[0]))
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each key once, with the sum of its counts."""
-    if not len(keys):
-        return keys, counts.astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(counts.astype(np.int64), at)
+def by_file(rows: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """For numbered() rows: which of them are of each file, and the smallest of these. Within a file rows differ by less than 2^32."""
+    file = rows >> 32
+    return [(mine, int(rows[mine].min())) for f in np.unique(file) for mine in [np.flatnonzero(file == f)]]
 
 
 def buckets_for(rows: DataFrame, each_bytes: int = 3 << 19) -> tuple[int, int]:

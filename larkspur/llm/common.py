@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass handles; a longer document makes a pass of its own.
@@ -23,23 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one made here if that is unset (local runs)."""
+    """The folder that all executors share: spark.checkpoint.dir. If that is unset, a local master gets one made here; on a cluster it must be set."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", shared)
         spark.sparkContext.setCheckpointDir(shared)
     return shared
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes the rows as Parquet to the shared folder and reads them back.
+def written(df: DataFrame, tag: str, rows_per_file: int = 0) -> DataFrame:
+    """Cuts the lineage: writes the rows as Parquet to the shared folder and reads them back. rows_per_file keeps files of very large rows small.
 
     A lost executor costs nothing that is behind this point. Zero partitions or rows give an empty table of the same schema.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -132,16 +136,34 @@ def has(sketch: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (sketch[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
 
 
+def file_number(path: str) -> int:
+    """The number of a scanned file, as _file_number() gives it in a plan."""
+    return int(hashlib.md5(path.encode()).hexdigest()[:8], 16) >> 1
+
+
+def _file_number(path: Column) -> Column:
+    return F.shiftright(F.conv(F.substring(F.md5(path), 1, 8), 16, 10).cast("long"), 1)
+
+
 def numbered(docs: DataFrame, *names: str) -> DataFrame:
-    """The named columns and row, a number of each row that is the same in every later job.
+    """The named columns and row, a number that each row keeps in every later job, however many executors there are and however the scan is split.
 
-    Over a plain scan it is the place in the scan; anything else is written first, as its rows could come in another order next time. So the size of
-    the result is always known from files.
+    Over a plain scan of Parquet files it is the file (31 bits of a hash of its path, which are checked here to tell the files apart) and the row's place in the file
+    (32 bits). Anything else is written first, its numbers too, as its rows could come in another order next time. So the size of the result is always known
+    from files.
     """
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    plain = all(line.strip(" :+-").startswith(("Project", "Filter", "Relation", "LocalRelation")) for line in plan.splitlines() if line.strip())
-    rows = only(docs, *names) if plain else written(only(docs, *names), "numbered")
-    return rows.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{n}`") for n in names])
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    lines = [line.strip(" :+-") for line in plan.toString().splitlines() if line.strip()]
+    plain = plan.deterministic() and all(line.startswith(("Project", "Filter")) or line.startswith("Relation") and line.endswith("parquet") for line in lines)
+    if plain:
+        # the scan and the listing write schemes with a different number of slashes
+        files = [re.sub("^([a-z]+):/+", r"\1:/", f) for f in docs.inputFiles()]
+        plain = len({file_number(f) for f in files}) == len(files)
+    if plain:
+        at = docs.metadataColumn("_metadata")
+        row = F.shiftleft(_file_number(F.regexp_replace(at["file_path"], "^([a-z]+):/+", "$1:/")), 32) + at["row_index"]
+        return docs.select(row.alias("row"), *[F.col(f"`{n}`") for n in names])
+    return written(only(docs, *names).select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{n}`") for n in names]), "numbered")
 
 
 def possible(rows: DataFrame, column: str, sketch: np.ndarray) -> DataFrame:

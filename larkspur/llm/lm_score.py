@@ -1,6 +1,6 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Each slice of documents sends its words and bigrams, once each and with their counts in the training documents, to the task of their bucket. There they are
+Documents are stored in slices. Each slice sends its words and bigrams, once each and with their counts in the training documents, to the task of their bucket. There they are
 counted exactly. A count c is quantised as q = 1 + floor(log2 c) and held in a Bloom filter as the q keys (n-gram, 1) .. (n-gram, q): probing one after
 another until a miss reads it back, never too low, and too high with a chance that falls geometrically. The filter is sized by the counted keys of the task,
 in segments of a fixed size, so every n-gram is in it however large the corpus is; nothing is broadcast. The slice gets back the filter's count of
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import bucket_of, buckets_for, packed, unpacked
-from .common import ids, lean, numbered, partitions_for, slices, table, text_bytes, written
+from .common import ids, lean, only, partitions_for, slices, table, text_bytes, written
 from .kernels import BASE, NOT_SPACE, fold_case, mix, prefix_hash, run_starts, span_hash, words
 from .toxicity import fold
 
@@ -66,13 +66,13 @@ def _ask(n_buckets: int):
     """Of each slice, its words (kind 1) and bigrams (kind 2) once each, with their counts in rows to learn from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", ASK_BYTES):
+        for of, batch in _unfolded(batches):
             token, before, doc = _tokens(batch)
             learnt = ~np.asarray(batch.column("held_out")).astype(bool)[doc]
             for kind, keys in ((1, token), (2, _pair(before, token))):
                 key, at = np.unique(keys, return_inverse=True)
                 out = packed(kind, bucket_of(key, n_buckets), [key, np.bincount(at, learnt, len(key)).astype(np.uint32)], ["keys", "counts"])
-                yield out.append_column("slice", pa.array(np.full(out.num_rows, ids(batch.column("row"))[0])))
+                yield out.append_column("slice", pa.array(np.full(out.num_rows, of)))
 
     return run
 
@@ -181,20 +181,24 @@ def _answers(kind, bucket, of, counts: list, levels: list, tokens: list | None =
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ANSWERS.split(", ")])
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The slices of _ask() as they are, each one record."""
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each slice as one record."""
     for batch in slices(batches, "text", ASK_BYTES):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.schema) as stream:
             stream.write_batch(batch)
-        yield _answers(np.zeros(1), np.zeros(1), ids(batch.column("row"))[:1], [sink.getvalue().to_pybytes()], [b""])
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["documents"])
+
+
+def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for batch in batches:
+        for of, documents in zip(batch.column("slice").to_pylist(), batch.column("documents")):
+            yield of, pa.ipc.open_stream(documents.as_buffer()).read_next_batch()
 
 
 def _spread(keys: np.ndarray, n_buckets: int, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The answers by the distinct keys of a slice, and the place of each token among these."""
     key, at = np.unique(keys, return_inverse=True)
-    if len(key) != len(answers):
-        raise RuntimeError("the scan of the documents came in other slices the second time")
     out = np.empty_like(answers)
     out[np.argsort(bucket_of(key, n_buckets), kind="stable")] = answers
     return out, at
@@ -250,19 +254,23 @@ def score_texts(docs: DataFrame, folds: int = 10, filter_bits: int = 1 << 27, ma
     all n-grams are in the filter. max_frequent is accepted and has no effect, as no table of words is broadcast. Words are told apart by 64-bit
     hashes. An empty table gives an empty result.
     """
-    rows = numbered(docs, "doc_id", "text")
-    parts, n_buckets = buckets_for(rows)
-    docs = rows.select("row", "doc_id", "text", (fold(F.col("doc_id"), folds) == 0).alias("held_out"))
-    asked = docs.mapInArrow(lean(_ask(n_buckets)), ASKED).repartition(parts, "bucket")
+    docs = only(docs, "doc_id", "text").select("doc_id", "text", (fold(F.col("doc_id"), folds) == 0).alias("held_out"))
+    # a slice is one stored record, so it is the same in both passes
+    folded = written(docs.mapInArrow(lean(_folded), "documents binary").select(F.monotonically_increasing_id().alias("slice"), "documents"), "lm-slices", rows_per_file=8)
+    parts, n_buckets = buckets_for(folded)
+    asked = folded.mapInArrow(lean(_ask(n_buckets)), ASKED).repartition(parts, "bucket")
     answers = written(asked.mapInArrow(lean(_answer(filter_bits)), ANSWERS), "lm-answers")
     sums = answers.where("kind = 3").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     tokens, types = sums["tokens"] or 0, sums["types"] or 0
-    none = np.zeros(0, U)
-    model = Model(tokens, types, none, none, none, 1)
-    dealt = answers.where("kind < 3").unionByName(docs.mapInArrow(lean(_documents), ANSWERS)).repartition(partitions_for(rows, ASK_BYTES), "slice").sortWithinPartitions("slice", "kind", "bucket")
+    empty = np.zeros(0, U)
+    model = Model(tokens, types, empty, empty, empty, 1)
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("levels", "binary"), ("tokens", "long"), ("types", "long"))]
+    documents = folded.select(F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "slice", F.col("documents").alias("counts"), *none)
+    dealt = answers.where("kind < 3").unionByName(documents).repartition(partitions_for(folded, ASK_BYTES), "slice").sortWithinPartitions("slice", "kind", "bucket")
     scores = dealt.mapInArrow(lean(_score(model, n_buckets)), SCORES)
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document under unigrams and under the model."""
     return score_texts(table(spark, sf_dir, "documents"))
