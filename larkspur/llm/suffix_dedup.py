@@ -1,8 +1,8 @@
 """Suffix-array deduplication: longest-previous-factor arrays find what stands in an earlier document.
 
 A byte goes if a WIDTH-byte string that covers it also starts in a document with a smaller id. In suffix order, the nearest suffix before and
-the nearest after of a smaller document share the longest prefix that any smaller document does; the byte string at a place
-has an earlier copy if one of the two shares WIDTH bytes or more. As no longer prefix is asked for, suffixes are ordered by their first WIDTH bytes.
+the nearest after of a smaller document share the longest prefix that any smaller document does: the longest previous factor. The byte string at a place
+has an earlier copy if its factor is WIDTH bytes or more; as no longer one is asked for, suffixes are ordered and factors measured by the first WIDTH bytes.
 
 Only text that can have a copy is ordered, and the order is made piece by piece:
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import bucket_of, buckets_for, packed, unpacked
+from .blobs import bucket_of, buckets_for, by_file, packed, unpacked
 from .common import bit_sketch, has, ids, lean, numbered, only, possible, slices, table, text_bytes, written
 from .kernels import mix, prefix_hash, run_starts, span_hash, window_hash
 
@@ -85,8 +85,11 @@ def _emit_anchors(n_buckets: int, width: int, gram: int):
         def flush() -> Iterator[pa.RecordBatch]:
             many, of, one, first = _shared_here(np.concatenate(keys), np.concatenate(rows))
             yield packed(0, bucket_of(mix(of.astype(U)), n_buckets), [many, of], ["key", "row"])
-            base = first.min(initial=1 << 62)
-            # rows of a task lie close together: small offsets from a base, which stands first
+            for of_file, base in by_file(first):
+                yield offsets(one[of_file], first[of_file], base)
+
+        def offsets(one: np.ndarray, first: np.ndarray, base: int) -> pa.RecordBatch:
+            """Rows of a file as small offsets from a base, which stands first."""
             at = bucket_of(one, n_buckets)
             order = np.argsort(at, kind="stable")
             cut = run_starts(at[order])
@@ -96,7 +99,7 @@ def _emit_anchors(n_buckets: int, width: int, gram: int):
             bounds = np.append(where, len(low)) * 4
             key_bounds = np.append(cut, len(one)) * 8
             blob = lambda b, x: pa.BinaryArray.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(b.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), 1, np.int32)), pa.array(at[order][cut].astype(np.int32)), blob(key_bounds, one[order]), blob(bounds, low)], ["kind", "bucket", "key", "row"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), 1, np.int32)), pa.array(at[order][cut].astype(np.int32)), blob(key_bounds, one[order]), blob(bounds, low)], ["kind", "bucket", "key", "row"])
 
         for batch in slices(batches, "text", SLICE):
             data, starts = text_bytes(batch.column("text"))
@@ -207,21 +210,41 @@ def _emit_pieces(n_buckets: int, width: int, gram: int):
     return run
 
 
-def earlier_factor(windows: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    """Which windows (rows of bytes) also stand in a smaller document.
+def previous_smaller(x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest one before with a smaller value (-1: none), and the least of h from the place after that one to the place itself.
 
-    The windows are put in suffix order, with the documents of equal ones rising. The previous and next suffixes of a smaller document share the whole
-    width only within the run of equal windows; there, the run's first document is smaller than all that differ from it.
+    Places jump together: what lies between a place and where it looks is not smaller, so it may go on to where that one looks.
+    """
+    at, low = np.arange(len(x)) - 1, h.copy()
+    left = np.flatnonzero(at >= 0)
+    while True:
+        left = left[x[at[left]] >= x[left]]
+        if not len(left):
+            return at, low
+        low[left] = np.minimum(low[left], low[at[left]])
+        at[left] = at[at[left]]
+        left = left[at[left] >= 0]
+
+
+def longest_previous_factors(windows: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """How long a prefix of each suffix also begins a suffix of a smaller document, up to the width that is looked at.
+
+    The suffixes (rows of their first bytes) are put in suffix order, with the documents of equal ones rising. Of all suffixes of smaller documents, the nearest before
+    and the nearest after (the previous and next smaller values of the array of documents) share the longest prefixes with it; these are the least
+    common prefixes of neighbours in between.
     """
     n, width = windows.shape
+    if not n:
+        return np.zeros(0, np.int64)
     keys = np.ascontiguousarray(windows).view(np.dtype((np.void, width))).ravel()
     by_doc = np.argsort(doc_id, kind="stable")
     order = by_doc[np.argsort(keys[by_doc], kind="stable")]
-    equal = (windows[order[1:]] == windows[order[:-1]]).all(1) if n else np.zeros(0, bool)
-    first = np.flatnonzero(np.concatenate([[True], ~equal])) if n else np.zeros(0, np.int64)
-    smallest = np.repeat(doc_id[order[first]], np.diff(np.append(first, n)))
-    out = np.zeros(n, bool)
-    out[order] = doc_id[order] > smallest
+    differ = windows[order[1:]] != windows[order[:-1]]
+    common = np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), width)])  # with the suffix before
+    before, low = previous_smaller(doc_id[order], common)
+    after, high = previous_smaller(doc_id[order][::-1], np.append(common[1:], 0)[::-1])
+    out = np.empty(n, np.int64)
+    out[order] = np.maximum(np.where(before >= 0, low, 0), np.where(after >= 0, high, 0)[::-1])
     return out
 
 
@@ -266,7 +289,7 @@ def _factors(n_buckets: int, width: int):
                 continue
             n = places[mine]
             start = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-            gone = earlier_factor(windows[start], np.repeat(doc_id[mine], n))
+            gone = longest_previous_factors(windows[start], np.repeat(doc_id[mine], n)) >= width
             piece = np.repeat(np.arange(len(mine)), n)
             # runs of places that go, within each piece
             on = gone.copy()
@@ -342,6 +365,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to 50-byte strings of documents with smaller ids."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
     n_removed = F.aggregate(F.zip_with("begin", "end", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("begin").cast("long").alias("n_spans"), F.when(F.col("kept").isNull(), F.col("text_sha256")).otherwise(F.sha2("kept", 256)).alias("kept_sha256"))
