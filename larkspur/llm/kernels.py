@@ -43,6 +43,13 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def running_hash(values: np.ndarray) -> np.ndarray:
+    """prefix_hash() of 64-bit values."""
+    out = np.zeros(len(values) + 1, U)
+    np.cumsum(mix(values.astype(U) + U(1)) * _table(BASE, len(values)), out=out[1:])
+    return out
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans; equal bytes have equal hashes wherever they stand."""
     inverse = _table(INVERSE, len(prefix))
