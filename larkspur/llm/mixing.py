@@ -76,15 +76,15 @@ def mixing_weights(tokens: DataFrame, entropy_share: float | None, max_repeats:
     return shared.select("source", "tokens", "share", "exponent", (F.pow("share", "exponent") / F.col("power_sum")).alias("weight"))
 
 
-def mix_sources(docs: DataFrame, entropy_share: float | None = 0.95, max_repeats: float | None = 4.0, budget_tokens: int | None = None, block_tokens: int = 262_144, seed: str = "mix-1") -> DataFrame:
+def mix_sources(docs: DataFrame, entropy_share: float | None = 0.95, max_repeats: float | None = 4.0, budget_tokens: int | None = None, block_tokens: int = 262_144, seed: str = "mix-1", weigh=n_tokens) -> DataFrame:
     """The mixed stream: doc_id, source, n_tokens, epoch (0 first), block, rank (within the block, from 0), exponent, weight.
 
     docs: doc_id, text, source; other columns are ignored. A null source is the source ''; a null text is empty and has its end token. Rows
     of equal doc_id and source move as one unit. Without budget_tokens every unit appears in epoch 0; with it, each source gets its weight's share,
-    to within one unit. An empty table gives an empty result.
+    to within one unit. weigh gives the tokens of a text column. An empty table gives an empty result.
     """
     units = written(
-        only(docs, "doc_id", "text", "source").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), n_tokens(F.col("text")).alias("n_tokens"))
+        only(docs, "doc_id", "text", "source").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), weigh(F.col("text")).alias("n_tokens"))
         .groupBy("doc_id", "source").agg(F.sum("n_tokens").alias("n_tokens")), "mix-units",
     )
     sums = units.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
@@ -107,20 +107,28 @@ def mix_sources(docs: DataFrame, entropy_share: float | None = 0.95, max_repeats
     placed = dealt.withColumn("in_cell", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(cells, keys)
     placed = placed.withColumn("first", F.col("epoch") * F.col("tokens") + F.col("cell_first") + F.col("in_cell")).where("first < quota")
     blocks = F.greatest(F.ceil(F.col("budget") / block_tokens), F.lit(1))
-    placed = placed.withColumn("block", F.floor(F.col("first") * blocks / F.col("quota")).cast("long"))
+    # tokens times blocks don't fit a long in a large corpus
+    wide = placed.withColumns({"first": F.col("first").cast("decimal(19,0)"), "blocks": blocks.cast("decimal(19,0)"), "quota": F.col("quota").cast("decimal(19,0)")})
+    placed = wide.withColumn("block", F.expr("cast(first * blocks div quota as bigint)"))
     in_block = Window.partitionBy("block").orderBy("hash", "doc_id", "source", "epoch")
     return placed.select("doc_id", "source", "n_tokens", "epoch", "block", (F.row_number().over(in_block) - 1).cast("long").alias("rank"), "exponent", F.round("weight", 9).alias("weight"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; its columns and no others. Options as for mix_sources()."""
-    taken = mix_sources(docs, **options).select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"))
-    taken = taken.groupBy("_mix_id", "_mix_source").agg(F.count("*").cast("int").alias("_mix_n"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_mix_id"]) & (F.coalesce(docs["source"], F.lit("")) == taken["_mix_source"]))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("_mix_copy")).drop("_mix_copy")
+    """The rows of docs, each as often as the mix takes it; its columns and no others, whatever their names. Options as for mix_sources().
+
+    Rows of one doc_id and source, null ones too, are taken together and equally often. An empty table gives an empty result.
+    """
+    taken = mix_sources(docs, **options).groupBy("doc_id", "source").agg(F.count("*").cast("int").alias("n"))
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    doc_id, source = (rows[names[docs.columns.index(c)]] for c in ("doc_id", "source"))
+    joined = rows.join(taken, doc_id.eqNullSafe(taken["doc_id"]) & (F.coalesce(source, F.lit("")) == taken["source"]))
+    return joined.select(*names, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select(*names).toDF(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents at 0.95 of the largest entropy of sources, scarce ones up to 4 times as often."""
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
