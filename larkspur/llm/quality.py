@@ -173,25 +173,32 @@ class Chain:
         return chain
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        lines = Lines(batch.column("text"))
-        x = lines.features()
-        at = np.searchsorted(lines.line_doc, np.arange(batch.num_rows + 1))
-        rows = pa.ListArray.from_arrays((at * x.shape[1]).astype(np.int32), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(np.diff(at)), rows], ["quality", "n", "features"])
+def _sample(max_lines: int):
+    """The features of the lines of each text; of a longer one, of so many lines about its middle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            lines = Lines(batch.column("text"))
+            x = lines.features()
+            at = np.searchsorted(lines.line_doc, np.arange(batch.num_rows + 1))
+            size = np.minimum(np.diff(at), max_lines)
+            first = at[:-1] + (np.diff(at) - size) // 2
+            rows = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size * x.shape[1])]).astype(np.int32), pa.array(np.concatenate([x[a : a + n].ravel() for a, n in zip(first, size)])))
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(size), rows], ["quality", "n", "features"])
+
+    return run
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_lines: int = 200) -> Chain:
-    """Fits on up to max_docs labelled documents, chosen by a hash of the id, of up to max_lines lines each (longer ones aren't chosen)."""
+    """Fits on up to max_docs labelled documents, chosen by a hash of the id, of up to max_lines lines each. Of an id's several texts the least is taken."""
     spark = docs.sparkSession
     known = only(labels, "doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     picked: list = []
     for quality in (0, 1):
         picked += known.where((F.col("quality") > 0) == (quality > 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2).collect()
-    chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, quality int"))
-    text = only(docs, "doc_id", "text").join(chosen, "doc_id").where(F.length(F.regexp_replace("text", "[^\n]", "")) < max_lines)
-    rows = text.select("quality", "text").mapInArrow(_sample, "quality int, n long, features array<double>").limit(2 * max_docs).collect()
+    chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, quality int"))  # max_docs rows
+    text = only(docs, "doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).dropna()
+    rows = text.select("quality", "text").mapInArrow(_sample(max_lines), "quality int, n long, features array<double>").collect()
     width = len(FEATURES)
     if not rows:
         return Chain(np.zeros(width), np.zeros((2, 2)))
@@ -238,10 +245,14 @@ def _keep(chain: Chain, least: float, batches: Iterator[pa.RecordBatch]) -> Iter
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least_content: float = 0.5, **sample) -> DataFrame:
-    """The rows of docs that judge_quality() keeps, with all columns; texts aren't shuffled."""
+    """The rows of docs that judge_quality() keeps, with all columns, whatever their names but doc_id and text; texts aren't shuffled.
+
+    Null and empty texts go. Repeated rows stay or go together; an empty table gives an empty result.
+    """
     chain = fit_chain(docs, labels, **sample)
     return docs.mapInArrow(lambda batches: _keep(chain, least_content, batches), docs.schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures and the verdict of the line labelling for every document."""
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
