@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import only, partitions_for, table
 
 #: The rules of the registered query: action, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -43,10 +43,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", salt
     pages: page_id, url; other columns are ignored, repeated rows and null ids are kept as they are. rules: action, host, path. The
     longest rule text wins; of equally long ones the longer host, then the smaller text, then `block` before `allow`, so repeated
     rules do no harm. Rules with a null field or an empty host fit nothing. An empty rules table gives every URL the default verdict.
-    salts: tasks over which the URLs are dealt, by default 8 for each shuffle partition; each salt gets a copy of the rules.
+    salts: tasks over which the URLs are dealt, by default 8 for each shuffle partition or 64 MB of pages, if these are more; each salt gets a copy of the rules.
     """
     spark = pages.sparkSession
-    salts = salts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = salts or 8 * partitions_for(pages, 64 << 20)
     host, path = split_url(F.col("url"))
     keyed = only(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
     rule = F.struct(F.length("rule").alias("n"), F.length("host").alias("h"), F.col("rule").alias("rule"), F.col("path").alias("path"), F.col("action").alias("action"))
@@ -74,6 +74,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", salt
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of RULES on every page."""
     return filter_urls(table(spark, sf_dir, "pages"), rule_frame(spark, RULES))
 
 
