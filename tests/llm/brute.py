@@ -124,3 +124,39 @@ def unigrams(docs, folds=10):
     counts = collections.Counter(w for i, t in texts.items() if not held(i) for w in t)
     total, kinds = sum(counts.values()), len(counts)
     return {i: (len(t), sum(counts[w] > 0 for w in t), total, sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in t)) for i, t in texts.items()}
+
+
+def line_features(text):
+    """The features of each line, in the order of quality.FEATURES."""
+    seen, out = set(), []
+    for line in (text or "").split("\n"):
+        w, raw = re.findall(r"[^\x20\x09-\x0D]+", line), line.encode()
+        n, letters = max(len(w), 1), max(len(re.findall("[A-Za-z]", line)), 1)
+        out.append([
+            1.0, min(len(re.findall(r"[#*$%&|<>]", line)) / n, 1.0), min(line.count("|") / n * 2, 1.0), min(line.count("!") / n, 1.0), len(re.findall("[A-Z]", line)) / letters,
+            float(raw[-1:] in (b".", b"!", b"?")), min(len(re.findall("[0-9]", line)) / max(len(line), 1) * 4, 1.0), min(len(line) / n / 20, 1.0),
+            stutter(text, len(out), w) / n, float(line in seen and bool(w)), float(len(w) < 4), float(not w),
+        ])
+        seen.add(line)
+    return out
+
+
+def stutter(text, number, w):
+    """Words of a line that equal the word before, be it in a line before."""
+    before = [x for line in text.split("\n")[:number] for x in re.findall(r"[^\x20\x09-\x0D]+", line)][-1:] if text else []
+    return sum(x == y for x, y in zip([*before, *w], w if before else w[1:]))
+
+
+def viterbi(scores, moves):
+    """The best labels of a chain whose label 1 scores as given; of equal paths the one that ends in 0, and comes from 0."""
+    best, back = [0.0, scores[0]], []
+    for s in scores[1:]:
+        come = [max((best[i] + moves[i][j], -i) for i in (0, 1)) for j in (0, 1)]
+        back.append([-c[1] for c in come])
+        best = [come[0][0], come[1][0] + s]
+    state = int(best[1] > best[0])
+    out = [state]
+    for step in reversed(back):
+        state = step[state]
+        out.append(state)
+    return out[::-1]

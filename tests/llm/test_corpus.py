@@ -104,6 +104,60 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_blocks_of_a_very_large_corpus(spark):
+    """Tokens times blocks go beyond a long at 10^14 tokens; the blocks are as exact integers say."""
+    n = 25
+    docs = spark.range(n).selectExpr("id as doc_id", "'x' as text", "'s' as source")
+    taken = mixing.mix_sources(docs, entropy_share=None, max_repeats=None, weigh=lambda text: F.lit(4 * 10**12).cast("long")).collect()
+    blocks = math.ceil(n * 4 * 10**12 / 262_144)
+    assert sorted(r.block for r in taken) == [k * 4 * 10**12 * blocks // (n * 4 * 10**12) for k in range(n)]
+
+
+HARD = "doc_id long, text string, row long, n int, source string, copy string, i long, s string, component_id long"
+
+
+def test_hard_rows_of_every_operator(spark):
+    """Null and repeated ids, repeated rows, very long texts, clashing names: nothing crashes, and each row is judged by its own text."""
+    from larkspur.llm import decontaminate, jaccard_join, lm_score, quality, suffix_dedup, toxicity
+
+    word = lambda k: "".join("aeiou"[int(c) % 5] + "bdgklmnprt"[int(c)] for c in str(k * 7919))
+    long = " ".join(word(k % 20_011) for k in range(60_000)) + "\n" + "z" * 400_000
+    other = " ".join(word(k) for k in range(70_000, 70_200))
+    rows = [(None, long, 1, 1, "a", "c", 1, "s", 1), (None, other, 2, 2, None, "c", 1, "s", 1), (5, other, 3, 3, "a", "c", 1, "s", 1), (5, long[:-1], 4, 4, "a", None, 1, "s", 1), (5, "", 5, 5, "a", "c", 1, "s", 1), (6, None, 6, 6, "a", "c", None, "s", 1), (6, None, 6, 6, "a", "c", None, "s", 1)]
+    docs = spark.createDataFrame(rows, HARD)
+    items = spark.createDataFrame([(1, long), (2, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(5, 1, 1), (None, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    want = sorted((n, hit) for n, hit, _ in (brute.contamination([(0, r[1])], [(1, long)])[0] for r in rows))
+    assert sorted((r.n_words, r.n_hit) for r in decontaminate.verdicts(decontaminate.find_benchmark(docs, items)).collect()) == want
+    assert sorted(r.row for r in decontaminate.without_contaminated(docs, items).collect()) == [2, 3, 5, 6, 6]
+    kept = sorted(r.row for r in jaccard_join.one_of_each(docs).collect())
+    assert kept in ([1, 2, 5, 6, 6], [2, 4, 5, 6, 6], [1, 3, 5, 6, 6], [3, 4, 5, 6, 6])
+    assert sorted(r.n_bytes for r in suffix_dedup.remove_repeats(docs).collect()) == sorted(len((r[1] or "").encode()) for r in rows)
+    assert sorted(r.n_tokens for r in lm_score.score_texts(docs).collect()) == sorted(len(brute.tokens(r[1])) + 1 for r in rows)
+    assert sorted(r.n_words for r in quality.judge_quality(docs, labels).collect()) == sorted(brute.quality(r[1])[0] for r in rows)
+    assert toxicity.score_toxicity(docs, labels).count() == 7 and quality.keep_good(docs, labels).columns == docs.columns
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and {r.row for r in mixed.collect()} == {1, 2, 3, 4, 5, 6}
+    assert sorted(r.size for r in sharding.shard_documents(docs, 3).collect()) == sorted(len((r[1] or "").encode()) + 1 for r in rows)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+def test_shards_of_the_documents(spark):
+    got = QUERIES["op2_sharding"](spark, DATA).collect()
+    text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert len(got) == len(text) and all((r.size, r.text_crc32) == (len(text[r.doc_id]) + 1, zlib.crc32(text[r.doc_id])) for r in got)
+    loads = [sum(r.size for r in got if r.shard == k) for k in range(16)]
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(16))
+    largest = max(sum(r.size for r in got if text[r.doc_id] == t) for t in set(text.values()))
+    assert max(loads) <= max(largest, 1.05 * sum(loads) / 16) and len({(text[r.doc_id], r.shard) for r in got}) == len(set(text.values()))
+
+
 def plain(v):
     return repr(round(v, 9)) if isinstance(v, float) else repr(v)
 

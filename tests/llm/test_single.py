@@ -1,5 +1,6 @@
 """Operators on single texts: quality, decontamination, language model, toxicity, chat, URL rules."""
 
+import collections
 import hashlib
 import math
 import random
@@ -49,6 +50,20 @@ def test_quality_tells_junk_from_prose(spark):
     assert undecided.where("kept").count() == 0
 
 
+def test_verdicts_equal_plain_decoding(spark, rows, docs):
+    """kept by plain features and a plain Viterbi over the fitted chain."""
+    labels = spark.createDataFrame([(r[0], int(i % 3 > 0)) for i, r in enumerate(rows)], "doc_id long, quality int")
+    chain = quality.fit_chain(docs, labels, max_lines=3)
+    got = {r.doc_id: r.kept for r in quality.judge_quality(docs, labels, max_lines=3).collect()}
+    for r in rows:
+        n, _, _, _, repeats = brute.quality(r[1])
+        features = brute.line_features(r[1])
+        marks = brute.viterbi([f @ chain.weights for f in map(np.array, features)], chain.moves)
+        chars = [len(line) for line in (r[1] or "").split("\n")]
+        share = sum(c * m for c, m in zip(chars, marks)) / max(sum(chars), 1)
+        assert got[r[0]] == (n >= 50 and 100 * repeats <= 50 * n and share >= 0.5), r
+
+
 @settings(max_examples=25, deadline=None)
 @given(seed=st.integers(0, 9999))
 def test_viterbi_is_the_best_path(seed):
@@ -88,6 +103,32 @@ def test_contamination(spark, rows, docs):
     assert none.where("n_hit > 0").count() == 0 and none.count() == len(rows)
 
 
+def test_contaminated_rows_go_and_others_of_their_id_stay(spark):
+    words = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words[:20])), (2, " ".join(words[20:]))], "item_id long, text string")
+    bad, clean = " ".join(words[3:18]), " ".join(f"x{i}" for i in range(30))
+    both = " ".join([*words[:13], *[f"y{i}" for i in range(480)], *words[20:33]])  # a twentieth of its words only with the hits of both items
+    docs = spark.createDataFrame([(1, bad, 1), (1, clean, 2), (None, clean, 3), (None, bad, 4), (3, None, 5), (3, "", 6), (4, both, 7)], "doc_id long, text string, row int")
+    for blocks in (500_000, 10):
+        assert sorted(r.row for r in decontaminate.without_contaminated(docs, bench, block_words=blocks).collect()) == [2, 3, 5, 6]
+    assert decontaminate.without_contaminated(docs, bench.limit(0)).count() == 7 and decontaminate.without_contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_matches_with_a_very_long_item(spark):
+    """An item of 100,000 words takes no more memory a word than others; matches are as long as the common text."""
+    rng = random.Random(3)
+    item = [f"v{rng.randrange(5000)}" for _ in range(100_000)]
+    docs = spark.createDataFrame([(1, " ".join(["a", *item[500:900], "b", *item[7:20]])), (2, " ".join(item)), (3, " ".join(item[3:15])), (None, " ".join(item[:13]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join(item)), (6, "b " + item[7])], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find_benchmark(docs, bench).collect()}
+    assert [tuple(m) for m in got[1].matches] == [(5, 500, 1, 400), (6, 0, 401, 2), (5, 7, 402, 13)]
+    assert (got[1].begin, got[1].end) == ([1], [415]) and got[1]["items"] == [5, 6]
+    assert (5, 0, 0, 100_000) in [tuple(m) for m in got[2].matches] and got[2].end == [100_000]
+    assert got[3].matches == [] and [tuple(m) for m in got[None].matches] == [(5, 0, 0, 13)]
+    longest = {r["at"]: (r["words"], r["doc_id"], r["doc_at"]) for r in decontaminate.longest_matches(docs.where("doc_id = 1"), bench.where("item_id = 5")).where("at in (500, 899, 7)").collect()}
+    assert longest[500] == (400, 1, 1) and longest[7] == (13, 1, 402) and longest[899][0] >= 1
+
+
 def test_longest_matches(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x b c d q"), (3, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(9, "z b c d e y"), (8, "nothing here")], "item_id long, text string")
@@ -123,6 +164,27 @@ def test_all_bigrams_count_whatever_the_corpus_size(spark):
         assert all(abs(got[i].score - same[i]) < 1e-6 for i in got)
 
 
+def test_scores_equal_the_plain_model(spark, rows, docs):
+    """The score of each text by plain counts; the filter reads a count too high now and then, so a text may differ a little."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    texts = {r[0]: [*brute.tokens(r[1]), 0] for r in rows}
+    pairs = {i: list(zip([1, *t], t)) for i, t in texts.items()}
+    ones = collections.Counter(w for i, t in texts.items() if not held(i) for w in t)
+    twos = collections.Counter(p for i, ps in pairs.items() if not held(i) for p in ps)
+    n, kinds = sum(ones.values()), len(ones)
+    size = lambda c: 0.0 if not c else 2.0 ** (q := math.floor(math.log2(c))) * (1.5 if q else 1.0)
+    got, off = {r.doc_id: r.score for r in lm_score.score_texts(docs).collect()}, []
+    for i, ps in pairs.items():
+        want = 0.0
+        for h, w in ps:
+            whole, p = size(ones[0] if h == 1 else ones[h]), (ones[w] + 0.1) / (n + 0.1 * (kinds + 1))
+            both = size(twos[h, w]) if whole else 0.0
+            share = lm_score.MOST if whole else 0.0
+            want += math.log10(share * both / max(whole, both, 1.0) + (1 - share) * p)
+        off.append(abs(got[i] - want) / len(ps))
+    assert sorted(off)[len(off) // 2] < 0.02 and max(off) < 0.5
+
+
 def test_filter_gives_back_levels():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 2**64, 4000, dtype=np.uint64))
@@ -165,6 +227,51 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
 
 
+@settings(max_examples=30, deadline=None)
+@given(seed=st.integers(0, 9999), k=st.integers(1, 12))
+def test_votes_equal_brute_force_without_ones_own(seed, k):
+    rng = np.random.default_rng(seed)
+    examples = []
+    for i in range(rng.integers(1, 60)):
+        terms = np.sort(rng.choice(6, rng.integers(0, 4), replace=False))
+        examples.append({"doc_id": i, "toxic": int(rng.integers(0, 2)), "terms": terms.tolist(), "counts": rng.integers(1, 3, len(terms)).tolist()})
+    weight = {0: 3.0, 1: 1.0}
+    model = toxicity.Model(np.arange(6, dtype=np.uint64), 500, np.array([400, 9, 9, 50, 200, 3]), examples, weight, k)
+
+    def vector(e):
+        v = np.zeros(6)
+        v[e["terms"]] = (1 + np.log(e["counts"])) * model.idf[e["terms"]]
+        return v / (np.sqrt((v * v).sum()) or 1.0)
+
+    for e in examples[:15]:
+        others = [o for o in examples if o["doc_id"] != e["doc_id"]]
+        share, n, nearest, evidence = model.voted(np.array(e["terms"], np.int64), np.array(e["counts"], np.int64), e["doc_id"])
+        cosine = sorted(((round(float(vector(e) @ vector(o)), 10), o["toxic"]) for o in others if o["terms"] and vector(e) @ vector(o) > 0), reverse=True)
+        if not cosine:
+            votes = [(1.0, o["toxic"]) for o in others if not o["terms"]] if not e["terms"] else [(1.0, o["toxic"]) for o in others if not o["terms"]]
+        else:
+            least = cosine[min(k, len(cosine)) - 1][0]
+            votes = [c for c in cosine if c[0] >= least]
+            if n < len(votes):  # of those tied at the end whole entries come in until there are enough
+                continue
+            assert n == len(votes) and abs(nearest - cosine[0][0]) < 1e-8
+        toxic, total = sum(c * weight[1] for c, t in votes if t), sum(c * weight[t] for c, t in votes)
+        assert abs(share - (toxic + model.prior) / (total + 1.0)) < 1e-8 and e["doc_id"] not in evidence
+
+
+def test_the_curve_is_calibrated():
+    rng = np.random.default_rng(2)
+    share = rng.random(4000)
+    toxic = (rng.random(4000) < share**2 / (share**2 + (1 - share) ** 2)).astype(int)
+    curve = toxicity.fit_curve(share, toxic, np.ones(4000))
+    assert abs(curve[0] - 2) < 0.2 and abs(curve[1]) < 0.2
+    after = toxicity.calibrated(curve, share)
+    for low in (0.0, 0.2, 0.4, 0.6, 0.8):
+        mine = (after >= low) & (after < low + 0.2)
+        assert abs(toxic[mine].mean() - after[mine].mean()) < 0.06
+    assert toxicity.fit_curve(share, np.zeros(4000, int), np.ones(4000)) == (1.0, 0.0)
+
+
 @settings(max_examples=40, deadline=None)
 @given(seed=st.integers(0, 9999), k=st.integers(1, 30))
 def test_block_max_neighbours_are_exact(seed, k):
