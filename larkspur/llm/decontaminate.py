@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ids, numbered, only, slices, table, text_bytes, written
+from .common import ids, lean, numbered, only, slices, table, text_bytes, written
 from .kernels import ALNUM, covered, fold_case, ngrams, prefix_hash, running_hash, span_hash, spans_of, words
 
 #: Words that decide whether a position enters the suffix array.
 SEED = 3
+#: Text bytes of a shard; one longer document is a shard of its own.
+SHARD_BYTES = 2 << 20
 #: Words by which suffixes are ordered, at least.
 DEPTH = 13
 #: Places of windows that are looked at together.
@@ -202,7 +204,7 @@ def _find(bench: Benchmark, block: int, batches: Iterator[pa.RecordBatch]) -> It
     prefix = bench.suffixes[bench.starts].copy()
     span = bench.span[bench.item[bench.starts]]
     prefix[np.arange(bench.depth) >= span[:, None]] = 0
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text", SHARD_BYTES):
         word, doc = tokens(batch.column("text"))
         n = batch.num_rows
         n_words = np.bincount(doc, minlength=n)
@@ -225,7 +227,7 @@ def _find(bench: Benchmark, block: int, batches: Iterator[pa.RecordBatch]) -> It
 
 
 def _matches(bench: Benchmark, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text", SHARD_BYTES):
         word, doc = tokens(batch.column("text"))
         if not len(word):
             continue
@@ -260,10 +262,10 @@ def _found(rows: DataFrame, blocks: Iterator[Benchmark], window: int) -> DataFra
     context, parts = rows.sparkSession.sparkContext, []
     for k, bench in enumerate(blocks):
         shared = context.broadcast(bench)
-        parts.append(rows.mapInArrow(lambda batches, k=k, shared=shared: _find(shared.value, k, batches), HITS))
+        parts.append(rows.mapInArrow(lean(lambda batches, k=k, shared=shared: _find(shared.value, k, batches)), HITS))
     if not parts:
         nothing = context.broadcast(Benchmark(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), window))
-        parts.append(rows.mapInArrow(lambda batches: _find(nothing.value, 0, batches), HITS))
+        parts.append(rows.mapInArrow(lean(lambda batches: _find(nothing.value, 0, batches)), HITS))
     if len(parts) == 1:
         return parts[0]
     every = parts[0]
@@ -298,7 +300,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, block_words: int = 50
     spark, out = docs.sparkSession, None
     for bench in _blocks(benchmark, 1, block_words):  # every word may begin a match
         shared = spark.sparkContext.broadcast(bench)
-        found = only(docs, "doc_id", "text").mapInArrow(lambda batches, shared=shared: _matches(shared.value, batches), MATCHES)
+        found = only(docs, "doc_id", "text").mapInArrow(lean(lambda batches, shared=shared: _matches(shared.value, batches)), MATCHES)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], MATCHES)
@@ -315,7 +317,7 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 
 def _clean(bench: Benchmark, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text", SHARD_BYTES):
         rows = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], ["row", "doc_id", "text"])
         found = pa.Table.from_batches(list(_find(bench, 0, iter([rows]))))
         hit = np.array([sum(e) - sum(b) for b, e in zip(found.column("begin").to_pylist(), found.column("end").to_pylist())], np.int64)
@@ -336,7 +338,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13
         return docs
     if len(head) == 1:
         shared = docs.sparkSession.sparkContext.broadcast(head[0])
-        return docs.mapInArrow(lambda batches: _clean(shared.value, batches), docs.schema)
+        return docs.mapInArrow(lean(lambda batches: _clean(shared.value, batches)), docs.schema)
     names = [f"c{k}" for k in range(len(docs.columns))]
     rows = numbered(docs.toDF(*names), *names)
     of = rows.select("row", F.lit(None).cast("long").alias("doc_id"), F.col(names[docs.columns.index("text")]).alias("text"))

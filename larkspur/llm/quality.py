@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, slices, table, text_bytes
+from .common import lean, only, slices, table, text_bytes
 from .kernels import NOT_SPACE, mix, ngrams, prefix_hash, repeated, seen_before, span_hash, words
 
 U = np.uint64
@@ -198,7 +198,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_line
         picked += known.where((F.col("quality") > 0) == (quality > 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2).collect()
     chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, quality int"))  # max_docs rows
     text = only(docs, "doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).dropna()
-    rows = text.select("quality", "text").mapInArrow(_sample(max_lines), "quality int, n long, features array<double>").collect()
+    rows = text.select("quality", "text").mapInArrow(lean(_sample(max_lines)), "quality int, n long, features array<double>").collect()
     width = len(FEATURES)
     if not rows:
         return Chain(np.zeros(width), np.zeros((2, 2)))
@@ -232,7 +232,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, least_content: float = 0.5
     empty one. Repeated rows are judged alike. Without labels the chain is undecided and every line is boilerplate. sample: options of fit_chain().
     """
     chain = fit_chain(docs, labels, **sample)
-    return only(docs, "doc_id", "text").mapInArrow(lambda batches: _judge(chain, least_content, batches), MEASURES)
+    return only(docs, "doc_id", "text").mapInArrow(lean(lambda batches: _judge(chain, least_content, batches)), MEASURES)
 
 
 def _keep(chain: Chain, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +250,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least_content: float = 0.5, **
     Null and empty texts go. Repeated rows stay or go together; an empty table gives an empty result.
     """
     chain = fit_chain(docs, labels, **sample)
-    return docs.mapInArrow(lambda batches: _keep(chain, least_content, batches), docs.schema)
+    return docs.mapInArrow(lean(lambda batches: _keep(chain, least_content, batches)), docs.schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
