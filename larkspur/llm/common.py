@@ -177,16 +177,27 @@ def possible(rows: DataFrame, column: str, sketch: np.ndarray) -> DataFrame:
     return only(rows, column).mapInArrow(run, f"{column} long")
 
 
+#: Batches after which a worker gives memory back while its task goes on.
+GIVE_BACK = 16
+
+
 def lean(run):
-    """A batch function that gives memory back when a task ends: workers stay for other tasks, and several share an executor."""
+    """A batch function that gives memory back as a task goes on and when it ends: workers stay for other tasks, and several share an executor."""
+
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            for k, batch in enumerate(run(batches), 1):
+                yield batch
+                del batch
+                if k % GIVE_BACK == 0:
+                    give_back()
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return wrapped

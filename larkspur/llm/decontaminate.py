@@ -27,7 +27,7 @@ from .kernels import ALNUM, covered, fold_case, ngrams, prefix_hash, running_has
 #: Words that decide whether a position enters the suffix array.
 SEED = 3
 #: Text bytes of a shard; one longer document is a shard of its own.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Words by which suffixes are ordered, at least.
 DEPTH = 13
 #: Places of windows that are looked at together.
