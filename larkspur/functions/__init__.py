@@ -53,8 +53,17 @@ def mask_email(email: Column) -> Column:
 
 
 def contains_text(c: Column, text: str) -> Column:
-    """Case-insensitive search; % and _ in the text stay wildcards."""
-    return c.ilike(f"%{text}%")
+    """Case-insensitive search; % and _ in the text stay wildcards, a backslash is itself."""
+    return c.ilike("%" + text.replace("\\", "\\\\") + "%")
+
+
+DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+
+
+def week_begin(ts: Column, first_day: str = "monday") -> Column:
+    """The first day of the week of a time; the week begins on the named day."""
+    shift = DAYS.index(first_day)
+    return F.date_add(F.date_trunc("week", ts - F.expr(f"interval {shift} days")).cast("date"), shift)
 
 
 def tier(total: Column) -> Column:

@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import contains_text
+from ..functions import contains_text, week_begin
 
 
 def where_given(df: DataFrame, *predicates: Column | None) -> DataFrame:
@@ -34,13 +34,13 @@ def with_total(df: DataFrame, paged: DataFrame) -> DataFrame:
     return paged.crossJoin(F.broadcast(df.agg(F.count("*").alias("total_count"))))  # one row
 
 
-def spine(spark: SparkSession, start: date, end: date, unit: str = "month") -> DataFrame:
-    """period_start of every period that overlaps [start, end): no gaps."""
+def spine(spark: SparkSession, start: date, end: date, unit: str = "month", first_day: str = "monday") -> DataFrame:
+    """period_start of every period that overlaps [start, end): no gaps. Weeks begin on first_day."""
     if start >= end:
         return spark.createDataFrame([], "period_start date")
     first, last = F.lit(start).cast("date"), F.date_sub(F.lit(end).cast("date"), 1)
     step = F.expr({"month": "interval 1 month", "quarter": "interval 3 months", "week": "interval 7 days", "day": "interval 1 day"}[unit])
-    begin = F.trunc(first, unit) if unit != "day" else first
+    begin = first if unit == "day" else week_begin(first.cast("timestamp_ntz"), first_day) if unit == "week" else F.trunc(first, unit)
     return spark.range(1).select(F.explode(F.sequence(begin, last, step)).alias("period_start"))
 
 
@@ -53,3 +53,13 @@ def allocated(existing: DataFrame, key: str, fresh: DataFrame, order: list[Colum
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order: deduplication in which the latest wins."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def outer_apply_first(rows: DataFrame, other: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Each row with the first row of other, in the order, that has its keys; nulls where there is none."""
+    return rows.join(latest_per_key(other, keys, order), keys, "left")
+
+
+def matching(df: DataFrame, column: str, pattern: str) -> DataFrame:
+    """The rows of which a part of the column matches the regular expression."""
+    return df.where(F.col(column).rlike(pattern))

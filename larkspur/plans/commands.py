@@ -6,7 +6,6 @@ table, not row by row; single rows are looked up by key first, as their values d
 
 from __future__ import annotations
 
-import logging
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -20,7 +19,6 @@ from ..sources.catalog import Database
 from ..schemas import schema
 from .reports import RoutineError
 
-log = logging.getLogger(__name__)
 Outcome = tuple[Database, DataFrame]
 
 
@@ -122,7 +120,7 @@ def create_order(db: Database, customer_id: int, product_id: int, quantity: int,
 def process_refund(db: Database, order_id: int, reason: str | None, processed_by: str, as_of: datetime) -> Outcome:
     """Refunds a completed order and puts its lines back in their products' default warehouses.
 
-    Only places that have a stock row are restocked. Of two lines of a product the one of the smaller line_id counts, as one update touches a row once.
+    Only places that have a stock row are restocked. Of two lines of a product the one of the smaller line_id (then of the smaller quantity) counts, as one update touches a row once.
     """
     row = _one(db["orders"].where((F.col("order_id") == order_id) & (F.col("status") == "Completed")))
     if row is None or row["total_amount"] is None:
@@ -130,7 +128,7 @@ def process_refund(db: Database, order_id: int, reason: str | None, processed_by
     amount = row["total_amount"]
     refunds, refund_id = _appended(db, "refunds", "refund_id", order_id=order_id, amount=amount, reason=reason, processed_by=processed_by, processed_at=_ts(as_of), status="Completed")
     lines = db["order_lines"].where(F.col("order_id") == order_id).join(db["products"].select("product_id", F.col("default_warehouse_id").alias("warehouse_id")), "product_id").where("warehouse_id is not null")
-    back = lines.groupBy("product_id", "warehouse_id").agg(F.min_by("quantity", "line_id").alias("_back"))
+    back = lines.groupBy("product_id", "warehouse_id").agg(F.min_by("quantity", F.struct("line_id", "quantity")).alias("_back"))
     stock = db["inventory"].join(back, ["product_id", "warehouse_id"], "left")
     there = F.col("_back").isNotNull()
     stock = _set(stock, there, quantity_on_hand=F.col("quantity_on_hand") + F.col("_back"), last_updated=_ts(as_of)).select(*db["inventory"].columns)

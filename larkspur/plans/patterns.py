@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import full_name, money, zero_money
+from ..functions import full_name, money, week_begin, zero_money
 from ..operators.relational import spine
 from ..sources.catalog import Database
 from .reports import line_revenue
@@ -60,6 +60,13 @@ def revenue_by_month(db: Database, start: date, end: date, zone: str | None = No
     return rows.select("period_start", F.coalesce("order_count", F.lit(0)).alias("order_count"), money(F.coalesce("revenue", zero_money())).alias("revenue")).orderBy("period_start")
 
 
+def revenue_by_week(db: Database, start: date, end: date, first_day: str = "monday") -> DataFrame:
+    """RP-01 by week, the week begun on the named day: period_start, order_count, revenue; weeks without orders are 0."""
+    weekly = revenue_orders(db, start, end).groupBy(week_begin(F.col("created_at"), first_day).alias("period_start")).agg(F.count("*").cast("int").alias("order_count"), money(F.sum("total_amount")).alias("revenue"))
+    weeks = spine(db.spark, start, end, "week", first_day).join(weekly, "period_start", "left")
+    return weeks.select("period_start", F.coalesce("order_count", F.lit(0)).alias("order_count"), F.coalesce("revenue", zero_money()).alias("revenue")).orderBy("period_start")
+
+
 def category_revenue(db: Database, start: date, end: date) -> DataFrame:
     """RP-02: category (trimmed, lower case; null is unknown), units, revenue, share_pct of all revenue (null if there is none)."""
     name = F.coalesce(F.lower(F.trim("category")), F.lit("unknown"))
@@ -116,6 +123,12 @@ def order_value_stats(db: Database, start: date, end: date) -> DataFrame:
     return revenue_orders(db, start, end).agg(F.count("*").alias("orders"), money(F.avg("total_amount")).alias("average"), F.round(cont(0.5), 4).alias("median"), F.round(disc, 4).alias("median_actual"), F.round(cont(0.9), 4).alias("p90"))
 
 
+def order_value_percentiles(db: Database, start: date, end: date, shares: tuple[float, ...] = (0.5, 0.9), accuracy: int = 100_000) -> DataFrame:
+    """RP-07 for very many orders: share, value, off by a share of 1 / accuracy at most. Each task holds a sketch and not the distinct values, as the exact form does."""
+    one = revenue_orders(db, start, end).agg(F.percentile_approx("total_amount", list(shares), accuracy).alias("v"))
+    return one.select(F.explode(F.arrays_zip(F.array(*[F.lit(s) for s in shares]).alias("share"), F.col("v").alias("value"))).alias("r")).select("r.share", "r.value")
+
+
 def orders_by_month_status(db: Database, start: date, end: date, statuses: tuple[str, ...] = ("Pending", "Processed", "Completed", "Cancelled")) -> DataFrame:
     """RP-08: period_start, a count for each status, other and total. All orders count here, whatever their status."""
     orders = db["orders"].where((F.col("created_at") >= _day(start)) & (F.col("created_at") < _day(end)))

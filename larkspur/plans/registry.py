@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational, validation
 from ..sources.star import bind, half_up_sql, money_sql, read, with_views
+from ..schemas import FOREIGN_KEYS, PRIMARY_KEYS, UNIQUE_KEYS
 from . import commands, patterns, reports
 
 AS_OF = datetime(2001, 8, 1, 12, 0, 0)
@@ -110,6 +111,45 @@ def _schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.compare_schemas(source, target, spark.createDataFrame([("double", "decimal(19,4)")], "source_type string, target_type string"))
 
 
+COUPONS = "SELECT 1 AS coupon_id, 'SPRING' AS code, CAST(10 AS DECIMAL(5,2)) AS discount_pct, true AS is_active, TIMESTAMP_NTZ '2002-01-01 00:00:00' AS expires_at, 4 AS use_count UNION ALL SELECT 2, 'OLD', CAST(50 AS DECIMAL(5,2)), true, TIMESTAMP_NTZ '2001-01-01 00:00:00', 9"
+
+
+def _after(command, name: str, *columns: str):
+    """A table as a command leaves it."""
+    return _db(lambda db: command(db)[0][name].selectExpr(*columns))
+
+
+def _couponed(code: str):
+    return lambda db: commands.create_customer_order(db.replaced(coupons=db.spark.sql(COUPONS)), 7, 11, 3, AS_OF, coupon_code=code)
+
+
+def _refund(db):
+    """The refund of the first completed order."""
+    first = db["orders"].where("status = 'Completed'").agg(F.min("order_id")).first()[0]
+    return commands.process_refund(db, first, "damaged", "clerk", AS_OF)
+
+
+def _faulty(db):
+    """Every seventh order lacks its customer."""
+    return db.replaced(orders=db["orders"].withColumn("customer_id", F.when(F.col("order_id") % 7 != 0, F.col("customer_id"))))
+
+
+def _renamed(db):
+    known = db["customers"].withColumn("external_id", F.concat(F.lit("e-"), "customer_id")).withColumn("phone", F.lit("555"))
+    return commands.upsert_customer(db.replaced(customers=known), "e-7", "Ann", "Lee", "ann@example.com", AS_OF)
+
+
+def _first_shipping(db) -> DataFrame:
+    first = db["orders"].agg(F.min("order_id")).first()[0]
+    return reports.calculate_shipping(db, first, "60614", AS_OF, True, "0F8FAD5B-D9CB-469F-A165-70867728950E")
+
+
+def _latest_orders(db) -> DataFrame:
+    customers = db["customers"].select("customer_id", "last_name")
+    orders = db["orders"].select("customer_id", "order_id", "status", "created_at")
+    return relational.outer_apply_first(customers, orders, ["customer_id"], [F.desc("created_at"), F.desc("order_id")])
+
+
 QUERIES = {
     "r01_monthly_sales_summary": _db(lambda db: reports.monthly_sales_summary(db, 1998, 1)),
     "r02_customer_lifetime_value": _db(lambda db: reports.customer_lifetime_value(db, 7, AS_OF)),
@@ -122,7 +162,7 @@ QUERIES = {
     "r07_process_reorders": _result(lambda db: commands.process_reorders(db, "system", AS_OF, 50)),
     "r08_create_customer_order": _result(lambda db: commands.create_customer_order(db, 7, 11, 3, AS_OF, coupon_code="NONE")),
     "r09_order_history": _db(lambda db: reports.order_history(db, AS_OF, search_text="build", page_number=2)),
-    "r10_process_refund": _result(lambda db: commands.process_refund(db, 3, "damaged", "clerk", AS_OF) if not db["orders"].where("order_id = 3 and status = 'Completed'").isEmpty() else (db, db.spark.createDataFrame([], "refund_id int, refund_amount decimal(19,4), status string"))),
+    "r10_process_refund": _result(_refund),
     "r11_customer_summary": _db(lambda db: reports.customer_summary(db, 7, AS_OF)),
     "r12_customer_summary_referrals": _db(lambda db: reports.customer_referrals(db, 1)),
     "r13_sync_product_catalog": _result(lambda db: commands.sync_product_catalog(db, AS_OF, date(2001, 3, 1))),
@@ -156,9 +196,61 @@ QUERIES = {
     "op_merge_latest": _merge_latest,
     "op_integrity": _db(validation.integrity),
     "op_schema_compare": _schemas,
+    "r05_inventory_after": _after(lambda db: commands.adjust_stock(db, 26, 1, 5, "count", "auditor", AS_OF), "inventory", "cast(product_id as int) as product_id", "cast(warehouse_id as int) as warehouse_id", "quantity_on_hand", "last_updated"),
+    "r05_new_place_after": _after(lambda db: commands.adjust_stock(db, 26, 5, 8, "found", "auditor", AS_OF), "inventory", "cast(product_id as int) as product_id", "cast(warehouse_id as int) as warehouse_id", "quantity_on_hand", "last_updated"),
+    "r05_audit_after": _after(lambda db: commands.adjust_stock(db, 26, 1, 5, "count", "auditor", AS_OF), "inventory_audit", "audit_id", "product_id", "warehouse_id", "previous_qty", "adjustment", "new_qty", "reason", "adjusted_by", "adjusted_at"),
+    "r07_purchase_orders_after": _after(lambda db: commands.process_reorders(db, "system", AS_OF, 50), "purchase_orders", "purchase_order_id", "product_id", "warehouse_id", "quantity", "status", "created_by", "created_at"),
+    "r08_order_with_coupon": _result(_couponed("SPRING")),
+    "r08_orders_after": _after(_couponed("SPRING"), "orders", "cast(order_id as bigint) as order_id", "cast(customer_id as bigint) as customer_id", "total_amount", "discount_pct", "status", "requires_approval"),
+    "r08_lines_after": _db(lambda db: _couponed("SPRING")(db)[0]["order_lines"].where("line_total is not null").groupBy("product_id").agg(F.count("*").alias("n"), F.sum(F.col("quantity").cast("bigint")).alias("quantity"), F.sum("line_total").cast("decimal(19,4)").alias("line_total"))),
+    "r08_coupons_after": _after(_couponed("OLD"), "coupons", "code", "use_count"),
+    "r10_orders_after": _after(_refund, "orders", "cast(order_id as bigint) as order_id", "status", "updated_at"),
+    "r10_inventory_after": _after(_refund, "inventory", "cast(product_id as int) as product_id", "cast(warehouse_id as int) as warehouse_id", "quantity_on_hand", "last_updated"),
+    "r10_refunds_after": _after(_refund, "refunds", "refund_id", "cast(order_id as bigint) as order_id", "amount", "reason", "processed_by", "processed_at", "status"),
+    "r15_calculate_shipping": _db(_first_shipping),
+    "r16_lines_after": _db(lambda db: commands.create_order(db, 7, 11, 3, AS_OF)[0]["order_lines"].groupBy("product_id").agg(F.count("*").alias("n"), F.sum(F.col("quantity").cast("bigint")).alias("quantity"))),
+    "r17_orders_after": _after(lambda db: commands.process_pending_orders(_faulty(db), AS_OF, 100), "orders", "cast(order_id as bigint) as order_id", "status", "requires_approval", "processed_at"),
+    "r17_errors_after": _after(lambda db: commands.process_pending_orders(_faulty(db), AS_OF, 100), "processing_errors", "error_id", "order_id", "error_message", "occurred_at"),
+    "r18_upsert_known_customer": _result(_renamed),
+    "r18_customers_after": _after(_renamed, "customers", "cast(customer_id as bigint) as customer_id", "external_id", "first_name", "last_name", "email", "phone", "birth_date", "updated_at"),
+    "rp01_revenue_by_week": _db(lambda db: patterns.revenue_by_week(db, FROM, TO, "sunday")),
+    "rp07_order_value_percentiles": _db(lambda db: patterns.order_value_percentiles(db, FROM, TO, accuracy=1_000_000)),
+    "op_outer_apply": _db(_latest_orders),
+    "op_regex_match": _db(lambda db: relational.matching(db["products"], "sku", "^SKU-[0-9]*7$").select("sku", "product_name")),
     "op_json_report": _db(lambda db: patterns.as_json(patterns.revenue_by_month(db, FROM, TO))),
 }
 
+#: The model's tables as far as the star fills them, for the checks of keys.
+FILLED = {
+    "categories": "SELECT DISTINCT p_size AS category_id, 'Size ' || p_size AS category_name FROM part", "warehouses": "SELECT n_nationkey AS warehouse_id FROM nation", "customers": "SELECT *, NULL AS external_id FROM b_customers",
+    "products": "SELECT *, product_id % 25 AS default_warehouse_id FROM b_products", "inventory": "SELECT * FROM b_inventory", "orders": "SELECT *, NULL AS invoice_id FROM b_orders", "order_lines": "SELECT *, NULL AS line_id FROM b_lines",
+    "product_staging": "SELECT p_partkey AS staging_id FROM part WHERE p_partkey % 5 < 3",
+}
+
+
+def _integrity_sql() -> str:
+    def counted(rule: str, name: str, table: str, sql: str) -> str:
+        return f"SELECT '{rule}' AS rule, '{name}' AS table_name, {f'(SELECT count(*) FROM ({sql}))' if table in FILLED else '0'} AS violations"
+
+    parts = []
+    for table, keys in PRIMARY_KEYS.items():
+        names, unset = ", ".join(keys), " OR ".join(f"{k} IS NULL" for k in keys)
+        parts.append(counted("primary key", f"{table}({names})", table, f"SELECT {names} FROM ({FILLED.get(table)}) GROUP BY {names} HAVING count(*) > 1 OR {unset}"))
+    for table, column in UNIQUE_KEYS:
+        parts.append(counted("unique", f"{table}({column})", table, f"SELECT {column} FROM ({FILLED.get(table)}) WHERE {column} IS NOT NULL GROUP BY 1 HAVING count(*) > 1"))
+    for child, column, parent, key in FOREIGN_KEYS:
+        there = f"SELECT {key} FROM ({FILLED[parent]})" if parent in FILLED else "SELECT NULL WHERE false"
+        parts.append(counted("foreign key", f"{child}({column})", child, f"SELECT 1 FROM ({FILLED.get(child)}) c WHERE {column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ({there}) p(k) WHERE k = c.{column})"))
+    return with_views(" UNION ALL ".join(parts))
+
+
+NEW_ORDER = "(SELECT max(order_id) + 1 FROM b_orders)"
+FIRST_DONE = "(SELECT min(order_id) FROM b_orders WHERE status = 'Completed')"
+NOON = "TIMESTAMP '2001-08-01 12:00:00'"
+PRICE = "(SELECT price_m * 3 FROM b_products WHERE product_id = 11)"
+PLACE = "CAST(product_id AS INTEGER) AS product_id, CAST(warehouse_id AS INTEGER) AS warehouse_id"
+TYPES = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END"
+
 ORACLES = {
     "r01_monthly_sales_summary": with_views(f"""
         SELECT category, product_name, units_sold, {money_sql('rev')} AS revenue, {money_sql('price')} AS avg_selling_price, order_count, {money_sql('sum(rev) OVER (PARTITION BY category)')} AS category_revenue, rank() OVER (PARTITION BY category ORDER BY rev DESC) AS rank_in_category
@@ -178,7 +270,7 @@ ORACLES = {
           CAST(date_diff('day', CAST(created_at AS DATE), DATE '2001-08-01') AS INTEGER) AS days_ago, strftime(created_at, '%b %-d, %Y') AS order_date_display, strftime(last_day(created_at), '%m/%d/%Y') AS month_end,
           CASE WHEN total_m >= 10000000 THEN 'High Value' WHEN total_m >= 1000000 THEN 'Medium Value' ELSE 'Low Value' END AS value_tier, repeat('★', CASE WHEN total_m >= 10000000 THEN 3 WHEN total_m >= 1000000 THEN 2 ELSE 1 END) AS star_rating, row_num, total_count
         FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, order_id) AS row_num, count(*) OVER () AS total_count {HISTORY}) WHERE row_num BETWEEN 26 AND 50"""),
-    "r10_process_refund": with_views(f"SELECT 1 AS refund_id, {money_sql('total_m')} AS refund_amount, 'Completed' AS status FROM b_orders WHERE order_id = 3 AND status = 'Completed'"),
+    "r10_process_refund": with_views(f"SELECT 1 AS refund_id, {money_sql('total_m')} AS refund_amount, 'Completed' AS status FROM b_orders WHERE order_id = {FIRST_DONE}"),
     "r11_customer_summary": with_views(f"WITH {SPEND} SELECT CAST(customer_id AS INTEGER) AS customer_id, first_name || ' ' || last_name AS full_name, left(email, 1) || repeat('*', strpos(email, '@') - 2) || substr(email, strpos(email, '@')) AS masked_email, CAST(2001 - year(birth_date) AS INTEGER) AS age, {money_sql('total')} AS total_spend, CAST(n AS INTEGER) AS order_count, {MEAN} AS avg_order_value, {_tier('total')} AS tier, {TENURE} AS tenure_months, strftime(first_at, '%Y-%m-%d') AS first_order_date, strftime(last_at, '%Y-%m-%d') AS last_order_date, strftime(last_at + INTERVAL 30 DAY, '%Y-%m-%d') AS estimated_next_order FROM b_customers, b_spend WHERE customer_id = 7"),
     "r12_customer_summary_referrals": with_views(TREE.format(name="name", level="level", money=money_sql("coalesce(m, 0)"))),
     "r13_sync_product_catalog": with_views(f"{SYNC} SELECT action, CAST(count(*) AS INTEGER) AS count, CAST(count(*) FILTER (action = 'INSERT') AS INTEGER) AS inserted, CAST(count(*) FILTER (action = 'UPDATE') AS INTEGER) AS updated, 0 AS deleted FROM acts WHERE action IS NOT NULL GROUP BY action"),
@@ -213,4 +305,28 @@ ORACLES = {
     "op_latest_per_key": "SELECT user_id, event_type, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "op_aggregate_then_join": with_views("SELECT customer_id, count(*) AS orders_above FROM (SELECT customer_id, total_m, sum(total_m) OVER (PARTITION BY customer_id) AS s, count(*) OVER (PARTITION BY customer_id) AS n FROM b_orders) WHERE total_m * n > s GROUP BY customer_id"),
     "op_merge_latest": "SELECT user_id, event_id AS version, CAST(round(value * 100) AS BIGINT) AS cents FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+    "r05_inventory_after": with_views(f"SELECT {PLACE}, quantity_on_hand + CASE WHEN product_id = 26 AND warehouse_id = 1 THEN 5 ELSE 0 END AS quantity_on_hand, CASE WHEN product_id = 26 AND warehouse_id = 1 THEN {NOON} END AS last_updated FROM b_inventory"),
+    "r05_new_place_after": with_views(f"SELECT {PLACE}, quantity_on_hand, CAST(NULL AS TIMESTAMP) AS last_updated FROM b_inventory UNION ALL SELECT 26, 5, 8, {NOON}"),
+    "r05_audit_after": with_views(f"SELECT 1 AS audit_id, 26 AS product_id, 1 AS warehouse_id, quantity_on_hand AS previous_qty, 5 AS adjustment, quantity_on_hand + 5 AS new_qty, 'count' AS reason, 'auditor' AS adjusted_by, {NOON} AS adjusted_at FROM b_inventory WHERE product_id = 26 AND warehouse_id = 1"),
+    "r07_purchase_orders_after": with_views(f"WITH {LOW} SELECT CAST(row_number() OVER (ORDER BY quantity_on_hand, product_id, warehouse_id) AS INTEGER) AS purchase_order_id, {PLACE}, 50 AS quantity, 'Draft' AS status, 'system' AS created_by, {NOON} AS created_at FROM low QUALIFY purchase_order_id <= 50"),
+    "r08_order_with_coupon": with_views(f"SELECT CAST({NEW_ORDER} AS BIGINT) AS order_id, customer_id, first_name || ' ' || last_name AS customer_name, {money_sql(PRICE + ' * 9 // 10')} AS total_amount, CAST(10 AS DECIMAL(5,2)) AS discount_pct, 'Pending' AS status, '2001-08-01 12:00:00' AS created_at_formatted FROM b_customers WHERE customer_id = 7"),
+    "r08_orders_after": with_views(f"SELECT order_id, customer_id, {money_sql('total_m')} AS total_amount, CAST(0 AS DECIMAL(5,2)) AS discount_pct, status, false AS requires_approval FROM b_orders UNION ALL SELECT {NEW_ORDER}, 7, {money_sql(PRICE + ' * 9 // 10')}, 10, 'Pending', false"),
+    "r08_lines_after": with_views(f"SELECT product_id, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity, {money_sql('sum(m)')} AS line_total FROM (SELECT product_id, quantity, amount_m AS m FROM b_lines UNION ALL SELECT 11, 3, {PRICE} * 9 // 10) GROUP BY 1"),
+    "r08_coupons_after": "SELECT 'SPRING' AS code, 4 AS use_count UNION ALL SELECT 'OLD', 10",
+    "r10_orders_after": with_views(f"SELECT order_id, CASE WHEN order_id = {FIRST_DONE} THEN 'Refunded' ELSE status END AS status, CASE WHEN order_id = {FIRST_DONE} THEN {NOON} END AS updated_at FROM b_orders"),
+    "r10_inventory_after": with_views(f"WITH back AS (SELECT product_id, product_id % 25 AS warehouse_id, min(quantity) AS q, count(*) AS n FROM b_lines WHERE order_id = {FIRST_DONE} GROUP BY 1, 2) SELECT CAST(i.product_id AS INTEGER) AS product_id, CAST(i.warehouse_id AS INTEGER) AS warehouse_id, CAST(quantity_on_hand + coalesce(q, 0) AS INTEGER) AS quantity_on_hand, CASE WHEN q IS NOT NULL THEN {NOON} END AS last_updated FROM b_inventory i LEFT JOIN back b ON b.product_id = i.product_id AND b.warehouse_id = i.warehouse_id"),
+    "r10_refunds_after": with_views(f"SELECT 1 AS refund_id, order_id, {money_sql('total_m')} AS amount, 'damaged' AS reason, 'clerk' AS processed_by, {NOON} AS processed_at, 'Completed' AS status FROM b_orders WHERE order_id = {FIRST_DONE}"),
+    "r15_calculate_shipping": with_views(f"WITH w AS (SELECT order_id, sum(weight * quantity) AS kg FROM b_lines JOIN b_products USING (product_id) WHERE order_id = (SELECT min(order_id) FROM b_orders) GROUP BY 1) SELECT CAST(order_id AS INTEGER) AS order_id, '0f8fad5bd9cb469fa16570867728950e' AS tracking_number, CAST(kg AS DECIMAL(10,3)) AS total_weight_lbs, {money_sql('CASE WHEN total_m >= 500000 THEN 0 ELSE kg * 12000 + kg * 6000 END')} AS shipping_cost, true AS is_expedited, DATE '2001-08-02' AS estimated_delivery, '2001-08-01T12:00:00' AS calculated_at FROM w JOIN b_orders USING (order_id)"),
+    "r16_lines_after": with_views("SELECT product_id, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity FROM (SELECT product_id, quantity FROM b_lines UNION ALL SELECT 11, 3) GROUP BY 1"),
+    "r17_orders_after": with_views(f"WITH batch AS (SELECT order_id FROM b_orders WHERE status = 'Pending' ORDER BY order_id LIMIT 100), good AS (SELECT order_id FROM batch WHERE order_id % 7 <> 0) SELECT o.order_id, CASE WHEN g.order_id IS NOT NULL THEN 'Processed' ELSE status END AS status, g.order_id IS NOT NULL AND total_m > 10000000 AS requires_approval, CASE WHEN g.order_id IS NOT NULL THEN {NOON} END AS processed_at FROM b_orders o LEFT JOIN good g ON g.order_id = o.order_id"),
+    "r17_errors_after": with_views(f"WITH batch AS (SELECT order_id FROM b_orders WHERE status = 'Pending' ORDER BY order_id LIMIT 100) SELECT CAST(row_number() OVER (ORDER BY order_id) AS INTEGER) AS error_id, CAST(order_id AS INTEGER) AS order_id, 'a required value is null' AS error_message, {NOON} AS occurred_at FROM batch WHERE order_id % 7 = 0"),
+    "r18_upsert_known_customer": "SELECT 'UPDATE' AS action, CAST(7 AS BIGINT) AS customer_id, 'ann@example.com' AS email",
+    "r18_customers_after": with_views(f"SELECT customer_id, 'e-' || customer_id AS external_id, CASE customer_id WHEN 7 THEN 'Ann' ELSE first_name END AS first_name, CASE customer_id WHEN 7 THEN 'Lee' ELSE last_name END AS last_name, CASE customer_id WHEN 7 THEN 'ann@example.com' ELSE email END AS email, CASE customer_id WHEN 7 THEN NULL ELSE '555' END AS phone, birth_date, CASE customer_id WHEN 7 THEN {NOON} END AS updated_at FROM b_customers"),
+    "rp01_revenue_by_week": with_views(f"WITH {REV}, weeks AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1997-12-28', TIMESTAMP '1998-12-31', INTERVAL 7 DAY)) AS DATE) AS period_start) SELECT period_start, CAST(count(order_id) AS INTEGER) AS order_count, {money_sql('coalesce(sum(total_m), 0)')} AS revenue FROM weeks LEFT JOIN b_rev ON CAST(created_at AS DATE) >= period_start AND CAST(created_at AS DATE) < period_start + 7 GROUP BY 1"),
+    "rp07_order_value_percentiles": with_views(f"WITH {REV}, v AS (SELECT total_m, row_number() OVER (ORDER BY total_m) AS k, count(*) OVER () AS n FROM b_rev) SELECT CAST(p AS DOUBLE) AS share, {money_sql('min(total_m)')} AS value FROM v, (VALUES (0.5), (0.9)) s(p) WHERE k >= CAST(ceil(CAST(p AS DOUBLE) * n) AS BIGINT) GROUP BY 1"),
+    "op_outer_apply": with_views("SELECT c.customer_id, last_name, order_id, status, created_at FROM b_customers c LEFT JOIN LATERAL (SELECT order_id, status, created_at FROM b_orders o WHERE o.customer_id = c.customer_id ORDER BY created_at DESC, order_id DESC LIMIT 1) ON true"),
+    "op_regex_match": with_views("SELECT sku, product_name FROM b_products WHERE product_id % 10 = 7"),
+    "op_integrity": _integrity_sql(),
+    "op_schema_compare": f"WITH s AS (SELECT column_name, {TYPES} AS source_type FROM (DESCRIBE orders)), t AS (SELECT column_name, CASE column_name WHEN 'o_totalprice' THEN 'decimal(19,4)' WHEN 'o_orderdate' THEN 'timestamp_ntz' ELSE source_type END AS target_type FROM s WHERE column_name IN ('o_orderkey', 'o_custkey', 'o_orderdate', 'o_totalprice', 'o_orderstatus') UNION ALL SELECT 'notes', 'string') SELECT 'orders' AS table_name, column_name, source_type, target_type, CASE WHEN target_type IS NULL THEN 'MISSING_TARGET' WHEN source_type IS NULL THEN 'MISSING_SOURCE' WHEN source_type = target_type THEN 'EXACT' WHEN source_type = 'double' AND target_type = 'decimal(19,4)' THEN 'APPROVED_TRANSFORM' ELSE 'CONFLICT' END AS verdict FROM s FULL JOIN t USING (column_name)",
+    "op_json_report": with_views(f"""WITH {MONTHLY} SELECT '[' || string_agg('{{"period_start":"' || period_start || '","order_count":' || order_count || ',"revenue":' || {money_sql('rev_m')} || '}}', ',' ORDER BY period_start) || ']' AS report FROM monthly"""),
 }

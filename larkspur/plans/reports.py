@@ -5,6 +5,7 @@ as_of stands for the current time wherever a routine needs one.
 
 from __future__ import annotations
 
+import logging
 import uuid
 from datetime import date, datetime, timedelta
 
@@ -17,6 +18,8 @@ from ..operators.relational import any_contains, page, where_given, with_total
 from ..sources.catalog import Database
 
 CANCELLED = ("Cancelled",)
+#: Notices of the routines.
+log = logging.getLogger(__name__)
 
 
 class RoutineError(Exception):
@@ -120,7 +123,7 @@ def product_performance(db: Database, start: date, end: date, group_by: str = "m
 
 
 def low_stock_alerts(db: Database, as_of: datetime, threshold: int = 10, warehouse_id: int | None = None) -> DataFrame:
-    """Active products at or under their reorder point (the threshold where they have none), largest shortfall first."""
+    """Active products at or under their reorder point (the threshold where they have none), largest shortfall first. If there are none, it is logged where notices are on."""
     stock = where_given(db["inventory"], F.col("warehouse_id") == warehouse_id if warehouse_id is not None else None)
     point = F.coalesce("reorder_point", F.lit(threshold))
     rows = stock.join(db["products"].where("is_active").select("product_id", "product_name", "sku", point.cast("int").alias("reorder_point")), "product_id").join(db["warehouses"], "warehouse_id").where("quantity_on_hand <= reorder_point")
@@ -128,6 +131,8 @@ def low_stock_alerts(db: Database, as_of: datetime, threshold: int = 10, warehou
         F.col("product_id").cast("int").alias("product_id"), "product_name", "sku", F.col("warehouse_id").cast("int").alias("warehouse_id"), "warehouse_name", F.col("quantity_on_hand").alias("current_stock"), "reorder_point",
         (F.col("reorder_point") - F.col("quantity_on_hand")).alias("shortfall_qty"), F.date_format("last_restocked", "MM/dd/yyyy").alias("last_restocked_formatted"), days_between(F.col("last_restocked"), _ts(as_of)).alias("days_since_restock"),
     )
+    if log.isEnabledFor(logging.INFO) and rows.isEmpty():
+        log.info("No low-stock alerts found.")
     return rows.orderBy(F.desc_nulls_last("shortfall_qty"), F.desc_nulls_last("days_since_restock"), "product_id", "warehouse_id")
 
 

@@ -1,4 +1,4 @@
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal as D
 
 import pytest
@@ -139,3 +139,40 @@ def test_plans_push_filters_and_use_no_python(spark):
 
     plan = QUERIES["r01_monthly_sales_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "PushedFilters: [" in plan and "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_search_text_with_a_backslash(spark):
+    from larkspur.functions import contains_text
+
+    rows = spark.createDataFrame([("xA\\Bx",), ("ab",), ("a_b",)], "t string")
+    assert [r.t for r in rows.where(contains_text(F.col("t"), "a\\b")).collect()] == ["xA\\Bx"]
+    assert [r.t for r in rows.where(contains_text(F.col("t"), "a_b")).collect()] == ["xA\\Bx", "a_b"]
+
+
+def test_weeks_begin_on_any_day(spark):
+    from larkspur.functions import DAYS, week_begin
+    from larkspur.operators.relational import spine
+
+    days = [date(2024, 2, 25) + timedelta(k) for k in range(9)]
+    rows = spark.createDataFrame([(d,) for d in days], "d date").withColumn("ts", F.col("d").cast("timestamp_ntz"))
+    for k, name in enumerate(DAYS):
+        got = {r.d: r.w for r in rows.select("d", week_begin(F.col("ts"), name).alias("w")).collect()}
+        assert all(w.weekday() == k and 0 <= (d - w).days < 7 for d, w in got.items())
+    assert [r.period_start for r in spine(spark, date(2024, 2, 28), date(2024, 3, 4), "week", "sunday").collect()] == [date(2024, 2, 25), date(2024, 3, 3)]
+
+
+def test_no_alerts_are_a_notice(spark, caplog):
+    from larkspur.sources.catalog import Database
+
+    with caplog.at_level("INFO", logger="larkspur.plans.reports"):
+        assert reports.low_stock_alerts(Database(spark), datetime(2024, 1, 1)).count() == 0
+    assert "No low-stock alerts found." in caplog.messages
+
+
+def test_outer_apply_and_regular_expressions(spark):
+    from larkspur.operators.relational import matching, outer_apply_first
+
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    right = spark.createDataFrame([(1, 5), (1, 9), (3, 1)], "k int, v int")
+    assert sorted((r.k or 0, r.v or 0) for r in outer_apply_first(left, right, ["k"], [F.desc("v")]).collect()) == [(0, 0), (1, 9), (2, 0)]
+    assert [r.t for r in matching(spark.createDataFrame([("0f8f",), ("0G",), (None,)], "t string"), "t", "^[0-9a-f]+$").collect()] == ["0f8f"]
