@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FOREIGN_KEYS, PRIMARY_KEYS, UNIQUE_KEYS
@@ -24,15 +25,40 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
 
 
 def integrity(db: Database) -> DataFrame:
-    """One row for each rule of the model: rule, table_name, violations."""
-    parts = []
+    """One row for each rule of the model: rule, table_name, violations.
+
+    A primary key is violated once by each value that stands more than once or holds a null, a unique column by each value (but null) that does, a foreign key by each row
+    whose value has no parent; tables that aren't there are empty. Each table that is there is read once for all rules it takes part in, and all values meet in one shuffle, counted before it.
+    """
+    rules: list[tuple[str, str]] = []
+    values: dict[str, list[Column]] = {}
+
+    def seen(rule: int, table: str, columns: list[str], by: str, nulls_count: bool = False) -> None:
+        unset = reduce(or_, [F.col(c).isNull() for c in columns])
+        entry = F.struct(F.lit(rule).alias("rule"), F.to_json(F.array(*[F.col(c).cast("string") for c in columns])).alias("value"), unset.alias("unset"), *[F.lit(int(by == b)).alias(b) for b in ("own", "child", "parent")])
+        values.setdefault(table, []).append(entry if nulls_count else F.when(~unset, entry))
+
+    def rule(kind: str, name: str) -> int:
+        rules.append((kind, name))
+        return len(rules) - 1
+
     for table, keys in PRIMARY_KEYS.items():
-        parts.append(key_violations(db[table], keys).agg(F.count("*").alias("violations")).select(F.lit("primary key").alias("rule"), F.lit(f"{table}({', '.join(keys)})").alias("table_name"), "violations"))
+        seen(rule("primary key", f"{table}({', '.join(keys)})"), table, keys, "own", nulls_count=True)
     for table, column in UNIQUE_KEYS:
-        parts.append(key_violations(db[table], [column], nulls_violate=False).agg(F.count("*").alias("violations")).select(F.lit("unique").alias("rule"), F.lit(f"{table}({column})").alias("table_name"), "violations"))
+        seen(rule("unique", f"{table}({column})"), table, [column], "own")
     for child, column, parent, key in FOREIGN_KEYS:
-        parts.append(orphans(db[child], column, db[parent], key).agg(F.count("*").alias("violations")).select(F.lit("foreign key").alias("rule"), F.lit(f"{child}({column})").alias("table_name"), "violations"))
-    return reduce(DataFrame.unionByName, parts)
+        k = rule("foreign key", f"{child}({column})")
+        seen(k, child, [column], "child")
+        seen(k, parent, [key], "parent")
+    if not db.tables:
+        return db.spark.createDataFrame([(*r, 0) for r in rules], "rule string, table_name string, violations long")
+    found = reduce(DataFrame.unionByName, [db[t].select(F.explode(F.array_compact(F.array(*v))).alias("e")).select("e.*") for t, v in values.items() if t in db.tables])
+    counted = found.groupBy("rule", "value", "unset").agg(*[F.sum(c).alias(c) for c in ("own", "child", "parent")])
+    bad = F.when(F.col("own") > 0, ((F.col("own") > 1) | F.col("unset")).cast("long")).when(F.col("parent") == 0, F.col("child")).otherwise(0)
+    violations = counted.groupBy("rule").agg(F.sum(bad).alias("violations"))
+    names = db.spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], "_rule int, rule string, table_name string")
+    counts = F.broadcast(violations.withColumnRenamed("rule", "_rule"))  # a row for each rule
+    return names.join(counts, "_rule", "left").select("rule", "table_name", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))
 
 
 def schema_rows(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:

@@ -37,8 +37,7 @@ def revenue_orders(db: Database, start: date, end: date, zone: str | None = None
 
 def revenue_lines(db: Database, start: date, end: date) -> DataFrame:
     """Lines of revenue_orders() with category, sku and revenue."""
-    lines = db["order_lines"]
-    lines = lines.select("order_id", "product_id", "quantity", line_revenue(lines).alias("revenue"))
+    lines = db["order_lines"].select("order_id", "product_id", "quantity", line_revenue().alias("revenue"))
     return lines.join(revenue_orders(db, start, end), "order_id").join(db["products"].select("product_id", "category", "sku"), "product_id")
 
 
@@ -156,16 +155,13 @@ def stock_as_of(db: Database, day: date) -> DataFrame:
 
 
 def funnel(events: DataFrame, steps: tuple[str, ...], user: str = "user_id", kind: str = "event_type", at: str = "ts") -> DataFrame:
-    """RP-11: step, name, users, pct_of_first: users who did all steps up to this one, each no earlier than the one before. Steps without users are 0."""
-    times = events.where(F.col(kind).isin(*steps)).groupBy(user).agg(*[F.array_sort(F.collect_set(F.when(F.col(kind) == s, F.col(at)))).alias(f"t{i}") for i, s in enumerate(steps)])
-    reached = F.array_min("t0")
-    flags = [reached.isNotNull()]
-    columns = times.withColumn("r0", reached)
-    since = lambda before: lambda t: t >= F.col(before)
-    for i in range(1, len(steps)):
-        columns = columns.withColumn(f"r{i}", F.array_min(F.filter(f"t{i}", since(f"r{i - 1}"))))
-        flags.append(F.col(f"r{i}").isNotNull())
-    counts = columns.agg(*[F.count(F.col(f"r{i}")).alias(f"n{i}") for i in range(len(steps))])
+    """RP-11: step, name, users, pct_of_first: users who did all steps up to this one, each no earlier than the one before. Steps without users are 0; events without a user count nowhere."""
+    did = lambda s: events.where((F.col(kind) == s) & F.col(user).isNotNull()).select(F.col(user).alias("_user"), F.col(at).alias("_at"))
+    reached = did(steps[0]).groupBy("_user").agg(F.min("_at").alias("_since")).where("_since is not null")
+    counts = reached.agg(F.count("*").alias("n0"))
+    for i, s in enumerate(steps[1:], 1):  # of each user only the first time at each step is held
+        reached = did(s).join(reached, "_user").where("_at >= _since").groupBy("_user").agg(F.min("_at").alias("_since"))
+        counts = counts.crossJoin(F.broadcast(reached.agg(F.count("*").alias(f"n{i}"))))  # one row
     rows = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(s).alias("name"), F.col(f"n{i}").alias("users"), F.col("n0").alias("first")) for i, s in enumerate(steps)]))
     return counts.select(rows.alias("r")).select("r.step", "r.name", "r.users", _ratio(F.col("r.users").cast("decimal(19,0)"), F.col("r.first").cast("decimal(19,0)")).alias("pct_of_first")).orderBy("step")
 

@@ -311,7 +311,7 @@ ORACLES = {
     "r07_purchase_orders_after": with_views(f"WITH {LOW} SELECT CAST(row_number() OVER (ORDER BY quantity_on_hand, product_id, warehouse_id) AS INTEGER) AS purchase_order_id, {PLACE}, 50 AS quantity, 'Draft' AS status, 'system' AS created_by, {NOON} AS created_at FROM low QUALIFY purchase_order_id <= 50"),
     "r08_order_with_coupon": with_views(f"SELECT CAST({NEW_ORDER} AS BIGINT) AS order_id, customer_id, first_name || ' ' || last_name AS customer_name, {money_sql(PRICE + ' * 9 // 10')} AS total_amount, CAST(10 AS DECIMAL(5,2)) AS discount_pct, 'Pending' AS status, '2001-08-01 12:00:00' AS created_at_formatted FROM b_customers WHERE customer_id = 7"),
     "r08_orders_after": with_views(f"SELECT order_id, customer_id, {money_sql('total_m')} AS total_amount, CAST(0 AS DECIMAL(5,2)) AS discount_pct, status, false AS requires_approval FROM b_orders UNION ALL SELECT {NEW_ORDER}, 7, {money_sql(PRICE + ' * 9 // 10')}, 10, 'Pending', false"),
-    "r08_lines_after": with_views(f"SELECT product_id, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity, {money_sql('sum(m)')} AS line_total FROM (SELECT product_id, quantity, amount_m AS m FROM b_lines UNION ALL SELECT 11, 3, {PRICE} * 9 // 10) GROUP BY 1"),
+    "r08_lines_after": with_views(f"SELECT product_id, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity, {money_sql('sum(m)')} AS line_total FROM (SELECT product_id, quantity, stored_m AS m FROM b_lines UNION ALL SELECT 11, 3, {PRICE} * 9 // 10) GROUP BY 1"),
     "r08_coupons_after": "SELECT 'SPRING' AS code, 4 AS use_count UNION ALL SELECT 'OLD', 10",
     "r10_orders_after": with_views(f"SELECT order_id, CASE WHEN order_id = {FIRST_DONE} THEN 'Refunded' ELSE status END AS status, CASE WHEN order_id = {FIRST_DONE} THEN {NOON} END AS updated_at FROM b_orders"),
     "r10_inventory_after": with_views(f"WITH back AS (SELECT product_id, product_id % 25 AS warehouse_id, min(quantity) AS q, count(*) AS n FROM b_lines WHERE order_id = {FIRST_DONE} GROUP BY 1, 2) SELECT CAST(i.product_id AS INTEGER) AS product_id, CAST(i.warehouse_id AS INTEGER) AS warehouse_id, CAST(quantity_on_hand + coalesce(q, 0) AS INTEGER) AS quantity_on_hand, CASE WHEN q IS NOT NULL THEN {NOON} END AS last_updated FROM b_inventory i LEFT JOIN back b ON b.product_id = i.product_id AND b.warehouse_id = i.warehouse_id"),

@@ -37,16 +37,15 @@ def _months_back(at: datetime, n: int) -> Column:
     return _ts(at) - F.expr(f"interval {n} months")
 
 
-def line_revenue(lines: DataFrame) -> Column:
-    """The amount of a line, where it is stored; else quantity * unit price."""
-    return F.col("line_amount") if "line_amount" in lines.columns else F.col("quantity") * F.col("unit_price")
+def line_revenue() -> Column:
+    """The amount of a line: quantity * unit price."""
+    return F.col("quantity") * F.col("unit_price")
 
 
 def sold_lines(db: Database, first: Column, last: Column, excluded: tuple[str, ...] = CANCELLED) -> DataFrame:
     """Lines of orders from first to last, both included, that aren't of an excluded status, with their product."""
     orders = db["orders"].where(F.col("created_at").between(first, last) & ~F.col("status").isin(*excluded)).select("order_id", "created_at")
-    lines = db["order_lines"]
-    lines = lines.select("order_id", "product_id", "quantity", "unit_price", line_revenue(lines).alias("revenue"))
+    lines = db["order_lines"].select("order_id", "product_id", "quantity", "unit_price", line_revenue().alias("revenue"))
     return lines.join(orders, "order_id").join(db["products"].select("product_id", "product_name", "category", "sku"), "product_id")
 
 

@@ -1,7 +1,7 @@
 """The driver's star schema bound to the retail model.
 
 What the star lacks is derived from its keys, the same way here and in the SQL of SQL_VIEWS. The order status F is Completed, O Pending and P Cancelled. The
-amount of a line is l_extendedprice; its unit price is amount / quantity. Lines have no key in the star, so line_id is null.
+total of a line is l_extendedprice; its unit price is total / quantity. Lines have no key in the star, so line_id is null.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Database:
         F.lit(0).cast("decimal(5,2)").alias("discount_pct"), none("string").alias("notes"), status.alias("status"), F.lit(False).alias("requires_approval"), none("int").alias("invoice_id"), none("timestamp_ntz").alias("updated_at"), none("timestamp_ntz").alias("processed_at"),
     )
     amount = money("l_extendedprice")
-    lines = t["lineitem"].select(none("int").alias("line_id"), c("l_orderkey").alias("order_id"), c("l_partkey").alias("product_id"), c("l_quantity").cast("smallint").alias("quantity"), money(amount / c("l_quantity").cast("decimal(5,0)")).alias("unit_price"), amount.alias("line_total"), amount.alias("line_amount"))
+    lines = t["lineitem"].select(none("int").alias("line_id"), c("l_orderkey").alias("order_id"), c("l_partkey").alias("product_id"), c("l_quantity").cast("smallint").alias("quantity"), money(amount / c("l_quantity").cast("decimal(5,0)")).alias("unit_price"), amount.alias("line_total"))
     key = c("p_partkey")
     products = t["part"].select(
         key.alias("product_id"), F.concat(F.lit("SKU-"), key).alias("sku"), c("p_name").alias("product_name"), c("p_type").alias("category"), c("p_size").alias("category_id"), money("p_retailprice").alias("price"), c("p_size").cast("decimal(10,3)").alias("weight_lbs"),
@@ -60,7 +60,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Database:
 #: The same bindings in SQL; money is whole ten-thousandths (bigint) here and becomes decimal at the end.
 SQL_VIEWS = {
     "b_orders": "SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderdate AS created_at, CAST(round(o_totalprice * 100) AS BIGINT) * 100 AS total_m, CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Pending' ELSE 'Cancelled' END AS status FROM orders",
-    "b_lines": "SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS BIGINT) AS quantity, CAST(round(l_extendedprice * 100) AS BIGINT) * 100 AS amount_m, (CAST(round(l_extendedprice * 100) AS BIGINT) * 200 + CAST(l_quantity AS BIGINT)) // (2 * CAST(l_quantity AS BIGINT)) AS unit_m FROM lineitem",
+    "b_lines": "SELECT *, quantity * unit_m AS amount_m FROM (SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS BIGINT) AS quantity, CAST(round(l_extendedprice * 100) AS BIGINT) * 100 AS stored_m, (CAST(round(l_extendedprice * 100) AS BIGINT) * 200 + CAST(l_quantity AS BIGINT)) // (2 * CAST(l_quantity AS BIGINT)) AS unit_m FROM lineitem)",
     "b_products": "SELECT p_partkey AS product_id, 'SKU-' || p_partkey AS sku, p_name AS product_name, p_type AS category, p_size AS category_id, CAST(round(p_retailprice * 100) AS BIGINT) * 100 AS price_m, p_size AS weight, p_partkey % 10 <> 0 AS is_active, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 20 END AS reorder_point, TIMESTAMP '1995-01-01' + to_days(CAST(p_partkey % 1000 AS INTEGER)) AS created_at FROM part",
     "b_customers": "SELECT c_custkey AS customer_id, c_mktsegment AS first_name, c_name AS last_name, lower(replace(c_name, '#', '.')) || '@example.com' AS email, DATE '1950-01-01' + CAST(c_custkey % 18000 AS INTEGER) AS birth_date, CASE WHEN c_custkey > 0 THEN c_custkey // 10 END AS referred_by FROM customer",
     "b_inventory": "SELECT product_id, warehouse_id, CAST((product_id * 13 + warehouse_id) % 40 AS INTEGER) AS quantity_on_hand, CASE WHEN product_id % 7 <> 0 THEN TIMESTAMP '2001-01-01' - to_days(CAST(product_id % 300 AS INTEGER)) END AS last_restocked FROM (SELECT DISTINCT p_partkey AS product_id, unnest([p_partkey % 25, (p_partkey * 7 + 3) % 25]) AS warehouse_id FROM part)",
