@@ -13,7 +13,8 @@ Only text that can have a copy is ordered, and the order is made piece by piece:
 3. The places found go back to their documents, whose kept bytes are put together.
 
 Equal texts are found beforehand: all but those of the smallest id are copies as a whole. No string meets all its copies in one task: equal
-anchors of a task's documents are merged before each shuffle.
+anchors of a task's documents are merged before each shuffle, and an anchor of very many documents is split into one for each string that it stands for, so that
+the different surroundings of a passage aren't ordered in one task.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ SLICE = 1 << 19
 FLUSH = 400_000
 #: Windows that are ordered at once; the places of one anchor are never parted.
 ORDER_AT_ONCE = 100_000
+#: An anchor of more records than HOT_ROWS, and than one in HOT_SHARE of those of all such anchors, is split by the strings that it stands for.
+HOT_ROWS, HOT_SHARE = 1 << 14, 1 << 20
 PAIRS = "kind int, bucket int, key binary, row binary"
 TEXTS = "bucket int, row long, doc_id long, text string, key binary, rows binary"
 PIECES = "kind int, bucket int, anchor binary, row binary, doc_id binary, at binary, size binary, bytes binary"
@@ -85,6 +89,9 @@ def _emit_anchors(n_buckets: int, width: int, gram: int):
         def flush() -> Iterator[pa.RecordBatch]:
             many, of, one, first = _shared_here(np.concatenate(keys), np.concatenate(rows))
             yield packed(0, bucket_of(mix(of.astype(U)), n_buckets), [many, of], ["key", "row"])
+            cut = run_starts(many)
+            beyond = np.diff(np.append(cut, len(many))) - 1
+            yield packed(3, bucket_of(many[cut], n_buckets), [many[cut], beyond.astype(np.uint32)], ["key", "row"])
             for of_file, base in by_file(first):
                 yield offsets(one[of_file], first[of_file], base)
 
@@ -117,26 +124,70 @@ def _emit_anchors(n_buckets: int, width: int, gram: int):
     return run
 
 
-def _emit_shared(n_buckets: int):
-    """Anchors of several rows, by row. The rows of one task's records came together already; those that it found shared pass through."""
+def _counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the counts by key."""
+    key, at = np.unique(np.concatenate([np.zeros(0, U), *keys]), return_inverse=True)
+    return key, np.bincount(at, np.concatenate([np.zeros(0), *counts]), len(key)).astype(np.int64)
+
+
+def _emit_shared(n_buckets: int, hot_rows: int):
+    """Anchors of several rows, by row. The rows of one task's records came together already; those that it found shared pass through.
+
+    One record of each anchor and batch comes here by anchor (kind 1), and how many more rows the batch has (kind 3). So anchors are counted here too: kind 2 of the
+    result holds those of more than hot_rows records, with how many there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rows = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        beyond = [(np.zeros(0, U), np.zeros(0, np.int64))]
         for batch in batches:
             kind = batch.column("kind").to_numpy()
             through = batch.filter(pa.array(kind == 0))
             if through.num_rows:
                 yield through
+            more = batch.filter(pa.array(kind == 3))
+            if more.num_rows:
+                beyond.append(_counts([unpacked(more.column("key"), U)], [unpacked(more.column("row"), np.uint32)]))
+                if len(beyond) > 16:
+                    beyond = [_counts(*map(list, zip(*beyond)))]
             for key, row in zip(batch.filter(pa.array(kind == 1)).column("key"), batch.filter(pa.array(kind == 1)).column("row")):
                 keys.append(np.frombuffer(key.as_buffer(), U).copy())
                 at = np.frombuffer(row.as_buffer(), np.uint32)
                 rows.append(at[2:].astype(np.int64) + int(at[0]) + (int(at[1]) << 32))
         many, of, _, _ = _shared_here(np.concatenate(keys), np.concatenate(rows))
         yield packed(0, bucket_of(mix(of.astype(U)), n_buckets), [many, of], ["key", "row"])
+        key, n = _counts([*keys, *(b[0] for b in beyond)], [*(np.ones(len(k)) for k in keys), *(b[1] for b in beyond)])
+        hot = n > hot_rows
+        yield packed(2, np.zeros(int(hot.sum()), np.int64), [key[hot], n[hot]], ["key", "row"])
 
     return run
 
 
+def hot_anchors(shared: DataFrame) -> np.ndarray:
+    """The anchors to be split: those of kind 2 that hold more than a millionth of all of its records, so that there are at most a million of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(unpacked(batch.column(c), np.int64)) for c in ("key", "row")], ["key", "n"])
+
+    found = shared.where("kind = 2").mapInArrow(run, "key long, n long")
+    total = found.agg(F.sum("n")).first()[0]
+    if not total:
+        return np.zeros(0, U)
+    hot = found.where(F.col("n") > total // HOT_SHARE).select("key").toArrow()  # HOT_SHARE of them at most
+    return np.sort(hot.column("key").to_numpy().view(U))
+
+
+def split_hot(low: np.ndarray, data: np.ndarray, hot: np.ndarray, width: int) -> np.ndarray:
+    """The anchors, where those that are hot become one anchor for each string of width bytes: equal strings still share one."""
+    if not len(hot):
+        return low
+    at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low)
+    out = low.copy()
+    out[at] = mix(low[at] + window_hash(prefix_hash(data), width)[at])
+    return out
+
+
 def _wanted(sketch: np.ndarray, n_buckets: int):
     """The texts of rows that may be in the sketch, with their bucket."""
 
@@ -168,7 +219,7 @@ def _pair_key(key: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix(key + mix(row.astype(U)))
 
 
-def _emit_pieces(n_buckets: int, width: int, gram: int):
+def _emit_pieces(n_buckets: int, width: int, gram: int, hot: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, records = _split(batches)
         shared = np.unique(np.concatenate([np.zeros(0, U), *(_pair_key(unpacked(r.column("key"), U), unpacked(r.column("rows"), np.int64)) for r in records)]))
@@ -176,11 +227,12 @@ def _emit_pieces(n_buckets: int, width: int, gram: int):
             return
         for batch in slices(iter(texts), "text", 2 << 20):
             data, starts = text_bytes(batch.column("text"))
-            low, inside = anchors(data, starts, width, gram)
+            whole, inside = anchors(data, starts, width, gram)
+            low = split_hot(whole, data, hot.value, width)
             begin, end = _stretches(low, inside)
             of = np.searchsorted(starts, begin, "right") - 1
             row, doc_id = ids(batch.column("row"))[of], ids(batch.column("doc_id"))[of]
-            pair = _pair_key(low[begin], row)
+            pair = _pair_key(whole[begin], row)
             found = np.minimum(np.searchsorted(shared, pair), len(shared) - 1)
             keep = shared[found] == pair
             begin, end, of, row, doc_id = begin[keep], end[keep], of[keep], row[keep], doc_id[keep]
@@ -327,12 +379,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(out, pa.schema([("row", pa.int64()), ("begin", pa.list_(pa.int64())), ("end", pa.list_(pa.int64())), ("kept", pa.binary())]))
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
     """What each row loses: doc_id, n_bytes, text_sha256 (of the whole text), begin and end (byte spans that go), kept (the bytes that stay; null: all).
 
     docs: doc_id, text; other columns are ignored. Each byte goes that a width-byte string covers which also starts in a document with a smaller doc_id;
     all are judged on the input. A null text is empty; a null id is smaller than all others. Rows of equal id don't take from each other. Texts
-    shorter than width lose nothing. An empty table gives an empty result.
+    shorter than width lose nothing. An empty table gives an empty result. Anchors that stand in more than hot_rows places (and a millionth of all such places) are split; the
+    result is the same.
     """
     rows = numbered(docs, "doc_id", "text")
     parts, n_buckets = buckets_for(rows)
@@ -341,13 +394,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     keyed = written(source.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("text_sha256")), "dedup-keys")
     smallest = keyed.groupBy("text_sha256").agg(F.min("doc_id").alias("first_id"))
     keyed = written(keyed.join(smallest, "text_sha256"), "dedup-classes")
-    shared = source.select("row", "text").mapInArrow(lean(_emit_anchors(n_buckets, width, gram)), PAIRS).repartition(parts, "bucket").mapInArrow(lean(_emit_shared(n_buckets)), PAIRS)
+    shared = source.select("row", "text").mapInArrow(lean(_emit_anchors(n_buckets, width, gram)), PAIRS).repartition(parts, "bucket").mapInArrow(lean(_emit_shared(n_buckets, hot_rows)), PAIRS)
     shared = written(shared, "dedup-anchors")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(shared))
+    shared = shared.where("kind = 0")
     owners = possible(keyed.where("doc_id = first_id"), "row", bit_sketch(shared, "row"))
     first = docs.sparkSession.sparkContext.broadcast(bit_sketch(owners, "row"))
     texts = source.mapInArrow(lambda batches: _wanted(first.value, n_buckets)(batches), TEXTS)
     empty = [F.lit(None).cast(t).alias(n) for n, t in (("row", "long"), ("doc_id", "long"), ("text", "string"))]
-    pieces = texts.unionByName(shared.select("bucket", *empty, "key", F.col("row").alias("rows"))).repartition(parts, "bucket").mapInArrow(lean(_emit_pieces(n_buckets, width, gram)), PIECES)
+    pieces = texts.unionByName(shared.select("bucket", *empty, "key", F.col("row").alias("rows"))).repartition(parts, "bucket").mapInArrow(lean(_emit_pieces(n_buckets, width, gram, hot)), PIECES)
     spans = written(pieces.repartition(parts, "bucket").mapInArrow(lean(_factors(n_buckets, width)), SPANS), "dedup-spans")
     second = docs.sparkSession.sparkContext.broadcast(bit_sketch(spans, "row"))
     texts = source.mapInArrow(lambda batches: _wanted(second.value, n_buckets)(batches), TEXTS).select("bucket", "row", "text", F.lit(None).cast("binary").alias("rows"), F.lit(None).cast("binary").alias("begin"), F.lit(None).cast("binary").alias("end"))
