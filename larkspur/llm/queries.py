@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard_join, lm_score, mixing, quality, sharding, suffix_dedup, toxicity, url_rules
+from . import chat, decontaminate, jaccard_join, lm_score, merkle, mixing, quality, sharding, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op6_mixing": mixing.ORACLE,
     "op9_jaccard_join": jaccard_join.ORACLE,
     "op10_suffix_dedup": suffix_dedup.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
