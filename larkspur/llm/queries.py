@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprint, jaccard_join, lm_score, merkle, mixing, quality, sharding, suffix_dedup, toxicity, url_rules
+from . import chat, decontaminate, fingerprint, hard_negatives, jaccard_join, lm_score, merkle, mixing, quality, sharding, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_fingerprint": fingerprint.op13_fingerprint,
 }
 
@@ -27,4 +28,5 @@ ORACLES = {
     "op9_jaccard_join": jaccard_join.ORACLE,
     "op10_suffix_dedup": suffix_dedup.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
