@@ -1,17 +1,19 @@
 """Document fingerprints by a randomised edit embedding.
 
 A shared random walk runs over the characters of a text: at each step it looks at the character under its pointer, and a coin that depends on the step and the character alone decides whether
-the pointer moves on. Walks over two texts run together where the texts agree, and fall in step again after an edit, so the edit distance of the texts becomes a Hamming distance of what
-the pointers see. Texts are walked in blocks of BLOCK characters, each from step 0, so that walks over thousands of blocks advance together as numpy arrays.
+the pointer moves on. Walks over two texts run together where the texts agree, and mostly fall in step again after an edit, so the edit distance of the texts becomes a Hamming distance of what
+the pointers see. Now and then they don't for long, so there are WALKS walks with coins of their own, and of each block the best one counts. Texts are walked in blocks of BLOCK characters,
+each from step 0, so that walks over thousands of blocks advance together as numpy arrays.
 
-The fingerprint samples the walk: at every 2^level-th step it keeps 8 bits of the hash of the GRAM characters from the pointer on. The level grows with the length, so that there are
-64 to 128 samples, and at least two of each block. Fingerprints are compared sample by sample, at the coarser of their levels. Bands of some samples each make candidates, and likeness() verifies them.
+The fingerprint samples the walks: at every 2^level-th step it keeps 8 bits of the hash of the GRAM characters from the pointer on. The level grows with the length, so that a walk has
+32 to 64 samples, and at least two of each block. Fingerprints are compared sample by sample, at the coarser of their levels. Bands of some samples each make candidates, and likeness() verifies them.
 
 Neighbours by doc_id are found in one shuffle of the texts: range partitions in order of doc_id, of which only the last text of each meets the first one of the next.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,23 +27,24 @@ from pyspark.sql import functions as F
 from .common import lean, numbered, partitions_for, slices, table, written
 from .kernels import U, mix
 
-BLOCK, STEPS, GRAM = 3584, 7680, 8
+BLOCK, STEPS, GRAM, WALKS = 3584, 7680, 8, 3
 #: Samples are taken at the steps that leave this remainder by a power of two, and at most so many powers are used.
 PHASE, COARSEST = 2730, 12
-SAMPLES = 128
+SAMPLES = 64
 #: Characters whose walks advance together.
 TOGETHER = 1 << 22
 #: Text bytes that are fingerprinted at a time.
 SLICE = 1 << 22
-BANDS, BAND_SAMPLES = 16, 4
+#: Bands of a walk.
+BANDS, BAND_SAMPLES = 6, 4
 #: How often the samples of unrelated texts agree.
 CHANCE = 1 / 256
 
 
-@lru_cache(1)
-def _coins() -> np.ndarray:
+@lru_cache(WALKS)
+def _coins(walk: int) -> np.ndarray:
     """Moves by step and class of character; class 0 stands still."""
-    n = np.arange(STEPS * 256, dtype=U)
+    n = np.arange(STEPS * 256, dtype=U) + U(walk * STEPS * 256)
     coins = (mix(n + U(0x5EED)) & U(1)).astype(np.uint8).reshape(STEPS, 256)
     coins[:, 0] = 0
     return coins
@@ -56,15 +59,9 @@ def level_of(n_chars: int) -> int:
     return level
 
 
-def _walk(pieces: list[str], levels: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Samples of blocks, ordered by level: block, step and symbol. A piece is a block and the GRAM - 1 characters after it."""
-    room = sizes + GRAM
-    codes = np.frombuffer("".join([p.ljust(r, "\0") for p, r in zip(pieces, room.tolist())]).encode("utf-32-le"), np.uint32)
-    begin = np.concatenate([[0], np.cumsum(room)[:-1]])
-    kinds = ((mix(codes.astype(U)) >> U(20)) % U(255) + U(1)).astype(np.uint8)
-    for k in range(GRAM):
-        kinds[begin + sizes + k] = 0
-    coins, at, who = _coins(), begin.copy(), np.arange(len(sizes))
+def _walk(codes: np.ndarray, kinds: np.ndarray, begin: np.ndarray, sizes: np.ndarray, levels: np.ndarray, walk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Samples of blocks, which are ordered by level: block, step and symbol. Each block is followed by the GRAM - 1 characters after it, whose kind is 0."""
+    coins, at, who = _coins(walk), begin.copy(), np.arange(len(sizes))
     end, full = begin + sizes, sizes == BLOCK
     found = []
     counts = np.searchsorted(levels, np.arange(COARSEST + 1), "right")
@@ -92,8 +89,8 @@ def _walk(pieces: list[str], levels: np.ndarray, sizes: np.ndarray) -> tuple[np.
 
 
 def fingerprints_of(texts: list[str]) -> list[str]:
-    """The fingerprint of each text: its level and its samples, in hexadecimal. Equal texts have equal ones; an empty text has no samples."""
-    made: list[list[tuple[int, bytes]]] = [[] for _ in texts]
+    """The fingerprint of each text: its level, and the samples of each walk in base 64. Equal texts have equal ones; an empty text has no samples."""
+    made: list[list[list[tuple[int, bytes]]]] = [[[] for _ in range(WALKS)] for _ in texts]
     levels = [level_of(len(t)) for t in texts]
     blocks = [(levels[d], d, s) for d, t in enumerate(texts) for s in range(-(-len(t) // BLOCK))]
     size, cut, groups = 0, 0, []
@@ -106,59 +103,85 @@ def fingerprints_of(texts: list[str]) -> list[str]:
         if not group:
             continue
         group.sort()
-        pieces = [texts[d][s * BLOCK : (s + 1) * BLOCK + GRAM - 1] for _, d, s in group]
         sizes = np.array([min(BLOCK, len(texts[d]) - s * BLOCK) for _, d, s in group])
-        block, step, symbol = _walk(pieces, np.array([g[0] for g in group]), sizes)
-        order = np.lexsort((step, block))
-        block, symbol = block[order], symbol[order]
-        bounds = np.searchsorted(block, np.arange(len(group) + 1))
-        for k, (_, d, s) in enumerate(group):
-            made[d].append((s, symbol[bounds[k] : bounds[k + 1]].tobytes()))
-    return [f"{level:02x}" + b"".join(x for _, x in sorted(parts)).hex() for level, parts in zip(levels, made)]
-
-
-def samples_at(fingerprint: str, level: int) -> np.ndarray:
-    """The samples of a fingerprint that a coarser (or the same) level has too."""
-    own = int(fingerprint[:2], 16)
-    held = np.frombuffer(bytes.fromhex(fingerprint[2:]), np.uint8)
+        pieces = [texts[d][s * BLOCK : (s + 1) * BLOCK + GRAM - 1].ljust(n + GRAM, "\0") for (_, d, s), n in zip(group, sizes.tolist())]
+        codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+        begin = np.concatenate([[0], np.cumsum(sizes + GRAM)[:-1]])
+        kinds = ((mix(codes.astype(U)) >> U(20)) % U(255) + U(1)).astype(np.uint8)
+        for k in range(GRAM):
+            kinds[begin + sizes + k] = 0
+        for walk in range(WALKS):
+            block, step, symbol = _walk(codes, kinds, begin, sizes, np.array([g[0] for g in group]), walk)
+            order = np.lexsort((step, block))
+            symbol = symbol[order]
+            bounds = np.searchsorted(block[order], np.arange(len(group) + 1))
+            for k, (_, d, s) in enumerate(group):
+                made[d][walk].append((s, symbol[bounds[k] : bounds[k + 1]].tobytes()))
+    coded = lambda parts: base64.b64encode(b"".join(x for _, x in sorted(parts))).decode()
+    return [".".join([f"{level:02x}", *map(coded, walks)]) for level, walks in zip(levels, made)]
+
+
+def own_level(fingerprint: str) -> int:
+    return int(fingerprint[:2], 16)
+
+
+def samples_at(fingerprint: str, level: int) -> list[np.ndarray]:
+    """Of each walk the samples of a fingerprint that a coarser (or the same) level has too."""
+    own = own_level(fingerprint)
+    walks = [np.frombuffer(base64.b64decode(w), np.uint8) for w in fingerprint[3:].split(".")]
     if own == level:
-        return held
+        return walks
     first = PHASE % (1 << own)
-    each = -(-(STEPS - first) >> own)
-    at = np.arange(len(held)) % each
-    return held[at % (1 << level - own) == ((PHASE % (1 << level)) - first) >> own]
+    each = samples_of_block(own)
+    return [w[np.arange(len(w)) % each % (1 << level - own) == ((PHASE % (1 << level)) - first) >> own] for w in walks]
+
+
+def samples_of_block(level: int) -> int:
+    """Samples of one walk in a whole block."""
+    return -(-(STEPS - PHASE % (1 << level)) >> level)
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: the share of samples that agree, less what chance would give; 1 for equal fingerprints. Samples that only the longer text has don't agree."""
+    """0 to 1: the share of samples that agree, less what chance would give, in each block by the walk that agrees most; 1 for equal fingerprints. Samples that only the longer text has don't agree."""
     if a == b:
         return 1.0
-    level = max(int(a[:2], 16), int(b[:2], 16))
-    x, y = samples_at(a, level), samples_at(b, level)
-    most, least = max(len(x), len(y)), min(len(x), len(y))
-    if not least:
+    level = max(own_level(a), own_level(b))
+    xs, ys = samples_at(a, level), samples_at(b, level)
+    each = samples_of_block(level)
+    lengths = np.array([max(len(x), len(y)) for x, y in zip(xs, ys)])
+    n_blocks = -(-int(lengths.max()) // each)
+    if not n_blocks:
         return 0.0
-    return max(0.0, (int((x[:least] == y[:least]).sum()) / most - CHANCE) / (1 - CHANCE))
+    starts = np.arange(n_blocks) * each
+    agree = np.zeros((WALKS, n_blocks))
+    for w, (x, y) in enumerate(zip(xs, ys)):
+        n = min(len(x), len(y))
+        agree[w] = np.bincount(np.arange(n) // each, x[:n] == y[:n], n_blocks)
+    most = np.clip(lengths[:, None] - starts, 0, each)
+    share = (agree / np.maximum(most, 1)).max(0)
+    weight = most.max(0)
+    return max(0.0, float((share * weight).sum() / weight.sum() - CHANCE) / (1 - CHANCE))
 
 
 @lru_cache(4096)
 def _places(n: int) -> np.ndarray:
-    """For each band the samples it looks at: those of the smallest hashes, so that they are mostly the same for texts of nearly equal length."""
+    """For each band of a walk the samples it looks at: those of the smallest hashes, so that they are mostly the same for texts of nearly equal length."""
     rank = mix((np.arange(BANDS, dtype=U)[:, None] << U(32)) + np.arange(n, dtype=U)[None, :])
     return np.sort(np.argsort(rank, axis=1)[:, :BAND_SAMPLES], axis=1)
 
 
 def bands(fingerprint: str, level: int | None = None) -> list[int]:
     """Keys of the fingerprint's bands at a level; texts that share one are candidates. A text without samples has none."""
-    level = int(fingerprint[:2], 16) if level is None else level
-    held = samples_at(fingerprint, level)
-    if not len(held):
-        return []
-    seen = held[_places(len(held))].astype(U)
-    key = np.arange(BANDS, dtype=U) * U(64) + U(level)
-    for k in range(seen.shape[1]):
-        key = mix(key * U(0x9E3779B97F4A7C15) + seen[:, k])
-    return key.view(np.int64).tolist()
+    level = own_level(fingerprint) if level is None else level
+    keys: list[int] = []
+    for walk, held in enumerate(samples_at(fingerprint, level)):
+        if len(held):
+            seen = held[_places(len(held))].astype(U)
+            key = (np.arange(BANDS, dtype=U) + U(walk * BANDS)) * U(64) + U(level)
+            for k in range(seen.shape[1]):
+                key = mix(key * U(0x9E3779B97F4A7C15) + seen[:, k])
+            keys += key.view(np.int64).tolist()
+    return keys
 
 
 def edited_text(text: str, following: str) -> str:
@@ -177,7 +200,7 @@ def _compared(rows: list[tuple[int | None, str, str]], following: list[tuple[str
     edits = [edited_text(text, after) for (_, text, _), (after, _) in zip(rows, following)]
     out = []
     for (doc, text, own), edit, other, (_, after) in zip(rows, edits, fingerprints_of(edits), following):
-        level = max(int(own[:2], 16), int(other[:2], 16))
+        level = max(own_level(own), own_level(other))
         shared = len(set(bands(own, level)) & set(bands(other, level)))
         out.append((WHOLE, part, doc, len(text), hashlib.sha256(edit.encode()).hexdigest(), own, other, likeness(own, other), likeness(own, after), shared, None))
     return out
@@ -239,7 +262,7 @@ def near_documents(prints: DataFrame, least: float = 0.8) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, own = b.column("doc_id").to_pylist(), b.column("fingerprint").to_pylist()
-            rows = [(d, p, k) for d, p in zip(doc, own) for up in (0, 1) if int(p[:2], 16) + up <= COARSEST for k in bands(p, int(p[:2], 16) + up)]
+            rows = [(d, p, k) for d, p in zip(doc, own) for up in (0, 1) if own_level(p) + up <= COARSEST for k in bands(p, own_level(p) + up)]
             if rows:
                 d, p, k = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.string()), pa.array(k, pa.int64())], ["doc_id", "fingerprint", "band"])
