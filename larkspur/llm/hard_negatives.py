@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -70,14 +71,30 @@ class Tree:
     labels: list[tuple[int, int]]
 
 
-def _halves(points: np.ndarray) -> np.ndarray:
-    """Rows along the direction from the mean to the point that is farthest from it."""
-    off = points - points.mean(0)
-    return np.argsort(off @ off[np.argmax((off * off).sum(1))], kind="stable")
+def _parted(points: np.ndarray) -> tuple[np.ndarray, float]:
+    """A direction and a threshold along it that part the points around two means, begun at two points that are far from each other."""
+    far = lambda c: points[np.argmax(((points - c) ** 2).sum(1))]
+    one = far(points.mean(0))
+    two = far(one)
+    for _ in range(8):
+        way, cut = one - two, float((one - two) @ (one + two)) / 2
+        high = points @ way > cut
+        if high.all() or not high.any():
+            break
+        one, two = points[high].mean(0), points[~high].mean(0)
+    return way, cut
+
+
+def _halves(points: np.ndarray) -> tuple[np.ndarray, int]:
+    """An order of the rows and where to cut it: around two means, or in the middle if that leaves less than an eighth on a side."""
+    way, cut = _parted(points)
+    along = points @ way
+    n, order = int((along <= cut).sum()), np.argsort(along, kind="stable")
+    return order, n if len(points) <= 8 * min(n, len(points) - n) else len(points) // 2
 
 
 def grow(vectors: np.ndarray, labels: np.ndarray, leaf: int = LEAF) -> Tree:
-    """A tree of balls: rows of different labels are parted first, then halved along their longest extent."""
+    """A tree of balls: rows of different labels are parted first, then around two means."""
     order = np.argsort(labels, kind="stable")
     points, tags = vectors.astype(np.float64), labels
     begin, end, left, right, centre, radius, spans = [], [], [], [], [], [], []
@@ -100,8 +117,8 @@ def grow(vectors: np.ndarray, labels: np.ndarray, leaf: int = LEAF) -> Tree:
             edge = np.flatnonzero(np.diff(tags[order[a:b]])) + 1
             cut = a + int(edge[np.argmin(np.abs(edge - (b - a) // 2))])
         else:
-            order[a:b] = order[a:b][_halves(points[order[a:b]])]
-            cut = (a + b) // 2
+            halves, n = _halves(points[order[a:b]])
+            order[a:b], cut = order[a:b][halves], a + n
         left[i], right[i] = node(a, cut), node(cut, b)
         todo += [left[i], right[i]]
     centres = np.array(centre)
@@ -192,30 +209,29 @@ class Cells:
 
 
 def fitted(sample: np.ndarray, cells: int) -> Cells:
-    """Halves the sample until there are so many parts; the largest part first."""
+    """Parts the sample around two means until there are so many parts; the largest part first. Fewer, if all points of the parts are equal."""
     points = sample.astype(np.float64)
-    parts, nodes, centres = [(len(points), 0, np.arange(len(points)), None)], [], []
-    while len(parts) < cells:
-        parts.sort(key=lambda p: p[:2])
-        size, _, rows, parent = parts.pop()
-        off = points[rows] - points[rows].mean(0)
-        way = off[np.argmax((off * off).sum(1))] if size > 1 else None
-        along = points[rows] @ way if way is not None else None
-        cut = float(np.median(along)) if along is not None else 0.0
-        if along is None or not (along > cut).any():
-            parts.append((0, len(parts) + len(nodes), rows, parent))
-            if parts[-1][0] == max(p[0] for p in parts):
-                break
+    nodes: list[list] = []
+    parts = [(-len(points), 0, np.arange(len(points)), None)]  # a heap; each part knows the node, and the side of it, that leads there
+    done = []
+    while parts and len(parts) + len(done) < cells:
+        _, _, rows, parent = part = heappop(parts)
+        way, cut = _parted(points[rows])
+        high = points[rows] @ way > cut
+        if high.all() or not high.any():
+            done.append(part)
             continue
-        nodes.append([way, cut, 0, 0])
         if parent is not None:
-            nodes[parent[0]][parent[1]] = len(nodes) - 1
-        parts += [(int((along <= cut).sum()), 2 * len(nodes), rows[along <= cut], (len(nodes) - 1, 2)), (int((along > cut).sum()), 2 * len(nodes) + 1, rows[along > cut], (len(nodes) - 1, 3))]
-    for k, (_, _, rows, parent) in enumerate(parts):
-        centres.append(points[rows].mean(0) if len(rows) else np.zeros(points.shape[1]))
+            nodes[parent[0]][parent[1]] = len(nodes)
+        nodes.append([way, cut, 0, 0])
+        for side, mine in ((2, rows[~high]), (3, rows[high])):
+            heappush(parts, (-len(mine), 2 * len(nodes) + side, mine, (len(nodes) - 1, side)))
+    parts += done
+    for k, (_, _, _, parent) in enumerate(parts):
         if parent is not None:
             nodes[parent[0]][parent[1]] = -1 - k
-    return Cells([tuple(n) for n in nodes], np.array(centres), np.zeros(len(parts)), np.zeros(len(parts), np.int64), np.ones(len(parts), np.int64))
+    n = len(parts)
+    return Cells([tuple(x) for x in nodes], np.array([points[rows].mean(0) for _, _, rows, _ in parts]), np.zeros(n), np.zeros(n, np.int64), np.ones(n, np.int64))
 
 
 def integers(vector: Column) -> Column:

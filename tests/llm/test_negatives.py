@@ -83,7 +83,7 @@ def test_groups_of_anchors_are_pruned(spark, monkeypatch):
     rows = [(i, (np.eye(8)[i % 8] * 20 + rng.normal(size=8) * 0.1).astype(np.float32).tolist(), i % 8, "x", 1, "y") for i in range(800)]
     valid = hn.valid_rows(spark.createDataFrame(rows, SCHEMA))
     at = hn.index(valid, 10)
-    queries = valid.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), "label", "v", F.lit(90_000).cast("long").alias("least"), F.lit(hn.HIGH).alias("most"))
+    queries = valid.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), "label", "v", F.lit(10_000_000).cast("long").alias("least"), F.lit(hn.HIGH).alias("most"))
     placed = hn._with_cells(queries, at.cells, at.dims)
     assert len(at.cells.blocks) >= 8 and hn._asked(placed, at, own=False).count() < 2 * queries.count()
     assert np.array_equal(at.cells.blocks, np.ones(len(at.cells.blocks)))
