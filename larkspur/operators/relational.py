@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import contains_text, week_begin
+from .ordered import numbered_in_order
 
 
 def where_given(df: DataFrame, *predicates: Column | None) -> DataFrame:
@@ -45,9 +46,10 @@ def spine(spark: SparkSession, start: date, end: date, unit: str = "month", firs
 
 
 def allocated(existing: DataFrame, key: str, fresh: DataFrame, order: list[Column]) -> DataFrame:
-    """fresh with new keys: the largest existing key plus the place in order. Meant for batches of a stated limit, as their order is global."""
+    """fresh with new keys: the largest existing key plus the place in order. Places are prefix sums over range partitions, so a batch may be of any size; it is run once, here."""
     top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    return fresh.withColumn("_n", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(top)).withColumn(key, (F.col("_top") + F.col("_n")).cast("int")).drop("_n", "_top")
+    kind = existing.schema[key].dataType
+    return numbered_in_order(fresh, order).crossJoin(F.broadcast(top)).withColumn(key, (F.col("_top") + F.col("_n")).cast(kind)).drop("_n", "_top")  # one row
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

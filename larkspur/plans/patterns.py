@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import full_name, money, week_begin, zero_money
+from ..operators.ordered import exact_percentiles, running_sums
 from ..operators.relational import spine
 from ..sources.catalog import Database
 from .reports import line_revenue
@@ -101,25 +102,28 @@ def top_products_per_category(db: Database, start: date, end: date, n: int = 3)
 def customer_pareto(db: Database, start: date, end: date) -> DataFrame:
     """RP-06: customer_id, revenue, running_pct (by falling revenue, then id) and abc: A up to 80, B up to 95, else C.
 
-    The running sum is taken in buckets of revenue first, so that no task holds all customers.
+    The running sum is a prefix sum over range partitions, so no task holds all customers, nor all those of one revenue.
     """
     spent = revenue_orders(db, start, end).groupBy("customer_id").agg(money(F.sum("total_amount")).alias("revenue"))
-    spent = spent.withColumn("_b", -F.floor(F.log(F.greatest(F.col("revenue").cast("double"), F.lit(1e-4))) * 64).cast("bigint"))
-    sums = spent.groupBy("_b").agg(F.sum("revenue").alias("_s"))
-    before = sums.withColumn("_first", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), zero_money())).select("_b", "_first")
-    total = spent.agg(F.sum("revenue").alias("_total"))
-    within = Window.partitionBy("_b").orderBy(F.desc("revenue"), "customer_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = spent.withColumn("_in", F.sum("revenue").over(within)).join(F.broadcast(before), "_b").crossJoin(F.broadcast(total))
-    running = _ratio((F.col("_first") + F.col("_in")).cast("decimal(28,4)"), F.col("_total"))
-    rows = rows.select(F.col("customer_id").cast("int").alias("customer_id"), "revenue", running.alias("running_pct"))
+    rows = running_sums(spent, [F.desc("revenue"), F.asc("customer_id")], "revenue")
+    total = rows.agg(F.sum("revenue").alias("_total"))
+    running = _ratio(F.col("running").cast("decimal(28,4)"), F.col("_total"))
+    rows = rows.crossJoin(F.broadcast(total)).select(F.col("customer_id").cast("int").alias("customer_id"), "revenue", running.alias("running_pct"))  # one row
     return rows.withColumn("abc", F.when(F.col("running_pct") <= 80, "A").when(F.col("running_pct") <= 95, "B").otherwise("C")).orderBy(F.desc("revenue"), "customer_id")
 
 
 def order_value_stats(db: Database, start: date, end: date) -> DataFrame:
-    """RP-07: one row: orders, average, median (interpolated), median_actual (a value that occurs), p90 (interpolated). Without orders 0 and nulls."""
-    cont = lambda p: F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY CAST(total_amount AS DOUBLE))")
-    disc = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CAST(total_amount AS DOUBLE))")
-    return revenue_orders(db, start, end).agg(F.count("*").alias("orders"), money(F.avg("total_amount")).alias("average"), F.round(cont(0.5), 4).alias("median"), F.round(disc, 4).alias("median_actual"), F.round(cont(0.9), 4).alias("p90"))
+    """RP-07: one row: orders, average, median (interpolated), median_actual (a value that occurs), p90 (interpolated). Without orders 0 and nulls.
+
+    The percentiles are exact, by histograms that are refined in a few passes: no task holds the distinct values.
+    """
+    orders = revenue_orders(db, start, end)
+    v = F.col("total_amount")
+    all_of = orders.agg(F.count("*").alias("orders"), money(F.avg(v)).alias("average"), F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).first()
+    cont, disc = exact_percentiles(orders, "total_amount", [0.5, 0.9], [0.5], all_of["n"], all_of["low"], all_of["high"])
+    row = (all_of["orders"], all_of["average"], cont[0], None if disc[0] is None else float(disc[0]), cont[1])
+    one = db.spark.createDataFrame([row], "orders long, average decimal(19,4), median double, median_actual double, p90 double")
+    return one.withColumns({c: F.round(c, 4) for c in ("median", "median_actual", "p90")})
 
 
 def order_value_percentiles(db: Database, start: date, end: date, shares: tuple[float, ...] = (0.5, 0.9), accuracy: int = 100_000) -> DataFrame:
@@ -192,9 +196,10 @@ def customer_first_last_order(db: Database, start: date, end: date) -> DataFrame
 
 
 def order_value_histogram(db: Database, start: date, end: date, width: int = 100) -> DataFrame:
-    """RP-15: bucket_from, bucket_to (not included), orders, from the bucket of 0 to that of the largest order; empty ones are 0."""
+    """RP-15: bucket_from, bucket_to (not included), orders, from the bucket of 0 to that of the largest order; empty ones are 0. The largest bucket is looked up first, and the buckets are a distributed range."""
     counts = revenue_orders(db, start, end).groupBy(F.floor(F.col("total_amount") / width).cast("bigint").alias("b")).agg(F.count("*").alias("orders"))
-    every = counts.agg(F.max("b").alias("top")).where("top is not null").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("b"))
+    top = counts.agg(F.max("b")).first()[0]
+    every = db.spark.range(0 if top is None else max(top + 1, 0)).select(F.col("id").alias("b"))
     return every.join(counts, "b", "left").select((F.col("b") * width).alias("bucket_from"), ((F.col("b") + 1) * width).alias("bucket_to"), F.coalesce("orders", F.lit(0)).alias("orders")).orderBy("bucket_from")
 
 
