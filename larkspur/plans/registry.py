@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import relational, validation
 from ..sources.star import bind, half_up_sql, money_sql, read, with_views
 from ..schemas import FOREIGN_KEYS, PRIMARY_KEYS, UNIQUE_KEYS
-from . import commands, patterns, reports
+from . import commands, data_jobs, patterns, reports
 
 AS_OF = datetime(2001, 8, 1, 12, 0, 0)
 FROM, TO = date(1998, 1, 1), date(1999, 1, 1)
@@ -330,3 +330,6 @@ ORACLES = {
     "op_schema_compare": f"WITH s AS (SELECT column_name, {TYPES} AS source_type FROM (DESCRIBE orders)), t AS (SELECT column_name, CASE column_name WHEN 'o_totalprice' THEN 'decimal(19,4)' WHEN 'o_orderdate' THEN 'timestamp_ntz' ELSE source_type END AS target_type FROM s WHERE column_name IN ('o_orderkey', 'o_custkey', 'o_orderdate', 'o_totalprice', 'o_orderstatus') UNION ALL SELECT 'notes', 'string') SELECT 'orders' AS table_name, column_name, source_type, target_type, CASE WHEN target_type IS NULL THEN 'MISSING_TARGET' WHEN source_type IS NULL THEN 'MISSING_SOURCE' WHEN source_type = target_type THEN 'EXACT' WHEN source_type = 'double' AND target_type = 'decimal(19,4)' THEN 'APPROVED_TRANSFORM' ELSE 'CONFLICT' END AS verdict FROM s FULL JOIN t USING (column_name)",
     "op_json_report": with_views(f"""WITH {MONTHLY} SELECT '[' || string_agg('{{"period_start":"' || period_start || '","order_count":' || order_count || ',"revenue":' || {money_sql('rev_m')} || '}}', ',' ORDER BY period_start) || ']' AS report FROM monthly"""),
 }
+
+QUERIES |= data_jobs.QUERIES
+ORACLES |= data_jobs.ORACLES

@@ -15,6 +15,10 @@ from ..functions import money
 from .catalog import Database
 
 
+#: The tables of the star.
+STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
