@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 from functools import reduce
 from operator import and_, or_
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import contains_text, week_begin
-from .ordered import numbered_in_order
+from ..sources.scratch import stored
+from .ordered import numbered_in_order, running_sums
 
 
 def where_given(df: DataFrame, *predicates: Column | None) -> DataFrame:
@@ -62,6 +64,40 @@ def outer_apply_first(rows: DataFrame, other: DataFrame, keys: list[str], order:
     return rows.join(latest_per_key(other, keys, order), keys, "left")
 
 
+def outer_apply(rows: DataFrame, other: DataFrame, keys: dict[str, str], matches: Callable[[Callable[[str], Column]], Column] | None, order: list[Column], n: int) -> DataFrame:
+    """Each row with the first n rows of other, in the order, that agree with it in keys (column of rows: column of other) and for which matches(outer) holds, outer(name) being a column of the row. Nulls where there are none.
+
+    matches may be any condition, inequalities too. Rows and other must not share column names, and there must be a key: Spark makes all pairs of a key that match before it takes the first n, so for the latest
+    rows before a time latest_before() is the better way where keys are hot. Null keys match nothing.
+    """
+    # by an alias, as a bare name would be looked for in other's hidden columns first
+    outer = lambda name: F.col(f"_rows.{name}").outer()
+    # as structs the keys stay in one condition with the inequality; apart from it, Spark would pair every row with every value of the inequality's columns before it looks at keys
+    agree = F.struct(*[F.col(c) for c in keys.values()]) == F.struct(*[outer(c) for c in keys])
+    there = reduce(and_, [F.col(c).isNotNull() for c in keys.values()])
+    found = other.where(there).where(agree if matches is None else agree & matches(outer)).orderBy(*order).limit(n)
+    return rows.alias("_rows").lateralJoin(found, how="left")
+
+
+def latest_before(rows: DataFrame, other: DataFrame, keys: list[str], at: str, other_at: str, n: int, tie: str) -> DataFrame:
+    """Each row with the n latest rows of other that have its keys and are earlier: other's columns (nulls where there is none) and place, 1 for the latest. Of equal times the larger tie is the later.
+
+    Both sides are put in one order of keys and time, and how many of other stand before a row is a prefix sum: a key with a third of all rows is spread over tasks, and no pairs are made but those of the result.
+    A row with a null key or time has none.
+    """
+    k = [f"_k{i}" for i in range(len(keys))]
+    names = [c for c in other.columns if c not in keys]
+    left = rows.select(*[F.col(c).alias(a) for c, a in zip(keys, k)], F.col(at).alias("_time"), F.lit(0).alias("_is"), F.lit(None).cast(other.schema[tie].dataType).alias("_tie_by"), F.struct(*rows.columns).alias("_row"), F.lit(None).cast(other.select(F.struct(*names)).schema[0].dataType).alias("_other"))
+    known = reduce(and_, [F.col(c).isNotNull() for c in [*keys, other_at]])
+    right = other.where(known).select(*[F.col(c).alias(a) for c, a in zip(keys, k)], F.col(other_at).alias("_time"), F.lit(1).alias("_is"), F.col(tie).alias("_tie_by"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.struct(*names).alias("_other"))
+    both = running_sums(left.unionByName(right), [*[F.asc(c) for c in k], F.asc("_time"), F.asc("_is"), F.asc("_tie_by")], "_is", "_seen").withColumn("_seen", F.col("_seen").cast("long"))
+    asking = both.where("_is = 0").withColumn("_no", F.monotonically_increasing_id())
+    asking = stored(asking.select("_no", *k, "_time", "_seen", "_row"), "asking")
+    wanted = asking.where(F.col("_time").isNotNull() & (F.col("_seen") > 0)).select("_no", *k, F.posexplode(F.sequence(F.col("_seen"), F.greatest(F.col("_seen") - n + 1, F.lit(1)), F.lit(-1))).alias("place", "_seen"))
+    found = wanted.join(both.where("_is = 1").select(*k, "_seen", "_other"), [*k, "_seen"]).select("_no", (F.col("place") + 1).alias("place"), "_other")
+    return asking.join(found, "_no", "left").select("_row.*", "place", *[F.col("_other")[c].alias(c) for c in names])
+
+
 def matching(df: DataFrame, column: str, pattern: str) -> DataFrame:
     """The rows of which a part of the column matches the regular expression."""
     return df.where(F.col(column).rlike(pattern))

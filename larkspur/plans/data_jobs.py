@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..operators import changes, lineage, ordered, snapshots, validation
+from ..operators import changes, lineage, ordered, relational, snapshots
 from ..sources.scratch import new_path
-from ..sources.star import STAR, bind, read, with_views
-from . import commands, patterns, reports
+from ..sources.star import STAR, bind, money_sql, read, with_views
+from ..sources.store import Store
+from ..streaming import events_stream, merge_job
+from . import commands, patterns, reports, sql_surface
 
 AS_OF = datetime(2001, 8, 1, 12, 0, 0)
 NOON = "TIMESTAMP '2001-08-01 12:00:00'"
@@ -81,13 +83,13 @@ def _schema_table(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFram
 
 
 def _two_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders before and after a hundred are processed, some go and one comes: all differences, by bucket."""
+    """Orders before and after a hundred are processed, the cancelled ones go and one comes: all differences, by bucket."""
     before = bind(spark, sf_dir)["orders"]
     after = commands.process_pending_orders(bind(spark, sf_dir), AS_OF, 100)[0]["orders"]
     extra = after.where("order_id = 1").withColumn("order_id", F.lit(-1).cast("long"))
     a, b = new_path(spark, "snapshot"), new_path(spark, "snapshot")
     snapshots.take_snapshot(before, ["order_id"], a)
-    snapshots.take_snapshot(after.where("order_id % 1000 <> 3").unionByName(extra), ["order_id"], b)
+    snapshots.take_snapshot(after.where("status <> 'Cancelled'").unionByName(extra), ["order_id"], b)
     return snapshots.snapshot_differences(spark, a, b, ["order_id"])
 
 
@@ -183,9 +185,9 @@ def _reference_sql() -> str:
     return f"SELECT query, r.table_name, r.column_name, expected_type, data_type, CASE WHEN data_type IS NULL THEN 'MISSING_COLUMN' WHEN data_type <> expected_type THEN 'TYPE_CHANGED' ELSE 'RESOLVED' END AS status, n_rows, n_nulls FROM (VALUES {values}) r(query, table_name, column_name) JOIN (VALUES {kinds}) k(t, c, expected_type, data_type) ON t = r.table_name AND c = r.column_name JOIN ({counted}) n(t2, c2, n_rows, n_nulls) ON t2 = t AND c2 = c"
 
 
-DIFFERENCES = f"""WITH batch AS (SELECT order_id FROM b_orders WHERE status = 'Pending' ORDER BY order_id LIMIT 100), done AS (SELECT * FROM b_orders JOIN batch USING (order_id) WHERE order_id % 1000 <> 3),
+DIFFERENCES = f"""WITH batch AS (SELECT order_id FROM b_orders WHERE status = 'Pending' ORDER BY order_id LIMIT 100), done AS (SELECT * FROM b_orders JOIN batch USING (order_id)),
     d AS (SELECT order_id, 'CHANGED' AS kind, 'status' AS column_name, 'Pending' AS before, 'Processed' AS after FROM done UNION ALL SELECT order_id, 'CHANGED', 'updated_at', NULL, '2001-08-01 12:00:00' FROM done UNION ALL SELECT order_id, 'CHANGED', 'processed_at', NULL, '2001-08-01 12:00:00' FROM done
-    UNION ALL SELECT order_id, 'CHANGED', 'requires_approval', 'false', 'true' FROM done WHERE total_m > 10000000 UNION ALL SELECT order_id, 'REMOVED', NULL, NULL, NULL FROM b_orders WHERE order_id % 1000 = 3 UNION ALL SELECT -1, 'ADDED', NULL, NULL, NULL FROM b_orders WHERE order_id = 1)"""
+    UNION ALL SELECT order_id, 'CHANGED', 'requires_approval', 'false', 'true' FROM done WHERE total_m > 10000000 UNION ALL SELECT order_id, 'REMOVED', NULL, NULL, NULL FROM b_orders WHERE status = 'Cancelled' UNION ALL SELECT -1, 'ADDED', NULL, NULL, NULL FROM b_orders WHERE order_id = 1)"""
 _CELL = """'{"order_id":' || order_id || CASE WHEN before IS NULL THEN '' ELSE ',"before":"' || before || '"' END || CASE WHEN after IS NULL THEN '' ELSE ',"after":"' || after || '"' END || '}'"""
 
 ORACLES = {
@@ -199,3 +201,97 @@ ORACLES = {
     "op_exact_percentiles": "WITH v AS (SELECT CAST(l_extendedprice AS DECIMAL(19,2)) AS price FROM lineitem) " + " UNION ALL ".join(f"SELECT CAST({p} AS DOUBLE) AS share, round(quantile_cont(CAST(price AS DOUBLE), {p}), 4) AS continuous, quantile_disc(price, {p}) AS discrete FROM v" for p in (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)),
     "op_running_sums": with_views("SELECT order_id, CAST(CAST(sum(total_m) OVER (ORDER BY created_at, order_id ROWS UNBOUNDED PRECEDING) AS DECIMAL(28,0)) * CAST(0.0001 AS DECIMAL(4,4)) AS DECIMAL(28,4)) AS running FROM b_orders"),
 }
+
+
+def _audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as audits of products in the time of the orders."""
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("audit_id"), F.col("user_id").alias("product_id"), (F.col("ts") - F.expr("interval 26 years")).alias("adjusted_at"))
+
+
+def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products by order."""
+    db = bind(spark, sf_dir)
+    return db["order_lines"].join(db["orders"], "order_id").groupBy("product_id", "order_id", "created_at").agg(F.sum("quantity").cast("bigint").alias("quantity"))
+
+
+def _lateral_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three latest orders before each audit, by a lateral join."""
+    sales = _sales(spark, sf_dir).withColumnRenamed("product_id", "sold_id")
+    rows = relational.outer_apply(_audits(spark, sf_dir), sales, {"product_id": "sold_id"}, lambda outer: F.col("created_at") < outer("adjusted_at"), [F.desc("created_at"), F.desc("order_id")], 3)
+    return rows.select("audit_id", "product_id", "order_id", "created_at", "quantity")
+
+
+def _latest_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by counting in one order, for hot products, with the place of each order."""
+    rows = relational.latest_before(_audits(spark, sf_dir), _sales(spark, sf_dir), ["product_id"], "adjusted_at", "created_at", 3, "order_id")
+    return rows.select("audit_id", "product_id", "place", "order_id", "created_at", "quantity")
+
+
+def _refunded_and_saved(spark: SparkSession, sf_dir: str):
+    """The state after a refund as it is read back from a store, whose first version is the state before."""
+    store = Store(spark, new_path(spark, "store"))
+    first = store.save(bind(spark, sf_dir), store.load())
+    order = first.database["orders"].where("status = 'Completed'").agg(F.min("order_id")).first()[0]
+    store.save(commands.process_refund(first.database, order, "damaged", "clerk", AS_OF)[0], first)
+    return store.load()
+
+
+def _saved_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refunded_and_saved(spark, sf_dir).database["orders"].select("order_id", "status", "updated_at")
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> Store:
+    """Users' latest values, merged from the stream of events by two starts of the job."""
+    folder = new_path(spark, "merge-job")
+    store = Store(spark, f"{folder}/store")
+    values = events_stream(spark, sf_dir).select("user_id", F.col("event_id").alias("version"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    for _ in range(2):  # the second finds nothing new
+        merge_job.merge_job(values, store, "latest", "user_id", "version", f"{folder}/checkpoint").awaitTermination()
+    return store
+
+
+def _from_sql(statement: str):
+    """A call of a registered function."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql_surface.register(bind(spark, sf_dir))
+        return spark.sql(statement)
+
+    return run
+
+
+def _script(name: str, **given):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = bind(spark, sf_dir)
+        sql_surface.register(db)
+        return sql_surface.call(db, name, **given)
+
+    return run
+
+
+QUERIES |= {
+    "op_lateral_top": _lateral_top,
+    "op_latest_before": _latest_before,
+    "op_saved_state": _saved_orders,
+    "op_merge_job": lambda spark, sf_dir: _merged(spark, sf_dir).load().database["latest"],
+    "op_merge_audit": lambda spark, sf_dir: merge_job.audited(_merged(spark, sf_dir)),
+    "op_sql_monthly_sales": _from_sql("SELECT * FROM monthly_sales_summary(p_year => 1998, p_month => 1)"),
+    "op_sql_revenue_by_month": _from_sql("SELECT * FROM revenue_by_month(DATE '1998-01-01', DATE '1999-01-01')"),
+    "op_sql_top_products": _from_sql("SELECT * FROM top_products_per_category(p_end => DATE '1999-01-01', p_start => DATE '1998-01-01')"),
+    "op_sql_lateral_function": _from_sql("SELECT c.customer_id, count(f.order_id) AS orders, CAST(sum(f.total_amount) AS DECIMAL(19,4)) AS total FROM retail_customers c LEFT JOIN LATERAL customer_orders(c.customer_id) f GROUP BY c.customer_id"),
+    "op_sql_search_products": _script("search_products", as_of=str(AS_OF), min_price=950, search_text="e", sort_column="Product_Name", sort_dir="desc", page_number=2),
+    "op_sql_process_orders": _script("process_pending_orders", as_of=str(AS_OF), batch_size=100),
+}
+
+SALES = "sales AS (SELECT product_id, order_id, created_at, CAST(sum(quantity) AS BIGINT) AS quantity FROM b_lines JOIN b_orders USING (order_id) GROUP BY ALL), audits AS (SELECT event_id AS audit_id, user_id AS product_id, ts - INTERVAL 26 YEAR AS adjusted_at FROM events)"
+BEFORE = "SELECT row_number() OVER (ORDER BY created_at DESC, order_id DESC) AS place, order_id, created_at, quantity FROM sales s WHERE s.product_id = a.product_id AND s.created_at < a.adjusted_at ORDER BY created_at DESC, order_id DESC LIMIT 3"
+ORACLES |= {
+    "op_lateral_top": with_views(f"WITH {SALES} SELECT audit_id, product_id, order_id, created_at, quantity FROM audits a LEFT JOIN LATERAL ({BEFORE}) ON true"),
+    "op_latest_before": with_views(f"WITH {SALES} SELECT audit_id, product_id, CAST(place AS INTEGER) AS place, order_id, created_at, quantity FROM audits a LEFT JOIN LATERAL ({BEFORE}) ON true"),
+    "op_saved_state": with_views(f"WITH f AS (SELECT min(order_id) AS k FROM b_orders WHERE status = 'Completed') SELECT order_id, CASE WHEN order_id = k THEN 'Refunded' ELSE status END AS status, CASE WHEN order_id = k THEN {NOON} END AS updated_at FROM b_orders, f"),
+    "op_merge_job": "SELECT user_id, event_id AS version, CAST(round(value * 100) AS BIGINT) AS cents FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+    "op_merge_audit": "SELECT 'merge' AS job, CAST(0 AS BIGINT) AS batch_id, count(*) AS changes, count(DISTINCT user_id) AS inserted, CAST(0 AS BIGINT) AS updated, count(*) - count(DISTINCT user_id) AS ignored FROM events",
+    "op_sql_lateral_function": with_views(f"SELECT c.customer_id, count(order_id) AS orders, {money_sql('sum(total_m)')} AS total FROM b_customers c LEFT JOIN b_orders USING (customer_id) GROUP BY 1"),
+}
+#: Calls from SQL that must give what the routine gives.
+SAME_AS = {"op_sql_monthly_sales": "r01_monthly_sales_summary", "op_sql_revenue_by_month": "rp01_revenue_by_month", "op_sql_top_products": "rp05_top_products_per_category", "op_sql_search_products": "r14_search_products", "op_sql_process_orders": "r17_process_pending_orders"}

@@ -333,3 +333,4 @@ ORACLES = {
 
 QUERIES |= data_jobs.QUERIES
 ORACLES |= data_jobs.ORACLES
+ORACLES |= {q: ORACLES[same] for q, same in data_jobs.SAME_AS.items()}
