@@ -17,10 +17,12 @@ def _leaves(plan) -> list:
     out, nodes = [], [plan]
     while nodes:
         node = nodes.pop()
-        below = [node.children().apply(i) for i in range(node.children().size())]
-        inner = [node.subqueries().apply(i).plan() for i in range(node.subqueries().size())]
-        nodes += below + inner
-        if not below:
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            nodes.append(node.initialPlan())  # as planned, before it runs
+            continue
+        below = [seq.apply(i) for seq in (node.children(), node.subqueries()) for i in range(seq.size())]
+        nodes += below
+        if node.children().isEmpty():
             out.append(node)
     return out
 
@@ -28,7 +30,7 @@ def _leaves(plan) -> list:
 def scans(df: DataFrame) -> list[tuple[str, tuple[str, ...]]]:
     """(table, columns) of each file scan of the plan, in no order; the table is the folder's or file's name without its ending."""
     out = []
-    for leaf in _leaves(df._jdf.queryExecution().sparkPlan()):
+    for leaf in _leaves(df._jdf.queryExecution().executedPlan()):
         if leaf.getClass().getSimpleName() == "FileSourceScanExec":
             paths = leaf.relation().location().rootPaths()
             names = {paths.apply(i).getName().split(".")[0] for i in range(paths.size())}

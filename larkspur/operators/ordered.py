@@ -54,11 +54,13 @@ def running_sums(df: DataFrame, order: list[Column], value: str, name: str = "ru
 def _whole(df: DataFrame, column: str) -> tuple[DataFrame, int]:
     """The column as whole numbers v, and the digits that were after the point. Nulls go."""
     kind = df.schema[column].dataType
+    if not isinstance(kind, T.DecimalType | T.IntegralType) or isinstance(kind, T.DecimalType) and kind.precision + kind.scale > 36:
+        raise TypeError(f"{column} is {kind.simpleString()}: exact order statistics are taken of integers, and of decimals of up to 36 digits, those after the point counted twice")
     scale = kind.scale if isinstance(kind, T.DecimalType) else 0
-    if not isinstance(kind, T.DecimalType | T.IntegralType):
-        raise TypeError(f"{column} is {kind.simpleString()}: exact order statistics are taken of decimals and integers")
-    v = (F.col(f"`{column}`").cast("decimal(38,%d)" % scale) * F.lit(Decimal(10) ** scale).cast("decimal(%d,0)" % (scale + 1))).cast("decimal(38,0)")
-    return df.select(v.alias("v")).where("v is not null"), scale
+    v = F.col(f"`{column}`")
+    if scale:
+        v = v * F.lit(Decimal(10) ** scale).cast(f"decimal({scale + 1},0)")
+    return df.select(v.cast("decimal(38,0)").alias("v")).where("v is not null"), scale
 
 
 def order_statistics(df: DataFrame, column: str, ranks: list[int], low: Decimal, high: Decimal) -> dict[int, Decimal]:
@@ -80,15 +82,16 @@ def order_statistics(df: DataFrame, column: str, ranks: list[int], low: Decimal,
             break
         small = [s for s in open_spans if s[3] is not None and s[3] <= SLICE]
         width = {s: 1 if s in small else -(-(s[1] - s[0] + 1) // BINS) for s in open_spans}
-        which, bin_of = F.lit(None).cast("int"), F.lit(None).cast("long")
+        which, bin_of = F.lit(None).cast("int"), F.lit(None).cast("decimal(38,0)")
         for k, s in enumerate(open_spans):
             inside = (F.col("v") >= Decimal(s[0])) & (F.col("v") <= Decimal(s[1]))
             which = F.when(inside, k).otherwise(which)
-            bin_of = F.when(inside, F.expr(f"(v - cast({s[0]} as decimal(38,0))) div cast({width[s]} as decimal(38,0))")).otherwise(bin_of)
-        # of a small span the bins are its values, SLICE of them at most
+            off = f"(v - cast({s[0]} as decimal(38,0)))"
+            # of a small span the bins are its values, SLICE of them at most, however far apart
+            bin_of = F.when(inside, F.expr(off if s in small else f"{off} div cast({width[s]} as decimal(38,0))").cast("decimal(38,0)")).otherwise(bin_of)
         counted = values.select(which.alias("k"), bin_of.alias("bin")).where("k is not null").groupBy("k", "bin").count().collect()
         for k, s in enumerate(open_spans):
-            bins = sorted((row["bin"], row["count"]) for row in counted if row["k"] == k)
+            bins = sorted((int(row["bin"]), row["count"]) for row in counted if row["k"] == k)
             for r in [r for r, mine in todo.items() if mine == s and r not in found]:
                 seen = s[2]
                 for b, n in bins:

@@ -12,7 +12,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FAN_OUT, DEPTH = 16, 2
+#: Children of a node, and levels below the whole table. 4096 buckets; more levels for tables of which one bucket is too much to read again.
+FAN_OUT, DEPTH = 16, 3
 
 
 def row_hash(columns: list[str]) -> Column:
@@ -26,18 +27,19 @@ def _sums(rows: DataFrame, by: list[Column]) -> DataFrame:
 
 
 def take_snapshot(df: DataFrame, keys: list[str], path: str, depth: int = DEPTH) -> None:
-    """Writes the rows by bucket (path/rows) and the checksums of all levels (path/sums): level 0 is the whole table, level `depth` has FAN_OUT ** depth buckets. Null keys are keys too."""
+    """Writes the rows (path/rows) and the checksums of all levels (path/sums): level 0 is the whole table, level `depth` has FAN_OUT ** depth buckets. Null keys are keys too.
+
+    Rows are in a folder for each node of level 1, in files that are in the order of buckets, so that a scan for a few buckets skips other folders, files and row groups.
+    """
     bucket = F.pmod(F.xxhash64(*[x for k in keys for x in (F.col(f"`{k}`").isNull(), F.col(f"`{k}`"))]), F.lit(FAN_OUT**depth)).cast("int")
-    placed = df.withColumn("_bucket", bucket)
-    placed.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/rows")
+    placed = df.withColumn("_bucket", bucket).withColumn("_top", F.floor(F.col("_bucket") / FAN_OUT ** (depth - 1)).cast("int"))
+    placed.repartitionByRange("_bucket").sortWithinPartitions("_bucket").write.partitionBy("_top").parquet(f"{path}/rows")
     spark = df.sparkSession
     rows = spark.read.schema(placed.schema).parquet(f"{path}/rows")
-    hashed = rows.select("_bucket", row_hash(df.columns).alias("h")).groupBy("_bucket").agg(F.count("*").alias("n_rows"), F.sum(F.col("h").cast("decimal(38,0)")).cast("decimal(38,0)").alias("total"), F.bit_xor("h").alias("mix"))
-    hashed.withColumns({"level": F.lit(depth), "node": F.col("_bucket")}).select("level", "node", "n_rows", "total", "mix").write.partitionBy("level").parquet(f"{path}/sums")
-    for level in range(depth - 1, -1, -1):
-        below = _level(spark, path, level + 1)
-        above = _sums(below, [F.floor(F.col("node") / FAN_OUT).cast("int").alias("node")])
-        above.write.parquet(f"{path}/sums/level={level}")
+    sums = rows.select(F.col("_bucket").alias("node"), row_hash(df.columns).alias("h")).groupBy("node").agg(F.count("*").alias("n_rows"), F.sum(F.col("h").cast("decimal(38,0)")).cast("decimal(38,0)").alias("total"), F.bit_xor("h").alias("mix"))
+    for level in range(depth, -1, -1):
+        sums.write.parquet(f"{path}/sums/level={level}")
+        sums = _sums(_level(spark, path, level), [F.floor(F.col("node") / FAN_OUT).cast("int").alias("node")])
 
 
 def _level(spark: SparkSession, path: str, level: int) -> DataFrame:
@@ -60,9 +62,10 @@ def differing_buckets(spark: SparkSession, a: str, b: str, depth: int = DEPTH) -
     return nodes or []
 
 
-def bucket_rows(spark: SparkSession, path: str, buckets: list[int]) -> DataFrame:
-    """The rows of some buckets; no other folder is read."""
-    return spark.read.parquet(f"{path}/rows").where(F.col("_bucket").isin(buckets)).drop("_bucket")
+def bucket_rows(spark: SparkSession, path: str, buckets: list[int], depth: int = DEPTH) -> DataFrame:
+    """The rows of some buckets; folders without one aren't read, nor are row groups."""
+    tops = sorted({b // FAN_OUT ** (depth - 1) for b in buckets})
+    return spark.read.parquet(f"{path}/rows").where(F.col("_top").isin(tops) & F.col("_bucket").isin(buckets)).drop("_bucket", "_top")
 
 
 def snapshot_differences(spark: SparkSession, a: str, b: str, keys: list[str], depth: int = DEPTH) -> DataFrame:
@@ -71,7 +74,7 @@ def snapshot_differences(spark: SparkSession, a: str, b: str, keys: list[str], d
     ADDED and REMOVED rows have no column_name; CHANGED has a row for each column that differs; REPEATED_KEY is a key of several rows that aren't the same rows on both sides. Null keys match each other.
     """
     buckets = differing_buckets(spark, a, b, depth)
-    sides = [bucket_rows(spark, p, buckets) for p in (a, b)]
+    sides = [bucket_rows(spark, p, buckets, depth) for p in (a, b)]
     names = sides[0].columns
     if set(names) != set(sides[1].columns):
         raise ValueError("the snapshots have different columns: compare their schemas first")

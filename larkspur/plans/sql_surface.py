@@ -31,7 +31,7 @@ FUNCTIONS = {
         "p_start DATE, p_end DATE",
         "period_start DATE, order_count INT, revenue DECIMAL(19,4)",
         f"""
-        WITH months AS (SELECT explode(sequence(trunc(p_start, 'MM'), date_sub(p_end, 1), INTERVAL 1 MONTH)) AS m WHERE p_start < p_end),
+        WITH months AS (SELECT explode(CASE WHEN p_start < p_end THEN sequence(trunc(p_start, 'MM'), date_sub(p_end, 1), INTERVAL 1 MONTH) ELSE CAST(array() AS ARRAY<DATE>) END) AS m),
         sums AS (SELECT trunc(created_at, 'MM') AS m, count(total_amount) AS n, sum(total_amount) AS total FROM retail_orders WHERE created_at >= CAST(p_start AS TIMESTAMP_NTZ) AND created_at < CAST(p_end AS TIMESTAMP_NTZ) AND status NOT IN ({_NOT_COUNTED}) GROUP BY 1)
         SELECT months.m, CAST(coalesce(n, 0) AS INT), CAST(coalesce(total, 0) AS DECIMAL(19,4)) FROM months LEFT JOIN sums ON sums.m = months.m""",
     ),
