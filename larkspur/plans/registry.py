@@ -111,7 +111,8 @@ def _schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.compare_schemas(source, target, spark.createDataFrame([("double", "decimal(19,4)")], "source_type string, target_type string"))
 
 
-COUPONS = "SELECT 1 AS coupon_id, 'SPRING' AS code, CAST(10 AS DECIMAL(5,2)) AS discount_pct, true AS is_active, TIMESTAMP_NTZ '2002-01-01 00:00:00' AS expires_at, 4 AS use_count UNION ALL SELECT 2, 'OLD', CAST(50 AS DECIMAL(5,2)), true, TIMESTAMP_NTZ '2001-01-01 00:00:00', 9"
+#: Coupons of the first suppliers: one of 10 percent, and one that has expired.
+GOOD, EXPIRED = "Supplier#000000001", "Supplier#000000002"
 
 
 def _after(command, name: str, *columns: str):
@@ -120,7 +121,7 @@ def _after(command, name: str, *columns: str):
 
 
 def _couponed(code: str):
-    return lambda db: commands.create_customer_order(db.replaced(coupons=db.spark.sql(COUPONS)), 7, 11, 3, AS_OF, coupon_code=code)
+    return lambda db: commands.create_customer_order(db, 7, 11, 3, AS_OF, coupon_code=code)
 
 
 def _refund(db):
@@ -200,10 +201,11 @@ QUERIES = {
     "r05_new_place_after": _after(lambda db: commands.adjust_stock(db, 26, 5, 8, "found", "auditor", AS_OF), "inventory", "cast(product_id as int) as product_id", "cast(warehouse_id as int) as warehouse_id", "quantity_on_hand", "last_updated"),
     "r05_audit_after": _after(lambda db: commands.adjust_stock(db, 26, 1, 5, "count", "auditor", AS_OF), "inventory_audit", "audit_id", "product_id", "warehouse_id", "previous_qty", "adjustment", "new_qty", "reason", "adjusted_by", "adjusted_at"),
     "r07_purchase_orders_after": _after(lambda db: commands.process_reorders(db, "system", AS_OF, 50), "purchase_orders", "purchase_order_id", "product_id", "warehouse_id", "quantity", "status", "created_by", "created_at"),
-    "r08_order_with_coupon": _result(_couponed("SPRING")),
-    "r08_orders_after": _after(_couponed("SPRING"), "orders", "cast(order_id as bigint) as order_id", "cast(customer_id as bigint) as customer_id", "total_amount", "discount_pct", "status", "requires_approval"),
-    "r08_lines_after": _db(lambda db: _couponed("SPRING")(db)[0]["order_lines"].where("line_total is not null").groupBy("product_id").agg(F.count("*").alias("n"), F.sum(F.col("quantity").cast("bigint")).alias("quantity"), F.sum("line_total").cast("decimal(19,4)").alias("line_total"))),
-    "r08_coupons_after": _after(_couponed("OLD"), "coupons", "code", "use_count"),
+    "r08_order_with_coupon": _result(_couponed(GOOD)),
+    "r08_order_with_expired_coupon": _result(_couponed(EXPIRED)),
+    "r08_orders_after": _after(_couponed(GOOD), "orders", "cast(order_id as bigint) as order_id", "cast(customer_id as bigint) as customer_id", "total_amount", "discount_pct", "status", "requires_approval"),
+    "r08_lines_after": _db(lambda db: _couponed(GOOD)(db)[0]["order_lines"].where("line_total is not null").groupBy("product_id").agg(F.count("*").alias("n"), F.sum(F.col("quantity").cast("bigint")).alias("quantity"), F.sum("line_total").cast("decimal(19,4)").alias("line_total"))),
+    "r08_coupons_after": _after(_couponed(EXPIRED), "coupons", "code", "use_count"),
     "r10_orders_after": _after(_refund, "orders", "cast(order_id as bigint) as order_id", "status", "updated_at"),
     "r10_inventory_after": _after(_refund, "inventory", "cast(product_id as int) as product_id", "cast(warehouse_id as int) as warehouse_id", "quantity_on_hand", "last_updated"),
     "r10_refunds_after": _after(_refund, "refunds", "refund_id", "cast(order_id as bigint) as order_id", "amount", "reason", "processed_by", "processed_at", "status"),
@@ -224,7 +226,7 @@ QUERIES = {
 FILLED = {
     "categories": "SELECT DISTINCT p_size AS category_id, 'Size ' || p_size AS category_name FROM part", "warehouses": "SELECT n_nationkey AS warehouse_id FROM nation", "customers": "SELECT *, NULL AS external_id FROM b_customers",
     "products": "SELECT *, product_id % 25 AS default_warehouse_id FROM b_products", "inventory": "SELECT * FROM b_inventory", "orders": "SELECT *, NULL AS invoice_id FROM b_orders", "order_lines": "SELECT *, NULL AS line_id FROM b_lines",
-    "product_staging": "SELECT p_partkey AS staging_id FROM part WHERE p_partkey % 5 < 3",
+    "product_staging": "SELECT p_partkey AS staging_id FROM part WHERE p_partkey % 5 < 3", "coupons": "SELECT * FROM b_coupons",
 }
 
 
@@ -312,7 +314,8 @@ ORACLES = {
     "r08_order_with_coupon": with_views(f"SELECT CAST({NEW_ORDER} AS BIGINT) AS order_id, customer_id, first_name || ' ' || last_name AS customer_name, {money_sql(PRICE + ' * 9 // 10')} AS total_amount, CAST(10 AS DECIMAL(5,2)) AS discount_pct, 'Pending' AS status, '2001-08-01 12:00:00' AS created_at_formatted FROM b_customers WHERE customer_id = 7"),
     "r08_orders_after": with_views(f"SELECT order_id, customer_id, {money_sql('total_m')} AS total_amount, CAST(0 AS DECIMAL(5,2)) AS discount_pct, status, false AS requires_approval FROM b_orders UNION ALL SELECT {NEW_ORDER}, 7, {money_sql(PRICE + ' * 9 // 10')}, 10, 'Pending', false"),
     "r08_lines_after": with_views(f"SELECT product_id, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity, {money_sql('sum(m)')} AS line_total FROM (SELECT product_id, quantity, stored_m AS m FROM b_lines UNION ALL SELECT 11, 3, {PRICE} * 9 // 10) GROUP BY 1"),
-    "r08_coupons_after": "SELECT 'SPRING' AS code, 4 AS use_count UNION ALL SELECT 'OLD', 10",
+    "r08_coupons_after": with_views(f"SELECT code, CAST(use_count + CASE code WHEN '{EXPIRED}' THEN 1 ELSE 0 END AS INTEGER) AS use_count FROM b_coupons"),
+    "r08_order_with_expired_coupon": with_views(f"SELECT CAST({NEW_ORDER} AS BIGINT) AS order_id, customer_id, first_name || ' ' || last_name AS customer_name, {money_sql(PRICE)} AS total_amount, CAST(0 AS DECIMAL(5,2)) AS discount_pct, 'Pending' AS status, '2001-08-01 12:00:00' AS created_at_formatted FROM b_customers WHERE customer_id = 7"),
     "r10_orders_after": with_views(f"SELECT order_id, CASE WHEN order_id = {FIRST_DONE} THEN 'Refunded' ELSE status END AS status, CASE WHEN order_id = {FIRST_DONE} THEN {NOON} END AS updated_at FROM b_orders"),
     "r10_inventory_after": with_views(f"WITH back AS (SELECT product_id, product_id % 25 AS warehouse_id, min(quantity) AS q, count(*) AS n FROM b_lines WHERE order_id = {FIRST_DONE} GROUP BY 1, 2) SELECT CAST(i.product_id AS INTEGER) AS product_id, CAST(i.warehouse_id AS INTEGER) AS warehouse_id, CAST(quantity_on_hand + coalesce(q, 0) AS INTEGER) AS quantity_on_hand, CASE WHEN q IS NOT NULL THEN {NOON} END AS last_updated FROM b_inventory i LEFT JOIN back b ON b.product_id = i.product_id AND b.warehouse_id = i.warehouse_id"),
     "r10_refunds_after": with_views(f"SELECT 1 AS refund_id, order_id, {money_sql('total_m')} AS amount, 'damaged' AS reason, 'clerk' AS processed_by, {NOON} AS processed_at, 'Completed' AS status FROM b_orders WHERE order_id = {FIRST_DONE}"),

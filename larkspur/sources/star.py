@@ -24,8 +24,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bind(spark: SparkSession, sf_dir: str) -> Database:
-    """Orders, lines, products, categories, customers, warehouses, inventory and staged products over the driver tables."""
-    t = {n: read(spark, sf_dir, n) for n in ("orders", "lineitem", "part", "customer", "nation")}
+    """Orders, lines, products, categories, customers, warehouses, inventory, coupons and staged products over the driver tables."""
+    t = {n: read(spark, sf_dir, n) for n in ("orders", "lineitem", "part", "customer", "nation", "supplier")}
     c = F.col
     status = F.when(c("o_orderstatus") == "F", "Completed").when(c("o_orderstatus") == "O", "Pending").otherwise("Cancelled")
     none = lambda kind: F.lit(None).cast(kind)
@@ -58,7 +58,11 @@ def bind(spark: SparkSession, sf_dir: str) -> Database:
         key.cast("int").alias("staging_id"), none("int").alias("product_id"), F.when(staged == 2, F.concat(F.lit("NEW-"), key)).otherwise(F.concat(F.lit("SKU-"), key)).alias("sku"), c("p_name").alias("product_name"),
         money(F.when(key % 3 == 0, money("p_retailprice") + 1).otherwise(money("p_retailprice"))).alias("price"), c("p_size").alias("category_id"), (key % 4 != 0).alias("is_active"), F.lit("2001-01-01").cast("date").alias("effective_date"), F.when(key % 11 == 0, F.lit("2001-02-01").cast("date")).alias("expires_date"),
     )
-    return Database(spark, MappingProxyType({"orders": orders, "order_lines": lines, "products": products, "categories": categories, "customers": customers, "warehouses": warehouses, "inventory": inventory, "product_staging": staging}))
+    giver = c("s_suppkey")
+    coupons = t["supplier"].select(
+        giver.alias("coupon_id"), c("s_name").alias("code"), (giver % 4 * 10).cast("decimal(5,2)").alias("discount_pct"), (giver % 5 != 4).alias("is_active"), F.when(giver % 2 == 0, F.lit("2001-01-01 00:00:00")).otherwise(F.lit("2002-01-01 00:00:00")).cast("timestamp_ntz").alias("expires_at"), c("s_nationkey").alias("use_count"),
+    )
+    return Database(spark, MappingProxyType({"coupons": coupons, "orders": orders, "order_lines": lines, "products": products, "categories": categories, "customers": customers, "warehouses": warehouses, "inventory": inventory, "product_staging": staging}))
 
 
 #: The same bindings in SQL; money is whole ten-thousandths (bigint) here and becomes decimal at the end.
@@ -67,6 +71,7 @@ SQL_VIEWS = {
     "b_lines": "SELECT *, quantity * unit_m AS amount_m FROM (SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS BIGINT) AS quantity, CAST(round(l_extendedprice * 100) AS BIGINT) * 100 AS stored_m, (CAST(round(l_extendedprice * 100) AS BIGINT) * 200 + CAST(l_quantity AS BIGINT)) // (2 * CAST(l_quantity AS BIGINT)) AS unit_m FROM lineitem)",
     "b_products": "SELECT p_partkey AS product_id, 'SKU-' || p_partkey AS sku, p_name AS product_name, p_type AS category, p_size AS category_id, CAST(round(p_retailprice * 100) AS BIGINT) * 100 AS price_m, p_size AS weight, p_partkey % 10 <> 0 AS is_active, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 20 END AS reorder_point, TIMESTAMP '1995-01-01' + to_days(CAST(p_partkey % 1000 AS INTEGER)) AS created_at FROM part",
     "b_customers": "SELECT c_custkey AS customer_id, c_mktsegment AS first_name, c_name AS last_name, lower(replace(c_name, '#', '.')) || '@example.com' AS email, DATE '1950-01-01' + CAST(c_custkey % 18000 AS INTEGER) AS birth_date, CASE WHEN c_custkey > 0 THEN c_custkey // 10 END AS referred_by FROM customer",
+    "b_coupons": "SELECT s_suppkey AS coupon_id, s_name AS code, s_suppkey % 4 * 10 AS discount, s_suppkey % 5 <> 4 AS is_active, s_suppkey % 2 = 1 AS is_valid, s_nationkey AS use_count FROM supplier",
     "b_inventory": "SELECT product_id, warehouse_id, CAST((product_id * 13 + warehouse_id) % 40 AS INTEGER) AS quantity_on_hand, CASE WHEN product_id % 7 <> 0 THEN TIMESTAMP '2001-01-01' - to_days(CAST(product_id % 300 AS INTEGER)) END AS last_restocked FROM (SELECT DISTINCT p_partkey AS product_id, unnest([p_partkey % 25, (p_partkey * 7 + 3) % 25]) AS warehouse_id FROM part)",
 }
 

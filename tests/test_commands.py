@@ -23,6 +23,7 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
+@pytest.mark.proves("TC-AS-01..07", "R-05")
 def test_adjust_stock(db):
     after, got = commands.adjust_stock(db, 1, 1, -5, "sold", "me", AS_OF)
     assert rows(got) == [(1, 5, 0)] and after["inventory"].where("product_id = 1 and warehouse_id = 1").first().quantity_on_hand == 0
@@ -35,6 +36,7 @@ def test_adjust_stock(db):
     assert db["inventory_audit"].count() == 0  # the old state is as it was
 
 
+@pytest.mark.proves("TC-RO-01..02", "TC-RO-05", "R-07")
 def test_process_reorders_fans_out_by_product(db):
     after, got = commands.process_reorders(db, "sys", AS_OF)
     assert rows(got) == [(9, 5, "Cord", 10, 3), (10, 1, "Bolt", 50, 4), (10, 1, "Bolt", 50, 5), (11, 1, "Bolt", 50, 4), (11, 1, "Bolt", 50, 5)]
@@ -44,6 +46,7 @@ def test_process_reorders_fans_out_by_product(db):
     assert commands.process_reorders(db, "sys", AS_OF, 1)[1].count() == 1
 
 
+@pytest.mark.proves("TC-CO-01..10", "R-08")
 def test_create_customer_order_and_coupons(db):
     after, got = commands.create_customer_order(db, 1, 5, 2, AS_OF, coupon_code="TEN")
     assert rows(got) == [(11, 1, "Ann Lee", D("53.9820"), D("10.00"), "Pending", "2025-07-15 09:30:00")]
@@ -57,6 +60,7 @@ def test_create_customer_order_and_coupons(db):
             commands.create_customer_order(db, 1, product, 1, AS_OF)
 
 
+@pytest.mark.proves("TC-EO-01..03", "R-16")
 def test_create_order_leaves_the_line_total_empty(db):
     after, got = commands.create_order(db, 1, 1, 3, AS_OF)
     assert rows(got) == [(11, D("60.0000"), AS_OF)] and after["order_lines"].where("order_id = 11").first().line_total is None
@@ -64,6 +68,7 @@ def test_create_order_leaves_the_line_total_empty(db):
         commands.create_order(db, 1, 4, 3, AS_OF)
 
 
+@pytest.mark.proves("TC-RF-01..04", "TC-RF-07", "R-10")
 def test_process_refund(db):
     after, got = commands.process_refund(db, 7, "late", "me", AS_OF)
     assert rows(got) == [(1, D("5000.0000"), "Completed")]
@@ -75,6 +80,7 @@ def test_process_refund(db):
         commands.process_refund(db, 8, "pending", "me", AS_OF)
 
 
+@pytest.mark.proves("TC-PPO-01..02", "TC-PPO-04", "R-17")
 def test_process_pending_orders(db):
     after, got = commands.process_pending_orders(db, AS_OF)
     assert [(r.order_id, r.status, r.requires_approval, r.processed_at) for r in got.collect()] == [(8, "Processed", True, AS_OF), (9, "Processed", True, AS_OF)]
@@ -83,6 +89,7 @@ def test_process_pending_orders(db):
     assert [r.order_id for r in one] == [8]
 
 
+@pytest.mark.proves("TC-UC-01..03", "TC-UC-05", "R-18")
 def test_upsert_customer(db):
     after, got = commands.upsert_customer(db, "u-1", "Anna", "Lee", "anna@example.com", AS_OF)
     assert rows(got) == [("UPDATE", 1, "anna@example.com")]
@@ -92,6 +99,7 @@ def test_upsert_customer(db):
     assert rows(got) == [("INSERT", 9, "x@y")] and after["customers"].count() == 9
 
 
+@pytest.mark.proves("TC-SY-01..07", "TC-SY-09..11", "R-13")
 def test_sync_product_catalog(db):
     after, got = commands.sync_product_catalog(db, AS_OF)
     assert rows(got) == [("INSERT", 1, 1, 0, 0), ("UPDATE", 4, 0, 4, 0)]

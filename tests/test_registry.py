@@ -47,6 +47,7 @@ def test_every_routine_and_pattern_is_registered():
     assert {q[:4] for q in registry.QUERIES if q.startswith("rp")} == {f"rp{i:02}" for i in range(1, 16)}
 
 
+@pytest.mark.proves("TC-CAT-01", "RQ-21")
 def test_the_api_surface():
     for name in ("monthly_sales_summary", "customer_lifetime_value", "customer_lifetime_value_referrals", "product_performance", "low_stock_alerts", "order_history", "customer_summary", "customer_referrals", "search_products", "calculate_shipping", "search_orders"):
         assert callable(getattr(reports, name))
