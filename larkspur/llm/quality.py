@@ -1,7 +1,8 @@
 """Quality rules: line labelling by a linear-chain conditional random field.
 
 Each line of a text has features of its bytes and words. A chain with the two labels content and boilerplate is fitted on a bounded sample of
-documents of known quality, whose lines take the quality of their document. Viterbi decoding labels the lines of every document; the
+documents of known quality. The labels of their lines are hidden: a good document is only known to be content for the most part, a bad one to be
+boilerplate for the most part, so lines of junk in good documents, and of prose in bad ones, are found by what they look like. Viterbi decoding labels the lines of every document; the
 share of its characters in content lines decides whether it is kept. Counts of words, symbols and repetition are the base rules beside.
 """
 
@@ -132,9 +133,9 @@ class Chain:
             state[:k] = back[at, state[:k]]
         return labels
 
-    def _expected(self, features: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward-backward: the chance of content of each line, and the expected count of each move."""
-        score, m = features @ self.weights, self.moves
+    def _expected(self, features: np.ndarray, sizes: np.ndarray, tilt: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Forward-backward: the chance of content of each line, and the expected count of each move. tilt is added to each line's score of content."""
+        score, m = features @ self.weights + tilt, self.moves
         order, active, first = self._grid(sizes)
         forward, backward = np.zeros((len(score), 2)), np.zeros((len(score), 2))
         for t, k in enumerate(active):
@@ -153,28 +154,56 @@ class Chain:
         both = forward + backward
         return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -60, 60))), moves
 
+    def known_shares(self, features: np.ndarray, sizes: np.ndarray, good: np.ndarray, chars: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """The expectation step: what _expected() gives when each good document is content for at least `share` of its characters, and each bad one is boilerplate for as much.
+
+        Of all distributions over line labels that keep to this the one nearest to the chain's: each document that doesn't keep to it gets one tilt for all its lines, the least that does, by bisection.
+        """
+        doc, weight = np.repeat(np.arange(len(sizes)), sizes), np.maximum(chars, 1).astype(float)
+        whole = np.maximum(np.bincount(doc, weight, len(sizes)), 1)
+
+        def expected(tilt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            chance, moves = self._expected(features, sizes, tilt[doc])
+            content = np.bincount(doc, weight * chance, len(sizes)) / whole
+            return chance, moves, np.where(good, content, 1 - content) >= share
+
+        low, sign = np.zeros(len(sizes)), np.where(good, 1.0, -1.0)
+        chance, moves, kept = expected(low)
+        if kept.all():
+            return chance, moves
+        high = np.where(kept, 0.0, 16.0)
+        for _ in range(8):
+            middle = (low + high) / 2
+            met = expected(sign * middle)[2]
+            low, high = np.where(met, low, middle), np.where(met, middle, high)
+        return expected(sign * high)[:2]
+
     @classmethod
-    def fit(cls, features: np.ndarray, sizes: np.ndarray, labels: np.ndarray, steps: int = 120, rate: float = 0.15, ridge: float = 1.0) -> Chain:
-        """Maximises the ridged likelihood by Adam steps; the same input gives the same chain."""
-        chain = cls(np.zeros(features.shape[1]), np.zeros((2, 2)))
-        inner = np.ones(len(labels), bool)
-        inner[np.concatenate([[0], np.cumsum(sizes)])[:-1][sizes > 0]] = False
-        seen = np.zeros((2, 2))
-        at = np.flatnonzero(inner)
-        np.add.at(seen, (labels[at - 1], labels[at]), 1)
-        flat, n = np.zeros(features.shape[1] + 4), max(len(labels), 1)
-        m, v = np.zeros_like(flat), np.zeros_like(flat)
-        for t in range(1, steps + 1):
-            chance, moves = chain._expected(features, sizes)
-            slope = np.concatenate([features.T @ (labels - chance), (seen - moves).ravel()]) / n - ridge * flat / n
-            m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-            flat = flat + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-            chain = cls(flat[:-4], flat[-4:].reshape(2, 2))
+    def fit(cls, features: np.ndarray, sizes: np.ndarray, good: np.ndarray, chars: np.ndarray, share: float = 0.75, rounds: int = 6, steps: int = 40, rate: float = 0.15, ridge: float = 1.0) -> Chain:
+        """Fits to documents whose quality is known and whose line labels are not: expectation over the labels under known_shares(), then Adam steps up the ridged likelihood of these expectations, in turn.
+
+        The first round takes lines as they are in such documents on the whole, without moves. The same input gives the same chain.
+        """
+        flat, n, width = np.zeros(features.shape[1] + 4), max(len(features), 1), features.shape[1]
+        chance, moves = np.where(np.repeat(good, sizes), 0.85, 0.15), None
+        for _ in range(rounds):
+            m, v = np.zeros_like(flat), np.zeros_like(flat)
+            for t in range(1, steps + 1):
+                if moves is None:
+                    now, gap = 1 / (1 + np.exp(-np.clip(features @ flat[:width], -60, 60))), np.zeros(4)
+                else:
+                    now, seen = cls(flat[:width], flat[width:].reshape(2, 2))._expected(features, sizes)
+                    gap = (moves - seen).ravel()
+                slope = np.concatenate([features.T @ (chance - now), gap]) / n - ridge * flat / n
+                m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+                flat = flat + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            chain = cls(flat[:width], flat[width:].reshape(2, 2))
+            chance, moves = chain.known_shares(features, sizes, good, chars, share)
         return chain
 
 
 def _sample(max_lines: int):
-    """The features of the lines of each text; of a longer one, of so many lines about its middle."""
+    """The features and characters of the lines of each text; of a longer one, of so many lines about its middle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -184,7 +213,8 @@ def _sample(max_lines: int):
             size = np.minimum(np.diff(at), max_lines)
             first = at[:-1] + (np.diff(at) - size) // 2
             rows = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size * x.shape[1])]).astype(np.int32), pa.array(np.concatenate([x[a : a + n].ravel() for a, n in zip(first, size)])))
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(size), rows], ["quality", "n", "features"])
+            chars = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(np.concatenate([lines.chars[a : a + n] for a, n in zip(first, size)])))
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(size), rows, chars], ["quality", "n", "features", "chars"])
 
     return run
 
@@ -198,14 +228,14 @@ def fit_chain(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_line
         picked += known.where((F.col("quality") > 0) == (quality > 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2).collect()
     chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, quality int"))  # max_docs rows
     text = only(docs, "doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).dropna()
-    rows = text.select("quality", "text").mapInArrow(lean(_sample(max_lines)), "quality int, n long, features array<double>").collect()
+    rows = text.select("quality", "text").mapInArrow(lean(_sample(max_lines)), "quality int, n long, features array<double>, chars array<long>").collect()
     width = len(FEATURES)
     if not rows:
         return Chain(np.zeros(width), np.zeros((2, 2)))
-    rows.sort(key=lambda r: (r["quality"], r["n"], r["features"]))
+    rows.sort(key=lambda r: (r["quality"], r["n"], r["features"], r["chars"]))
     sizes = np.array([r["n"] for r in rows], np.int64)
     features = np.concatenate([np.array(r["features"]).reshape(-1, width) for r in rows])
-    return Chain.fit(features, sizes, np.repeat([int(r["quality"] > 0) for r in rows], sizes))
+    return Chain.fit(features, sizes, np.array([r["quality"] > 0 for r in rows]), np.concatenate([np.array(r["chars"], np.int64) for r in rows]))
 
 
 def _judge(chain: Chain, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,6 +82,63 @@ def test_viterbi_is_the_best_path(seed):
     assert abs(moves.sum() - np.maximum(sizes - 1, 0).sum()) < 1e-6 and ((chance >= 0) & (chance <= 1)).all()
 
 
+@settings(max_examples=25, deadline=None)
+@given(seed=st.integers(0, 9999), share=st.sampled_from([0.6, 0.75, 0.9]))
+def test_expectations_equal_those_over_all_labellings(seed, share):
+    """Against brute force: the chances and moves of the tilted chain are those of all 2^n labellings, the tilt is the least that meets the known share, and documents that meet it have none."""
+    rng = np.random.default_rng(seed)
+    chain = quality.Chain(rng.normal(size=3), rng.normal(size=(2, 2)))
+    sizes = rng.integers(1, 6, 5)
+    x, chars, good = rng.normal(size=(sizes.sum(), 3)), rng.integers(0, 90, sizes.sum()), rng.random(5) < 0.5
+    chance, moves = chain.known_shares(x, sizes, good, chars, share)
+    at, total = 0, np.zeros((2, 2))
+
+    def plainly(f, tilt):
+        score, label = [], [[k >> i & 1 for i in range(len(f))] for k in range(2 ** len(f))]
+        for y in label:
+            score.append(math.exp(sum((f[i] @ chain.weights + tilt) * y[i] + (chain.moves[y[i - 1], y[i]] if i else 0) for i in range(len(f)))))
+        p = np.array(score) / sum(score)
+        pairs = np.zeros((2, 2))
+        for q, y in zip(p, label):
+            for i in range(1, len(f)):
+                pairs[y[i - 1], y[i]] += q
+        return p @ np.array(label), pairs
+
+    for n, g in zip(sizes, good):
+        f, w, got = x[at : at + n], np.maximum(chars[at : at + n], 1), chance[at : at + n]
+        at += n
+        part = lambda c, w=w, g=g: (w @ c / w.sum()) if g else 1 - w @ c / w.sum()
+        own, pairs = plainly(f, 0.0)
+        if part(own) >= share:
+            assert np.allclose(got, own)
+        else:
+            tilts = [sign * k * 16 / 256 for k in range(1, 257) for sign in [1 if g else -1]]
+            tilt = next(t for t in tilts if part(plainly(f, t)[0]) >= share)
+            own, pairs = plainly(f, tilt)
+            assert np.allclose(got, own) and part(got) >= share
+        total += pairs
+    assert np.allclose(moves, total)
+
+
+def test_mixed_texts_get_mixed_labels(spark):
+    """Learnt from whole good and whole bad documents, the chain parts texts of both kinds of lines where they change, and the larger part decides."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeioulrnst") for _ in range(rng.randint(2, 8)))
+    prose = lambda n: [" ".join(word() for _ in range(14)).capitalize() + "." for _ in range(n)]
+    junk = lambda n: [" | ".join(f"{word().upper()}!" for _ in range(9)) for _ in range(n)]
+    train = [(i, "\n".join([*prose(8), *junk(i % 3)] if i % 2 else [*junk(8), *prose(i % 3)]), i % 2) for i in range(160)]
+    mixed = [(1000 + k, "\n".join([*prose(k), *junk(10 - k)]), k) for k in range(1, 10)] + [(2000 + k, "\n".join([*junk(5 - k), *prose(2 * k), *junk(5 - k)]), 2 * k) for k in range(1, 5)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in train + mixed], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in train], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judge_quality(docs, labels).collect()}
+    for i, text, n in mixed:
+        lines = text.split("\n")
+        want = sum(len(line) for line in lines if line.endswith(".")) / sum(map(len, lines))
+        assert 0 < got[i].content_share < 1 and abs(got[i].content_share - want) < 0.01, (i, n)
+        assert got[i].kept == (not got[i].base_failed and want >= 0.5)
+    assert all(got[i].kept == bool(q) for i, _, q in train)
+
+
 def test_contamination(spark, rows, docs):
     rng = random.Random(2)
     items = [(i, t) for i, t in enumerate(["", None, "a", "one two", "TA re.", " ".join(brute.tokens(rows[40][1] or "x")[:9])])]
