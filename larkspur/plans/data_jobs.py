@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import money
+from ..functions import charindex, money, replicate
 from ..operators import changes, lineage, ordered, relational, snapshots
 from ..sources.scratch import new_path
 from ..sources.star import STAR, bind, money_sql, read, with_views
@@ -295,3 +295,65 @@ ORACLES |= {
 }
 #: Calls from SQL that must give what the routine gives.
 SAME_AS = {"op_sql_monthly_sales": "r01_monthly_sales_summary", "op_sql_revenue_by_month": "rp01_revenue_by_month", "op_sql_top_products": "rp05_top_products_per_category", "op_sql_search_products": "r14_search_products", "op_sql_process_orders": "r17_process_pending_orders"}
+
+
+def _local_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue by month of a shop whose clock is half past five ahead of the data's."""
+    return patterns.revenue_by_month(bind(spark, sf_dir), *YEAR, zone="+05:30")
+
+
+def _buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in ten buckets of equal width from 50,000 to 150,000, and those below (0) and above (11)."""
+    bucket = F.width_bucket(F.col("total_amount").cast("double"), F.lit(50_000.0), F.lit(150_000.0), F.lit(10))
+    return bind(spark, sf_dir)["orders"].groupBy(bucket.cast("int").alias("bucket")).agg(F.count("*").alias("orders"), F.min("total_amount").alias("least"), F.max("total_amount").alias("most"))
+
+
+def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions whose edge cases differ between engines, over all products: a text repeated a negative number of times is null, positions begin at 1, a distance has no sign."""
+    c = F.col
+    off = c("category_id") - 25
+    return bind(spark, sf_dir)["products"].select("product_id", replicate("*", off).alias("stars"), F.abs(off).alias("distance"), charindex("O", c("product_name")).alias("found_at"), charindex("", c("sku")).alias("nowhere"), F.length("product_name").alias("length"), F.left("product_name", F.lit(4)).alias("start"), nullif_divided(c("price"), off).alias("each"))
+
+
+def nullif_divided(a: Column, b: Column) -> Column:
+    """a / b as money; null for a b of 0."""
+    return money(a / F.nullif(b.cast("decimal(10,0)"), F.lit(0).cast("decimal(10,0)")))
+
+
+def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored stock after a withdrawal that the guard rejects: nothing is saved, the version before is read."""
+    store = Store(spark, new_path(spark, "guarded"))
+    db = bind(spark, sf_dir)
+    first = store.save(db.replaced(**{t: db[t] for t in ("inventory", "inventory_audit")}), store.load())
+    try:
+        store.save(commands.adjust_stock(first.database, 26, 1, -1_000_000, "too much", "auditor", AS_OF)[0], first)
+        raise AssertionError("the guard let it pass")
+    except reports.RoutineError:
+        pass
+    return store.load().database["inventory"].select("product_id", "warehouse_id", "quantity_on_hand")
+
+
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made by a query from views of the model, and read back with the types of its columns."""
+    bind(spark, sf_dir).views("made_")
+    path = new_path(spark, "table")
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW made_totals AS SELECT o.customer_id, o.status, sum(o.total_amount) AS total, max(o.created_at) AS last_at FROM made_orders o GROUP BY o.customer_id, o.status")
+    spark.sql("SELECT t.customer_id, c.last_name, t.status, CAST(t.total AS DECIMAL(19,4)) AS total, t.last_at FROM made_totals t JOIN made_customers c ON c.customer_id = t.customer_id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+QUERIES |= {
+    "rp01_revenue_by_local_month": _local_months,
+    "op_width_bucket": _buckets,
+    "op_scalar_functions": _scalars,
+    "op_guarded_save": _rejected,
+    "op_made_table": _views,
+}
+_OFF = "(category_id - 25)"
+ORACLES |= {
+    "rp01_revenue_by_local_month": with_views(f"WITH local AS (SELECT created_at + INTERVAL 330 MINUTE AS here, total_m FROM b_orders WHERE status NOT IN ('Cancelled', 'Refunded')), months AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '1998-12-31', INTERVAL 1 MONTH)) AS DATE) AS period_start) SELECT period_start, CAST(count(here) AS INTEGER) AS order_count, {money_sql('coalesce(sum(total_m), 0)')} AS revenue FROM months LEFT JOIN local ON date_trunc('month', here) = period_start GROUP BY 1"),
+    "op_width_bucket": with_views(f"SELECT CAST(CASE WHEN total_m < 500000000 THEN 0 WHEN total_m >= 1500000000 THEN 11 ELSE (total_m - 500000000) // 100000000 + 1 END AS INTEGER) AS bucket, count(*) AS orders, {money_sql('min(total_m)')} AS least, {money_sql('max(total_m)')} AS most FROM b_orders GROUP BY 1"),
+    "op_scalar_functions": with_views(f"SELECT product_id, CASE WHEN {_OFF} >= 0 THEN repeat('*', {_OFF}) END AS stars, abs({_OFF}) AS distance, CAST(strpos(lower(product_name), 'o') AS INTEGER) AS found_at, 0 AS nowhere, CAST(length(product_name) AS INTEGER) AS length, left(product_name, 4) AS start, CASE WHEN {_OFF} <> 0 THEN {money_sql(f'sign({_OFF}) * ((2 * price_m + abs({_OFF})) // (2 * abs({_OFF})))')} END AS each FROM b_products"),
+    "op_guarded_save": with_views("SELECT product_id, CAST(warehouse_id AS INTEGER) AS warehouse_id, quantity_on_hand FROM b_inventory"),
+    "op_made_table": with_views(f"SELECT o.customer_id, last_name, status, {money_sql('sum(total_m)')} AS total, max(created_at) AS last_at FROM b_orders o JOIN b_customers c ON c.customer_id = o.customer_id GROUP BY ALL"),
+}

@@ -10,7 +10,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import relational, validation
+from ..operators import lineage, relational, validation
 from ..sources.star import bind, half_up_sql, money_sql, read, with_views
 from ..schemas import FOREIGN_KEYS, PRIMARY_KEYS, UNIQUE_KEYS
 from . import commands, data_jobs, patterns, reports
@@ -107,8 +107,13 @@ def _merge_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, target = (validation.schema_rows(spark, "orders", df) for df in (read(spark, sf_dir, "orders"), bind(spark, sf_dir)["orders"].withColumnsRenamed({"order_id": "o_orderkey", "customer_id": "o_custkey", "created_at": "o_orderdate", "total_amount": "o_totalprice", "status": "o_orderstatus"}).select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus", "notes")))
-    return validation.compare_schemas(source, target, spark.createDataFrame([("double", "decimal(19,4)")], "source_type string, target_type string"))
+    """The columns of the stored orders against those of the model, with rows and nulls of the stored ones."""
+    stored = read(spark, sf_dir, "orders")
+    model = bind(spark, sf_dir)["orders"].withColumnsRenamed({"order_id": "o_orderkey", "customer_id": "o_custkey", "created_at": "o_orderdate", "total_amount": "o_totalprice", "status": "o_orderstatus"}).select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus", "notes")
+    compared = validation.compare_schemas(*(validation.schema_rows(spark, "orders", df) for df in (stored, model)), spark.createDataFrame([("double", "decimal(19,4)")], "source_type string, target_type string"))
+    refs = lineage.references(spark, {"stored": stored})
+    counts = lineage.profiled_references(refs, {"orders": stored}).drop("n_queries")
+    return compared.join(counts, ["table_name", "column_name"], "left")
 
 
 #: Coupons of the first suppliers: one of 10 percent, and one that has expired.
@@ -330,7 +335,7 @@ ORACLES = {
     "op_outer_apply": with_views("SELECT c.customer_id, last_name, order_id, status, created_at FROM b_customers c LEFT JOIN LATERAL (SELECT order_id, status, created_at FROM b_orders o WHERE o.customer_id = c.customer_id ORDER BY created_at DESC, order_id DESC LIMIT 1) ON true"),
     "op_regex_match": with_views("SELECT sku, product_name FROM b_products WHERE product_id % 10 = 7"),
     "op_integrity": _integrity_sql(),
-    "op_schema_compare": f"WITH s AS (SELECT column_name, {TYPES} AS source_type FROM (DESCRIBE orders)), t AS (SELECT column_name, CASE column_name WHEN 'o_totalprice' THEN 'decimal(19,4)' WHEN 'o_orderdate' THEN 'timestamp_ntz' ELSE source_type END AS target_type FROM s WHERE column_name IN ('o_orderkey', 'o_custkey', 'o_orderdate', 'o_totalprice', 'o_orderstatus') UNION ALL SELECT 'notes', 'string') SELECT 'orders' AS table_name, column_name, source_type, target_type, CASE WHEN target_type IS NULL THEN 'MISSING_TARGET' WHEN source_type IS NULL THEN 'MISSING_SOURCE' WHEN source_type = target_type THEN 'EXACT' WHEN source_type = 'double' AND target_type = 'decimal(19,4)' THEN 'APPROVED_TRANSFORM' ELSE 'CONFLICT' END AS verdict FROM s FULL JOIN t USING (column_name)",
+    "op_schema_compare": f"WITH s AS (SELECT column_name, {TYPES} AS source_type FROM (DESCRIBE orders)), t AS (SELECT column_name, CASE column_name WHEN 'o_totalprice' THEN 'decimal(19,4)' WHEN 'o_orderdate' THEN 'timestamp_ntz' ELSE source_type END AS target_type FROM s WHERE column_name IN ('o_orderkey', 'o_custkey', 'o_orderdate', 'o_totalprice', 'o_orderstatus') UNION ALL SELECT 'notes', 'string') SELECT 'orders' AS table_name, column_name, source_type, target_type, CASE WHEN target_type IS NULL THEN 'MISSING_TARGET' WHEN source_type IS NULL THEN 'MISSING_SOURCE' WHEN source_type = target_type THEN 'EXACT' WHEN source_type = 'double' AND target_type = 'decimal(19,4)' THEN 'APPROVED_TRANSFORM' ELSE 'CONFLICT' END AS verdict, n_rows, n_nulls FROM s FULL JOIN t USING (column_name) LEFT JOIN (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")) + ") p USING (column_name)",
     "op_json_report": with_views(f"""WITH {MONTHLY} SELECT '[' || string_agg('{{"period_start":"' || period_start || '","order_count":' || order_count || ',"revenue":' || {money_sql('rev_m')} || '}}', ',' ORDER BY period_start) || ']' AS report FROM monthly"""),
 }
 
