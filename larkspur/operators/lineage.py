@@ -27,14 +27,34 @@ def _leaves(plan) -> list:
     return out
 
 
+def _tables(relation) -> set[str]:
+    paths = relation.location().rootPaths()
+    return {paths.apply(i).getName().split(".")[0] for i in range(paths.size())}
+
+
+def _logical_scans(plan) -> list[tuple[str, tuple[str, ...]]]:
+    """The same of a logical plan (what is run again and again by a recursion is kept as such): the columns that any step above a table mentions."""
+    nodes, seen, used = [plan], [], set()
+    each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    used |= {a.exprId().id() for a in each(plan.output())}
+    while nodes:
+        node = nodes.pop()
+        seen.append(node)
+        nodes += each(node.children())
+        used |= {a.exprId().id() for a in each(node.references().toSeq())}
+    found = [n for n in seen if n.getClass().getSimpleName() == "LogicalRelation" and hasattr(n.relation(), "location")]
+    return [(table, tuple(a.name() for a in each(n.output()) if a.exprId().id() in used)) for n in found for table in _tables(n.relation())]
+
+
 def scans(df: DataFrame) -> list[tuple[str, tuple[str, ...]]]:
     """(table, columns) of each file scan of the plan, in no order; the table is the folder's or file's name without its ending."""
     out = []
     for leaf in _leaves(df._jdf.queryExecution().executedPlan()):
-        if leaf.getClass().getSimpleName() == "FileSourceScanExec":
-            paths = leaf.relation().location().rootPaths()
-            names = {paths.apply(i).getName().split(".")[0] for i in range(paths.size())}
-            out += [(name, tuple(leaf.requiredSchema().fieldNames())) for name in names]
+        kind = leaf.getClass().getSimpleName()
+        if kind == "FileSourceScanExec":
+            out += [(name, tuple(leaf.requiredSchema().fieldNames())) for name in _tables(leaf.relation())]
+        elif kind == "UnionLoopExec":
+            out += _logical_scans(leaf.anchor()) + _logical_scans(leaf.recursion())
     return out
 
 
