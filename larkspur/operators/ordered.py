@@ -29,7 +29,7 @@ def in_order(df: DataFrame, order: list[Column]) -> DataFrame:
 def _before(sums: DataFrame, zero) -> DataFrame:
     """_part and _before, the sum of all parts before it. sums: a row for each part, which pass the driver."""
     rows = sorted((r[0], r[1]) for r in sums.collect())
-    before = [zero, *accumulate((s for _, s in rows), initial=None)][: len(rows)] if rows else []
+    before = [zero, *accumulate(s for _, s in rows)]
     kind = sums.schema[1].dataType.simpleString()
     return sums.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(rows, before)], f"_part long, _before {kind}")
 

@@ -27,23 +27,24 @@ def _sums(rows: DataFrame, by: list[Column]) -> DataFrame:
 
 
 def take_snapshot(df: DataFrame, keys: list[str], path: str, depth: int = DEPTH) -> None:
-    """Writes the rows (path/rows) and the checksums of all levels (path/sums): level 0 is the whole table, level `depth` has FAN_OUT ** depth buckets. Null keys are keys too.
+    """Writes the rows (path/rows) and the checksums of all levels (path/sums): level 0 is the whole table, level `depth` has FAN_OUT ** depth buckets. Null keys are keys too; a table may be empty.
 
     Rows are in a folder for each node of level 1, in files that are in the order of buckets, so that a scan for a few buckets skips other folders, files and row groups.
     """
     bucket = F.pmod(F.xxhash64(*[x for k in keys for x in (F.col(f"`{k}`").isNull(), F.col(f"`{k}`"))]), F.lit(FAN_OUT**depth)).cast("int")
     placed = df.withColumn("_bucket", bucket).withColumn("_top", F.floor(F.col("_bucket") / FAN_OUT ** (depth - 1)).cast("int"))
+    df.limit(0).coalesce(1).write.parquet(f"{path}/schema")  # for tables without rows
     placed.repartitionByRange("_bucket").sortWithinPartitions("_bucket").write.partitionBy("_top").parquet(f"{path}/rows")
     spark = df.sparkSession
     rows = spark.read.schema(placed.schema).parquet(f"{path}/rows")
     sums = rows.select(F.col("_bucket").alias("node"), row_hash(df.columns).alias("h")).groupBy("node").agg(F.count("*").alias("n_rows"), F.sum(F.col("h").cast("decimal(38,0)")).cast("decimal(38,0)").alias("total"), F.bit_xor("h").alias("mix"))
-    for level in range(depth, -1, -1):
-        sums.write.parquet(f"{path}/sums/level={level}")
-        sums = _sums(_level(spark, path, level), [F.floor(F.col("node") / FAN_OUT).cast("int").alias("node")])
+    above = F.expr(f"cast(node div cast(pow({FAN_OUT}, {depth} - level) as bigint) as int)")
+    spread = sums.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("node", above)  # a row for each bucket and level
+    _sums(spread, [F.col("level"), F.col("node")]).write.partitionBy("level").parquet(f"{path}/sums")
 
 
 def _level(spark: SparkSession, path: str, level: int) -> DataFrame:
-    return spark.read.schema("node int, n_rows long, total decimal(38,0), mix long").parquet(f"{path}/sums/level={level}")
+    return spark.read.schema("node int, n_rows long, total decimal(38,0), mix long, level int").parquet(f"{path}/sums").where(F.col("level") == level).drop("level")
 
 
 def differing_buckets(spark: SparkSession, a: str, b: str, depth: int = DEPTH) -> list[int]:
@@ -65,7 +66,8 @@ def differing_buckets(spark: SparkSession, a: str, b: str, depth: int = DEPTH) -
 def bucket_rows(spark: SparkSession, path: str, buckets: list[int], depth: int = DEPTH) -> DataFrame:
     """The rows of some buckets; folders without one aren't read, nor are row groups."""
     tops = sorted({b // FAN_OUT ** (depth - 1) for b in buckets})
-    return spark.read.parquet(f"{path}/rows").where(F.col("_top").isin(tops) & F.col("_bucket").isin(buckets)).drop("_bucket", "_top")
+    kind = spark.read.parquet(f"{path}/schema").schema.add("_bucket", "integer").add("_top", "integer")
+    return spark.read.schema(kind).parquet(f"{path}/rows").where(F.col("_top").isin(tops) & F.col("_bucket").isin(buckets)).drop("_bucket", "_top")
 
 
 def snapshot_differences(spark: SparkSession, a: str, b: str, keys: list[str], depth: int = DEPTH) -> DataFrame:

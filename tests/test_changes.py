@@ -201,6 +201,12 @@ def test_differences_are_found_and_other_buckets_are_not_read(spark, tmp_path):
     assert report["REMOVED", None] == (2, '[{"id":3}]') and report["CHANGED", "v"][0] == 3
 
 
+def test_empty_tables_have_snapshots(spark, tmp_path):
+    a, b = _taken(spark, tmp_path, "a", []), _taken(spark, tmp_path, "b", ROWS[:2])
+    assert snapshots.differing_buckets(spark, a, a) == [] and snapshots.snapshot_differences(spark, a, a, ["id"]).count() == 0
+    assert {(r.id, r.kind) for r in snapshots.snapshot_differences(spark, a, b, ["id"]).collect()} == {(0, "ADDED"), (1, "ADDED")}
+
+
 def test_nulls_change_places_only_if_rows_differ(spark, tmp_path):
     kind = "id int, x int, y int"
     for name, row in (("a", (1, None, 5)), ("b", (1, 5, None))):
