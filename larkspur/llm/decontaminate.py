@@ -309,7 +309,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, block_words: int = 50
 
 
 def verdicts(found: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for the rows of find_benchmark(). Without words nothing is contaminated."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for the rows of find_benchmark(). Without words nothing is contaminated.
+
+    Null ids stay null; each of repeated rows has its verdict; an item that several windows or repeated rows name counts once. Without rows there are no verdicts.
+    """
     n_hit = F.aggregate(F.zip_with("begin", "end", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     digest = F.sha2(F.concat_ws(",", F.array_sort(F.transform(F.array_distinct("items"), lambda i: i.cast("string")))).cast("binary"), 256)
     out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(F.array_distinct("items")).cast("long").alias("n_items"), digest.alias("items_sha256"))
@@ -349,7 +352,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on every document by windows of 13 words of the benchmark."""
+    """The verdict on every document by windows of 13 words of the benchmark. Nulls, ties, repeats and empty tables as in find_benchmark() and verdicts()."""
     return verdicts(find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 

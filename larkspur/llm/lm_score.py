@@ -272,5 +272,5 @@ def score_texts(docs: DataFrame, folds: int = 10, filter_bits: int = 1 << 27, ma
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log10 probability of every document under unigrams and under the model."""
+    """The log10 probability of every document under unigrams and under the model. Nulls, ties, repeats and empty tables as in score_texts()."""
     return score_texts(table(spark, sf_dir, "documents"))

@@ -128,7 +128,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents at 0.95 of the largest entropy of sources, scarce ones up to 4 times as often."""
+    """All documents at 0.95 of the largest entropy of sources, scarce ones up to 4 times as often. Nulls, ties, repeats and empty tables as in mix_sources()."""
     return mix_sources(table(spark, sf_dir, "documents"))
 
 

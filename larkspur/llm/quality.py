@@ -284,5 +284,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, least_content: float = 0.5, **
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The base measures and the verdict of the line labelling for every document."""
+    """The base measures and the verdict of the line labelling for every document. Nulls, ties, repeats and empty tables as in judge_quality()."""
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -139,5 +139,5 @@ def shard_documents(docs: DataFrame, n_shards: int | None = 16, capacity: int |
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 16 shards of near equal bytes."""
+    """All documents in 16 shards of near equal bytes. Nulls, ties, repeats and empty tables as in shard_documents()."""
     return shard_documents(table(spark, sf_dir, "documents"))

@@ -420,7 +420,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_ro
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every document loses to 50-byte strings of documents with smaller ids."""
+    """What every document loses to 50-byte strings of documents with smaller ids. Nulls, ties, repeats and empty tables as in remove_repeats()."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
     n_removed = F.aggregate(F.zip_with("begin", "end", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("begin").cast("long").alias("n_spans"), F.when(F.col("kept").isNull(), F.col("text_sha256")).otherwise(F.sha2("kept", 256)).alias("kept_sha256"))

@@ -301,5 +301,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, max_examp
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The toxicity of every document."""
+    """The toxicity of every document. Nulls, ties, repeats and empty tables as in score_toxicity()."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

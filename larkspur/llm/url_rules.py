@@ -74,7 +74,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", salt
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict of RULES on every page."""
+    """The verdict of RULES on every page. Nulls, ties, repeats and empty tables as in filter_urls()."""
     return filter_urls(table(spark, sf_dir, "pages"), rule_frame(spark, RULES))
 
 
