@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import bucket_of, buckets_for, packed, unpacked
+from .blobs import buckets_for, packed, unpacked
 from .common import ids, lean, only, partitions_for, slices, table, text_bytes, written
 from .kernels import BASE, NOT_SPACE, fold_case, mix, prefix_hash, run_starts, span_hash, words
 from .toxicity import fold
@@ -32,8 +32,9 @@ END, START = U(0x51ED270B5F1D3C9B), U(0x2545F4914F6CDD1D)
 SEGMENT_BITS = 1 << 19
 PROBES = 6
 LEVELS = 48
-#: Text bytes that ask for their counts together.
+#: Text bytes that ask for their counts together, and stored (compressed) bytes of slices for each task that counts and that scores.
 ASK_BYTES = 1 << 22
+COUNT_STORED, SCORE_STORED = 1 << 20, 3 << 20
 MOST = 0.5
 ASKED = "kind int, bucket int, keys binary, counts binary, slice long"
 #: Kind 0: the documents of a slice; 1 and 2: what is known of its words and bigrams; 3: sums of a partition.
@@ -62,6 +63,63 @@ def _pair(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(before * U(BASE) + token)
 
 
+def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each 64-bit key, by its place among all: sorted keys are in the order of their buckets."""
+    return (((keys >> U(32)) * U(n)) >> U(32)).astype(np.int64)
+
+
+def _plane_places(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of such sizes laid one after another: where each record is in the first byte plane of its run, less the planes of the runs before, and the size of its run."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) - np.repeat(before, size), np.repeat(size, size)
+
+
+def to_planes(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of each run of values (size: how many in each), all lowest bytes first, then the next ones: bytes that are 0 everywhere stand together, so that a shuffle's compression takes them out."""
+    width = values.dtype.itemsize
+    at, step = _plane_places(size)
+    at += np.repeat((np.cumsum(size) - size) * width, size)
+    out, raw = np.empty(len(values) * width, np.uint8), np.ascontiguousarray(values).view(np.uint8).reshape(-1, width)
+    for k in range(width):
+        out[at + k * step] = raw[:, k]
+    return out
+
+
+def from_planes(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows of a column of byte planes, one after another, and how many each row has."""
+    width = np.dtype(kind).itemsize
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // width
+    data = unpacked(column, np.uint8)
+    at, step = _plane_places(size)
+    at += np.repeat((np.cumsum(size) - size) * width, size)
+    raw = np.empty((len(at), width), np.uint8)
+    for k in range(width):
+        raw[:, k] = data[at + k * step]
+    return raw.reshape(-1).view(kind), size
+
+
+def _differences(keys: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of sorted keys in runs: the first of each run, and how far each of the others is from the one before."""
+    out = np.diff(keys, prepend=U(0))
+    first = np.cumsum(size) - size
+    out[first] = keys[first]
+    return out
+
+
+def _summed(differences: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The keys again; sums wrap around at 64 bits, and so does what is taken off."""
+    sums = np.cumsum(differences, dtype=U)
+    first = np.cumsum(size) - size
+    there = first[size > 0]
+    return sums - np.repeat(sums[there] - differences[there], size[size > 0])
+
+
+def _blobs(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The bytes cut in values of such sizes."""
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def _ask(n_buckets: int):
     """Of each slice, its words (kind 1) and bigrams (kind 2) once each, with their counts in rows to learn from."""
 
@@ -71,8 +129,10 @@ def _ask(n_buckets: int):
             learnt = ~np.asarray(batch.column("held_out")).astype(bool)[doc]
             for kind, keys in ((1, token), (2, _pair(before, token))):
                 key, at = np.unique(keys, return_inverse=True)
-                out = packed(kind, bucket_of(key, n_buckets), [key, np.bincount(at, learnt, len(key)).astype(np.uint32)], ["keys", "counts"])
-                yield out.append_column("slice", pa.array(np.full(out.num_rows, of)))
+                bucket, size = np.unique(_bucket(key, n_buckets), return_counts=True)
+                counts = np.bincount(at, learnt, len(key)).astype(np.uint32)
+                columns = [np.full(len(bucket), kind, np.int32), bucket.astype(np.int32), _blobs(to_planes(_differences(key, size), size), 8 * size), _blobs(to_planes(counts, size), 4 * size), np.full(len(bucket), of)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], [c.split()[0] for c in ASKED.split(", ")])
 
     return run
 
@@ -154,8 +214,8 @@ def _answer(filter_bits: int):
             for kind in (1, 2):
                 part = batch.filter(pa.array(batch.column("kind").to_numpy() == kind))
                 if part.num_rows:
-                    size = pc.binary_length(part.column("keys")).to_numpy() // 8
-                    got[kind].append((ids(part.column("slice")), part.column("bucket").to_numpy().copy(), size, unpacked(part.column("keys"), U).copy(), unpacked(part.column("counts"), np.uint32).copy()))
+                    differences, size = from_planes(part.column("keys"), U)
+                    got[kind].append((ids(part.column("slice")).copy(), part.column("bucket").to_numpy().copy(), size, _summed(differences, size), from_planes(part.column("counts"), np.uint32)[0]))
         for kind, parts in got.items():
             if not parts:
                 continue
@@ -163,29 +223,25 @@ def _answer(filter_bits: int):
             key, at = np.unique(keys, return_inverse=True)
             total = np.bincount(at, counts, len(key)).astype(np.int64)
             level = filter_levels(key, total, filter_bits)[at]
-            exact = total[at] if kind == 1 else np.zeros(0, np.int64)
-            ends = np.cumsum(size)
-            cut = [(a, b) for a, b in zip((ends - size).tolist(), ends.tolist())]
-            columns = [[exact[a:b].tobytes() for a, b in cut], [level[a:b].tobytes() for a, b in cut]]
-            n = len(cut)
-            yield _answers(np.full(n, kind), bucket, of, *columns)
+            exact = to_planes(total[at], size) if kind == 1 else np.zeros(0, np.uint8)
+            yield _answers(np.full(len(size), kind), bucket, of, _blobs(exact, 8 * size * (kind == 1)), _blobs(level, size))
             if kind == 1:
-                yield _answers(np.array([3]), np.zeros(1), np.zeros(1), [b""], [b""], [int(total.sum())], [int((total > 0).sum())])
+                yield _answers(np.array([3]), np.zeros(1), np.zeros(1), *[pa.array([b""], pa.binary())] * 2, [int(total.sum())], [int((total > 0).sum())])
 
     return run
 
 
-def _answers(kind, bucket, of, counts: list, levels: list, tokens: list | None = None, types: list | None = None) -> pa.RecordBatch:
+def _answers(kind, bucket, of, counts: pa.Array, levels: pa.Array, tokens: list | None = None, types: list | None = None) -> pa.RecordBatch:
     none = [None] * len(counts)
-    columns = [pa.array(kind.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(of.astype(np.int64)), pa.array(counts, pa.binary()), pa.array(levels, pa.binary()), pa.array(tokens or none, pa.int64()), pa.array(types or none, pa.int64())]
+    columns = [pa.array(kind.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(of.astype(np.int64)), counts, levels, pa.array(tokens or none, pa.int64()), pa.array(types or none, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ANSWERS.split(", ")])
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of each slice as one record."""
+    """The documents of each slice as one compressed record, which is stored and shuffled as it is."""
     for batch in slices(batches, "text", ASK_BYTES):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema) as stream:
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
             stream.write_batch(batch)
         yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["documents"])
 
@@ -196,31 +252,23 @@ def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Recor
             yield of, pa.ipc.open_stream(documents.as_buffer()).read_next_batch()
 
 
-def _spread(keys: np.ndarray, n_buckets: int, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The answers by the distinct keys of a slice, and the place of each token among these."""
-    key, at = np.unique(keys, return_inverse=True)
-    out = np.empty_like(answers)
-    out[np.argsort(bucket_of(key, n_buckets), kind="stable")] = answers
-    return out, at
-
-
-def _scored(model: Model, n_buckets: int, docs: pa.RecordBatch, counts: np.ndarray, words_: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+def _scored(model: Model, docs: pa.RecordBatch, exact: np.ndarray, words_: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+    """The answers are in the order of the slice's distinct words and bigrams."""
     token, before, doc = _tokens(docs)
     size = np.array([0.0] + [2.0 ** (q - 1) * (1.5 if q > 1 else 1.0) for q in range(1, LEVELS + 1)])
-    exact, at = _spread(token, n_buckets, counts)
-    count, known = exact[at], size[_spread(token, n_buckets, words_)[0][at]]
+    at = np.unique(token, return_inverse=True)[1]
+    count, known = exact[at], size[words_[at]]
     end = int(exact[at[np.flatnonzero(token == END)[0]]])  # as often as there are beginnings
     whole = np.concatenate([[0.0], known[:-1]])
     whole[before == START] = size[level_of(np.array([end]))[0]]
-    both, at = _spread(_pair(before, token), n_buckets, pairs)
-    both = np.where(whole > 0, size[both[at]], 0.0)
+    both = np.where(whole > 0, size[pairs[np.unique(_pair(before, token), return_inverse=True)[1]]], 0.0)
     share, estimate, p = np.where(whole > 0, MOST, 0.0), both / np.maximum(np.maximum(whole, both), 1.0), model.unigram(count)
     n = docs.num_rows
     sums = [np.bincount(doc, minlength=n), np.bincount(doc[count > 0], minlength=n), np.bincount(doc, np.log10(p), n), np.bincount(doc, np.log10(share * estimate + (1 - share) * p), n)]
     return pa.RecordBatch.from_arrays([docs.column("doc_id"), docs.column("held_out"), *[pa.array(x) for x in sums]], [c.split()[0] for c in SCORES.split(", ")])
 
 
-def _score(model: Model, n_buckets: int):
+def _score(model: Model):
     """Rows by (slice, kind, bucket): the documents of a slice, and what is known of its words and bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +276,8 @@ def _score(model: Model, n_buckets: int):
 
         def scored() -> pa.RecordBatch:
             docs = pa.ipc.open_stream(held[0].column("counts")[0].as_buffer()).read_next_batch()
-            of = lambda kind, name, to: np.concatenate([np.zeros(0, to), *[unpacked(b.column(name), to) for b in (x.filter(pa.array(x.column("kind").to_numpy() == kind)) for x in held)]])
-            return _scored(model, n_buckets, docs, of(1, "counts", np.int64), of(1, "levels", np.uint8), of(2, "levels", np.uint8))
+            of = lambda kind, name, to: np.concatenate([np.zeros(0, to), *[from_planes(b.column(name), to)[0] for b in (x.filter(pa.array(x.column("kind").to_numpy() == kind)) for x in held)]])
+            return _scored(model, docs, of(1, "counts", np.int64), of(1, "levels", np.uint8), of(2, "levels", np.uint8))
 
         for batch in batches:
             own = ids(batch.column("slice"))
@@ -257,17 +305,17 @@ def score_texts(docs: DataFrame, folds: int = 10, filter_bits: int = 1 << 27, ma
     docs = only(docs, "doc_id", "text").select("doc_id", "text", (fold(F.col("doc_id"), folds) == 0).alias("held_out"))
     # a slice is one stored record, so it is the same in both passes
     folded = written(docs.mapInArrow(lean(_folded), "documents binary").select(F.monotonically_increasing_id().alias("slice"), "documents"), "lm-slices", rows_per_file=8)
-    parts, n_buckets = buckets_for(folded)
+    parts, n_buckets = buckets_for(folded, COUNT_STORED)
     asked = folded.mapInArrow(lean(_ask(n_buckets)), ASKED).repartition(parts, "bucket")
-    answers = written(asked.mapInArrow(lean(_answer(filter_bits)), ANSWERS), "lm-answers")
+    answers = written(asked.mapInArrow(lean(_answer(filter_bits)), ANSWERS), "lm-answers", release=True)
     sums = answers.where("kind = 3").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     tokens, types = sums["tokens"] or 0, sums["types"] or 0
     empty = np.zeros(0, U)
     model = Model(tokens, types, empty, empty, empty, 1)
     none = [F.lit(None).cast(t).alias(n) for n, t in (("levels", "binary"), ("tokens", "long"), ("types", "long"))]
     documents = folded.select(F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "slice", F.col("documents").alias("counts"), *none)
-    dealt = answers.where("kind < 3").unionByName(documents).repartition(partitions_for(folded, ASK_BYTES), "slice").sortWithinPartitions("slice", "kind", "bucket")
-    scores = dealt.mapInArrow(lean(_score(model, n_buckets)), SCORES)
+    dealt = answers.where("kind < 3").unionByName(documents).repartition(partitions_for(folded, SCORE_STORED), "slice").sortWithinPartitions("slice", "kind", "bucket")
+    scores = dealt.mapInArrow(lean(_score(model)), SCORES)
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkspur.llm import chat, decontaminate, lm_score, quality, toxicity, url_rules
+from larkspur.llm import chat, common, decontaminate, lm_score, quality, toxicity, url_rules
 
 from . import brute
 
@@ -242,6 +242,32 @@ def test_scores_equal_the_plain_model(spark, rows, docs):
     assert sorted(off)[len(off) // 2] < 0.02 and max(off) < 0.5
 
 
+def test_asked_keys_are_small_and_their_shuffle_goes(spark, monkeypatch):
+    """Packed keys come back as they were and take 7 compressed bytes at most; once they are counted, the shuffle that brought them leaves the disk."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    keys = np.unique(np.concatenate([rng.integers(0, 2**64, 200_000, dtype=np.uint64), np.array([0, 1, 2**63, 2**64 - 1], np.uint64)]))
+    bucket, size = np.unique(lm_score._bucket(keys, 400), return_counts=True)
+    column = lm_score._blobs(lm_score.to_planes(lm_score._differences(keys, size), size), 8 * size)
+    for part in (slice(0, len(size)), slice(7, 90), slice(3, 3)):
+        got, sizes = lm_score.from_planes(column[part], np.uint64)
+        assert (sizes == size[part]).all() and (lm_score._summed(got, sizes) == keys[np.isin(lm_score._bucket(keys, 400), bucket[part])]).all()
+    assert len(pa.compress(b"".join(column.to_pylist()), "lz4_raw", asbytes=True)) < 7 * len(keys) < len(pa.compress(keys.tobytes(), "lz4_raw", asbytes=True))
+    left = lambda: [f.getName() for f in (lambda seq: [seq.apply(k) for k in range(seq.size())])(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().endswith("_0.data")]
+    seen, before, plain = {}, left(), lm_score.written
+
+    def written(df, tag, *args, **options):
+        out = plain(df, tag, *args, **options)
+        seen[tag] = [f for f in left() if f not in before]
+        return out
+
+    monkeypatch.setattr(lm_score, "written", written)
+    docs = spark.createDataFrame([(i, " ".join(f"w{w}" for w in row)) for i, row in enumerate(rng.integers(0, 5000, (60, 200)).tolist())], "doc_id long, text string")
+    assert lm_score.score_texts(docs).count() == 60 and seen["lm-answers"] == []
+    assert spark.conf.get(common.RELEASE) == "false"
+
+
 def test_filter_gives_back_levels():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 2**64, 4000, dtype=np.uint64))
