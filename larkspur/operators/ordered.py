@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.scratch import stored
+from ..sources.scratch import dealt, parts_for, stored
 
 #: Rows before this bit of a row's number are its partition.
 PART_BITS = 33
@@ -19,9 +19,9 @@ BINS, SLICE = 4096, 4096
 
 
 def in_order(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df with _part and _at, written once: all rows of a part are before those of the next, and _at counts within it. Rows that are equal in the order are dealt over parts too; which is first is left open."""
-    rows = df.withColumn("_tie", F.monotonically_increasing_id())
-    placed = rows.repartitionByRange(*order, F.col("_tie")).sortWithinPartitions(*order, F.col("_tie")).drop("_tie").withColumn("_id", F.monotonically_increasing_id())
+    """df with _part and _at, written once: all rows of a part are before those of the next, and _at counts within it. A part is of a stated size (parts_for()). Rows that are equal in the order are dealt over parts too; which is first is left open."""
+    rows, parts = df.withColumn("_tie", F.monotonically_increasing_id()), parts_for(df)
+    placed = rows.repartitionByRange(*[parts] * (parts > 0), *order, F.col("_tie")).sortWithinPartitions(*order, F.col("_tie")).drop("_tie").withColumn("_id", F.monotonically_increasing_id())
     placed = stored(placed, "in-order")
     return placed.withColumns({"_part": F.shiftright("_id", PART_BITS), "_at": F.col("_id").bitwiseAND(F.lit((1 << PART_BITS) - 1))}).drop("_id")
 
@@ -44,6 +44,7 @@ def numbered_in_order(df: DataFrame, order: list[Column], name: str = "_n") -> D
 def running_sums(df: DataFrame, order: list[Column], value: str, name: str = "running") -> DataFrame:
     """df with the sum of value over all rows up to each one in the order. Sums within a partition go beside the sums of the partitions before it. value is a decimal or an integer."""
     placed = in_order(df, order)
+    placed = dealt(placed, parts_for(placed), "_part")
     total = F.sum(value)
     before = _before(placed.groupBy("_part").agg(F.coalesce(total, F.lit(0)).cast("decimal(38,4)").alias("s")), Decimal(0))
     within = total.over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))

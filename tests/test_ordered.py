@@ -128,3 +128,26 @@ def test_outer_apply(meetings):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     every = relational.outer_apply(audits, other, {"product": "sold"}, None, [F.asc("order")], 1)
     assert every.count() == audits.count()
+
+
+def test_tasks_stay_of_one_size_as_tables_grow(spark, monkeypatch, tmp_path):
+    """Ordered parts, and the lines and orders of a batch, follow the bytes of the files, not the cores; results are the same."""
+    from larkspur.plans import data_jobs
+    from larkspur.sources import scratch
+
+    path = lambda t: str(tmp_path / f"{t}.parquet")
+    for t in ("nation", "part", "customer", "supplier", "orders", "lineitem", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(path(t))
+    orders = spark.read.parquet(path("orders")).select("o_orderkey", F.col("o_totalprice").cast("decimal(19,4)").alias("amount"))
+    keys = [F.asc("amount"), F.asc("o_orderkey")]
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    jobs = [lambda: ordered.running_sums(orders, keys, "amount"), lambda: data_jobs._lateral_top(spark, str(tmp_path)), lambda: data_jobs._latest_before(spark, str(tmp_path))]
+    want, few = [rows(job()) for job in jobs], ordered.in_order(orders, keys).select("_part").distinct().count()
+    monkeypatch.setattr(scratch, "TASK_BYTES", 1 << 10)
+    assert [rows(job()) for job in jobs] == want and all(want)
+    parts = scratch.parts_for(orders)
+    assert parts > spark.sparkContext.defaultParallelism >= few
+    assert 0.8 * parts <= ordered.in_order(orders, keys).select("_part").distinct().count() <= parts
+    plan = data_jobs._sales(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    # no broadcast, and nothing is dealt anew for the groups
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan and "Broadcast" not in plan
