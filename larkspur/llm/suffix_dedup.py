@@ -9,7 +9,8 @@ Only text that can have a copy is ordered, and the order is made piece by piece:
 1. Each place belongs to the smallest hash of the GRAM-byte strings in the WIDTH bytes from it, its anchor. Equal strings have equal anchors, and neighbours
    mostly share theirs. Anchors of whole texts are dealt by hash; those in one document alone have no copy.
 2. The texts with shared anchors are cut into the stretches of places of one anchor, and these are dealt by anchor. Each task has all places that could be
-   equal, orders them and takes the earlier factors. Stretches that a task holds several times are sent once, with the smallest document.
+   equal, orders them and takes the earlier factors. Stretches that a task holds several times are sent once, with the smallest document; of what repeats itself
+   in a stretch, one round is. However many places an anchor has, a bounded number is ordered at once.
 3. The places found go back to their documents, whose kept bytes are put together.
 
 Equal texts are found beforehand: all but those of the smallest id are copies as a whole. No string meets all its copies in one task: equal
@@ -35,8 +36,10 @@ U = np.uint64
 WIDTH, GRAM = 50, 24
 SLICE = 1 << 19
 FLUSH = 400_000
-#: Windows that are ordered at once; the places of one anchor are never parted.
+#: Windows that are ordered at once.
 ORDER_AT_ONCE = 100_000
+#: The size of a piece holds its bytes, and from this bit on how many places follow that repeat those of the bytes from the first on.
+AGAIN = 32
 #: An anchor of more records than HOT_ROWS, and than one in HOT_SHARE of those of all such anchors, is split by the strings that it stands for.
 HOT_ROWS, HOT_SHARE = 1 << 14, 1 << 20
 PAIRS = "kind int, bucket int, key binary, row binary"
@@ -219,6 +222,32 @@ def _pair_key(key: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix(key + mix(row.astype(U)))
 
 
+def rounds(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of places (begin, end) with what repeats itself in them set apart: which stretch, begin, end, and how many of the first places have each string once.
+
+    In a long one it is looked for around the middle, then before and after what was found. Short ones, and what doesn't repeat itself, have all their places once.
+    """
+    long = np.flatnonzero(end - begin > width)
+    left, done = list(zip(long.tolist(), begin[long].tolist(), end[long].tolist())), []
+    while left:
+        k, a, b = left.pop()
+        raw, mid, once = data[a : b + width - 1], (b - a) // 2, b - a
+        if once > width:
+            text = raw.tobytes()
+            step = text.find(text[mid : mid + width], mid + 1) - mid
+            if step > 0:
+                differ = np.flatnonzero(raw[step:] != raw[:-step])
+                i = int(np.searchsorted(differ, mid))
+                x, y = int(differ[i - 1]) + 1 if i else 0, (int(differ[i]) if i < len(differ) else len(raw) - step) + step - width + 1
+                if y - x >= 2 * step:
+                    left += [(k, c, d) for c, d in ((a, a + x), (a + y, b)) if c < d]
+                    a, b, once = a + x, a + y, step
+        done.append((k, a, b, once))
+    short = np.flatnonzero(end - begin <= width)
+    found = np.array(done, np.int64).reshape(-1, 4)
+    return tuple(np.concatenate(c) for c in zip((short, begin[short], end[short], (end - begin)[short]), found.T))
+
+
 def _emit_pieces(n_buckets: int, width: int, gram: int, hot: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, records = _split(batches)
@@ -238,7 +267,9 @@ def _emit_pieces(n_buckets: int, width: int, gram: int, hot: Broadcast):
             begin, end, of, row, doc_id = begin[keep], end[keep], of[keep], row[keep], doc_id[keep]
             if not len(begin):
                 continue
-            size = end - begin + width - 1
+            of_stretch, begin, end, once = rounds(data, begin, end, width)
+            of, row, doc_id = of[of_stretch], row[of_stretch], doc_id[of_stretch]
+            size, again = once + width - 1, end - begin - once
             # stretches of equal bytes: the smallest document's goes on, in the others all places have an earlier copy
             text = span_hash(prefix_hash(data), begin, begin + size) + mix(size.astype(U))
             order = np.lexsort((doc_id, text))
@@ -252,7 +283,7 @@ def _emit_pieces(n_buckets: int, width: int, gram: int, hot: Broadcast):
             sent = np.sort(order[~copy])
             bucket = bucket_of(low[begin[sent]], n_buckets)
             sent, bucket = sent[np.argsort(bucket, kind="stable")], np.sort(bucket, kind="stable")
-            out = packed(1, bucket, [low[begin[sent]], row[sent], doc_id[sent], at[sent], size[sent]], names)
+            out = packed(1, bucket, [low[begin[sent]], row[sent], doc_id[sent], at[sent], size[sent] | again[sent] << AGAIN], names)
             total = np.concatenate([[0], np.cumsum(size[sent])])
             raw = data[np.repeat(begin[sent] - total[:-1], size[sent]) + np.arange(total[-1])]
             cut = np.append(run_starts(bucket), len(bucket))
@@ -300,6 +331,41 @@ def longest_previous_factors(windows: np.ndarray, doc_id: np.ndarray) -> np.ndar
     return out
 
 
+def _portions(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Groups in a row (by where they end) in portions of at most that many elements, whole groups each; a larger group is a portion of its own."""
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def copied(data: np.ndarray, start: np.ndarray, doc_id: np.ndarray, width: int, known: int = 0) -> np.ndarray:
+    """Which of the places have a longest previous factor of the whole width.
+
+    ORDER_AT_ONCE suffixes are ordered at once. More than these are dealt by their next 8 bytes into ranges of the suffix order first: suffixes of two ranges
+    differ in these bytes, so no factor of the width leads from one to another. A range that is still too large goes on with the bytes after them, and one that is a single string
+    (all its bytes are known to be equal) needs no order.
+    """
+    if len(start) <= ORDER_AT_ONCE:
+        return longest_previous_factors(np.lib.stride_tricks.sliding_window_view(data, width)[start], doc_id) >= width
+    if known >= width:
+        return doc_id > doc_id.min()
+    upto = min(known + 8, width)
+    key = np.zeros(len(start), U)
+    for k in range(known, upto):
+        key <<= U(8)
+        key |= data[start + k]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    cut = np.append(run_starts(key), len(key))
+    out = np.empty(len(start), bool)
+    for a, b in _portions(cut[1:], ORDER_AT_ONCE):
+        mine = order[cut[a] : cut[b]]
+        out[mine] = copied(data, start[mine], doc_id[mine], width, upto if b == a + 1 else known)
+    return out
+
+
 def _factors(n_buckets: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, got = ["row", "begin", "end"], []
@@ -322,26 +388,19 @@ def _factors(n_buckets: int, width: int):
         if not got:
             return
         anchor, row, doc_id, at, size, data = (np.concatenate(c) for c in zip(*got))
+        again, size = size >> AGAIN, size & ((1 << AGAIN) - 1)
         first = np.concatenate([[0], np.cumsum(size)])[:-1]
         order = np.argsort(anchor, kind="stable")
         places = size - width + 1
         group = run_starts(anchor[order])
         lone = np.diff(np.append(group, len(order))) == 1
         order = order[np.repeat(~lone, np.diff(np.append(group, len(order))))]
-        windows = np.lib.stride_tricks.sliding_window_view(data, width)
-        total, bounds = np.cumsum(places[order]), run_starts(anchor[order])
-        edges, done = [0], 0
-        for b in bounds[1:].tolist():  # whole anchors, about ORDER_AT_ONCE windows at once
-            if total[b - 1] - done > ORDER_AT_ONCE:
-                edges.append(b)
-                done = int(total[b - 1])
-        for a, b in zip(edges, [*edges[1:], len(order)]):
-            mine = order[a:b]
-            if not len(mine):
-                continue
+        bounds = np.append(run_starts(anchor[order]), len(order))
+        for a, b in _portions(np.cumsum(places[order])[bounds[1:] - 1], ORDER_AT_ONCE):  # whole anchors
+            mine = order[bounds[a] : bounds[b]]
             n = places[mine]
             start = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-            gone = longest_previous_factors(windows[start], np.repeat(doc_id[mine], n)) >= width
+            gone = copied(data, start, np.repeat(doc_id[mine], n), width)
             piece = np.repeat(np.arange(len(mine)), n)
             # runs of places that go, within each piece
             on = gone.copy()
@@ -351,7 +410,17 @@ def _factors(n_buckets: int, width: int):
             x, y = np.flatnonzero(on), np.flatnonzero(off)
             where = mine[piece[x]]
             begin = at[where] + start[x] - first[where]
-            yield spans(row[where], begin, begin + (y - x) + width)
+            whole = y - x + 1 == places[where]
+            yield spans(row[where], begin, begin + (y - x) + width + np.where(whole, again[where], 0))
+            # runs that are a part of a round come again in each round after it
+            times = np.where(whole, 0, -(-again[where] // places[where]))
+            each = np.repeat(np.arange(len(x)), times)
+            where = where[each]
+            ahead = (np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times) + 1) * places[where]
+            last = at[where] + places[where] + again[where]
+            inside = begin[each] + ahead < last
+            each, where, ahead, last = each[inside], where[inside], ahead[inside], last[inside]
+            yield spans(row[where], begin[each] + ahead, np.minimum(begin[each] + ahead + (y - x)[each] + 1, last) + width - 1)
 
     return run
 
@@ -384,7 +453,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_ro
 
     docs: doc_id, text; other columns are ignored. Each byte goes that a width-byte string covers which also starts in a document with a smaller doc_id;
     all are judged on the input. A null text is empty; a null id is smaller than all others. Rows of equal id don't take from each other. Texts
-    shorter than width lose nothing. An empty table gives an empty result. Anchors that stand in more than hot_rows places (and a millionth of all such places) are split; the
+    shorter than width lose nothing. An empty table gives an empty result. Anchors that stand in more than hot_rows rows (and a millionth of all such rows) are split; the
     result is the same.
     """
     rows = numbered(docs, "doc_id", "text")

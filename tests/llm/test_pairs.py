@@ -1,8 +1,11 @@
 """Jaccard join and suffix-array deduplication against plain versions."""
 
 import hashlib
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -165,6 +168,83 @@ def test_longest_previous_factors(rows):
     assert longest_previous_factors(windows, docs).tolist() == want
 
 
+def pieces(docs, width, gram):
+    """What _emit_pieces() sends of (doc_id, text) rows, all anchors being wanted, and the spans that _factors() finds in it."""
+    from larkspur.llm import suffix_dedup as sd
+
+    n = len(docs)
+    texts = pa.RecordBatch.from_pydict({"bucket": [0] * n, "row": list(range(n)), "doc_id": [d for d, _ in docs], "text": [t for _, t in docs], "key": pa.nulls(n, pa.binary()), "rows": pa.nulls(n, pa.binary())})
+    data, starts = sd.text_bytes(texts.column("text"))
+    low, inside = sd.anchors(data, starts, width, gram)
+    begin, _ = sd._stretches(low, inside)
+    row = np.searchsorted(starts, begin, "right") - 1
+    keys = pa.RecordBatch.from_pydict({"bucket": [0], "row": pa.nulls(1, pa.int64()), "doc_id": pa.nulls(1, pa.int64()), "text": pa.nulls(1, pa.string()), "key": [low[begin].tobytes()], "rows": [row.astype(np.int64).tobytes()]})
+    sent = list(sd._emit_pieces(1, width, gram, SimpleNamespace(value=np.zeros(0, np.uint64)))(iter([texts, keys])))
+    gone = [np.zeros(len(t.encode()), bool) for _, t in docs]
+    for batch in sd._factors(1, width)(iter(sent)):
+        for r, x, y in zip(*(sd.unpacked(batch.column(c), np.int64).tolist() for c in ("row", "begin", "end"))):
+            assert 0 <= x < y <= len(gone[r])
+            gone[r][x:y] = True
+    return sent, {d: int(g.sum()) for (d, _), g in zip(docs, gone)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(docs=st.lists(st.tuples(st.text("abc", max_size=9), st.text("ab", min_size=1, max_size=7), st.integers(0, 40), st.text("abc", max_size=9), st.integers(0, 6)), min_size=2, max_size=8))
+def test_rounds_of_repeated_strings(docs):
+    """Texts that repeat themselves between other text, of any lengths and phases, also where earlier documents hold only some strings of a round."""
+    docs = [(d, a + b * k + c) for a, b, k, c, d in docs]
+    docs = list(dict(docs).items())
+    _, got = pieces(docs, 12, 5)
+    assert got == {d: v[1] for d, v in brute.removed(docs, 12).items()}
+
+
+def test_what_repeats_itself_is_sent_once():
+    docs = [(i, f"{'abcdefg'[i % 7:]} " + "Is onhe. " * (1500 + i) + f"end {i}") for i in range(40)]
+    sent, got = pieces(docs, 50, 24)
+    assert sum(len(x) for b in sent for x in b.column("bytes").to_pylist() if x) < 40 * 500  # of 40 texts of 13,500 bytes
+    first = got.pop(0)
+    assert first == 0 and all(got[i] >= 9 * 1500 for i in got)
+
+
+def test_an_anchor_of_many_places_is_ordered_in_bounded_memory():
+    """Half a million places of one anchor: stretches that don't repeat themselves, each in two documents."""
+    from larkspur.llm import suffix_dedup as sd
+
+    rng, width, n = np.random.default_rng(3), 50, 260
+    bodies = rng.integers(0, 256, (n // 2, 2048), dtype=np.uint8)
+    data = np.concatenate([bodies, bodies])
+    ones = np.ones(n, np.int64)
+    columns = [ones.astype(np.uint64), np.arange(n), np.arange(n), 0 * ones, data.shape[1] * ones]
+    part = sd.packed(1, 0 * ones, columns, ["anchor", "row", "doc_id", "at", "size"])
+    batch = pa.RecordBatch.from_arrays([*part.columns, pa.array([data.tobytes()])], [*part.schema.names, "bytes"])
+    tracemalloc.start()
+    try:
+        spans = list(sd._factors(1, width)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    row, begin, end = (np.concatenate([sd.unpacked(b.column(c), np.int64) for b in spans]) for c in ("row", "begin", "end"))
+    assert sorted(row.tolist()) == list(range(n // 2, n)) and (begin == 0).all() and (end == data.shape[1]).all()
+    assert most < 100 * data.size
+
+
+@settings(max_examples=60, deadline=None)
+@given(rows=st.lists(st.tuples(st.integers(0, 5), st.text("ab", min_size=20, max_size=20)), max_size=40), most=st.integers(1, 30), long=st.booleans())
+def test_ranges_of_the_suffix_order(rows, most, long):
+    """Many places in few at once, also many of one string."""
+    from larkspur.llm import suffix_dedup as sd
+
+    rows = [(d, "a" * 18 + w[:2] if long else w) for d, w in rows]
+    data = np.frombuffer("".join(w for _, w in rows).encode(), np.uint8)
+    docs = np.array([d for d, _ in rows], np.int64)
+    want, sizes = [any(e < d and v == w for e, v in rows) for d, w in rows], []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sd, "ORDER_AT_ONCE", most)
+        patch.setattr(sd, "longest_previous_factors", lambda w, d: sizes.append(len(d)) or longest_previous_factors(w, d))
+        assert (sd.copied(data, 20 * np.arange(len(rows)), docs, 20).tolist() if rows else []) == want
+    assert max(sizes, default=0) <= most
+
+
 def test_rows_keep_their_numbers_however_the_scan_is_split(spark, tmp_path):
     from larkspur.llm.common import numbered
 
