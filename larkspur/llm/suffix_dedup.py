@@ -38,6 +38,8 @@ SLICE = 1 << 19
 FLUSH = 400_000
 #: Windows that are ordered at once.
 ORDER_AT_ONCE = 100_000
+#: Bytes of stretches that are put together at once.
+GATHER_AT_ONCE = 1 << 20
 #: The size of a piece holds its bytes, and from this bit on how many places follow that repeat those of the bytes from the first on.
 AGAIN = 32
 #: An anchor of more records than HOT_ROWS, and than one in HOT_SHARE of those of all such anchors, is split by the strings that it stands for.
@@ -248,6 +250,24 @@ def rounds(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) ->
     return tuple(np.concatenate(c) for c in zip((short, begin[short], end[short], (end - begin)[short]), found.T))
 
 
+def _portions(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Groups in a row (by where they end) in portions of at most that many elements, whole groups each; a larger group is a portion of its own."""
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def _gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of the stretches one after another, about GATHER_AT_ONCE at once, as the index of a byte is far larger than the byte."""
+    total = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(total[-1], np.uint8)
+    for a, b in _portions(total[1:], GATHER_AT_ONCE):
+        out[total[a] : total[b]] = data[np.repeat(begin[a:b] - total[a:b], size[a:b]) + np.arange(total[a], total[b])]
+    return out
+
+
 def _emit_pieces(n_buckets: int, width: int, gram: int, hot: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, records = _split(batches)
@@ -285,7 +305,7 @@ def _emit_pieces(n_buckets: int, width: int, gram: int, hot: Broadcast):
             sent, bucket = sent[np.argsort(bucket, kind="stable")], np.sort(bucket, kind="stable")
             out = packed(1, bucket, [low[begin[sent]], row[sent], doc_id[sent], at[sent], size[sent] | again[sent] << AGAIN], names)
             total = np.concatenate([[0], np.cumsum(size[sent])])
-            raw = data[np.repeat(begin[sent] - total[:-1], size[sent]) + np.arange(total[-1])]
+            raw = _gathered(data, begin[sent], size[sent])
             cut = np.append(run_starts(bucket), len(bucket))
             column = pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(total[cut].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
             yield pa.RecordBatch.from_arrays([*out.columns[:-1], column], out.schema.names)
@@ -331,15 +351,6 @@ def longest_previous_factors(windows: np.ndarray, doc_id: np.ndarray) -> np.ndar
     return out
 
 
-def _portions(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Groups in a row (by where they end) in portions of at most that many elements, whole groups each; a larger group is a portion of its own."""
-    a = 0
-    while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
-        yield a, b
-        a = b
-
-
 def copied(data: np.ndarray, start: np.ndarray, doc_id: np.ndarray, width: int, known: int = 0) -> np.ndarray:
     """Which of the places have a longest previous factor of the whole width.
 

@@ -168,7 +168,7 @@ def test_longest_previous_factors(rows):
     assert longest_previous_factors(windows, docs).tolist() == want
 
 
-def pieces(docs, width, gram):
+def pieces(docs, width, gram, hot=np.zeros(0, np.uint64), find=True):
     """What _emit_pieces() sends of (doc_id, text) rows, all anchors being wanted, and the spans that _factors() finds in it."""
     from larkspur.llm import suffix_dedup as sd
 
@@ -179,9 +179,9 @@ def pieces(docs, width, gram):
     begin, _ = sd._stretches(low, inside)
     row = np.searchsorted(starts, begin, "right") - 1
     keys = pa.RecordBatch.from_pydict({"bucket": [0], "row": pa.nulls(1, pa.int64()), "doc_id": pa.nulls(1, pa.int64()), "text": pa.nulls(1, pa.string()), "key": [low[begin].tobytes()], "rows": [row.astype(np.int64).tobytes()]})
-    sent = list(sd._emit_pieces(1, width, gram, SimpleNamespace(value=np.zeros(0, np.uint64)))(iter([texts, keys])))
+    sent = list(sd._emit_pieces(1, width, gram, SimpleNamespace(value=hot))(iter([texts, keys])))
     gone = [np.zeros(len(t.encode()), bool) for _, t in docs]
-    for batch in sd._factors(1, width)(iter(sent)):
+    for batch in sd._factors(1, width)(iter(sent)) if find else ():
         for r, x, y in zip(*(sd.unpacked(batch.column(c), np.int64).tolist() for c in ("row", "begin", "end"))):
             assert 0 <= x < y <= len(gone[r])
             gone[r][x:y] = True
@@ -228,6 +228,25 @@ def test_an_anchor_of_many_places_is_ordered_in_bounded_memory():
     assert most < 100 * data.size
 
 
+def test_pieces_of_split_anchors_are_made_in_bounded_memory():
+    """300 KB of text whose anchors are all split: each of its places is sent with 50 bytes."""
+    from larkspur.llm import suffix_dedup as sd
+
+    rng = np.random.default_rng(4)
+    docs = [(i, rng.integers(32, 127, 30_000, dtype=np.uint8).tobytes().decode()) for i in range(10)]
+    data = np.frombuffer("".join(t for _, t in docs).encode(), np.uint8)
+    hot = np.unique(sd.anchors(data, np.arange(0, len(data) + 1, 30_000), 50, 24)[0])
+    tracemalloc.start()
+    try:
+        sent, _ = pieces(docs, 50, 24, hot, find=False)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    got = [(x, int.from_bytes(p[8 * k : 8 * k + 8], "little"), bytes(b[50 * k : 50 * k + 50])) for batch in sent for kind, r, p, b in zip(*(batch.column(c).to_pylist() for c in ("kind", "row", "at", "bytes"))) if kind == 1 for k in range(len(p) // 8) for x in [int.from_bytes(r[8 * k : 8 * k + 8], "little")]]
+    assert len(got) == 10 * (30_000 - 49) and all(docs[r][1][at : at + 50].encode() == b for r, at, b in got)
+    assert most < 800 * len(data)
+
+
 @settings(max_examples=60, deadline=None)
 @given(rows=st.lists(st.tuples(st.integers(0, 5), st.text("ab", min_size=20, max_size=20)), max_size=40), most=st.integers(1, 30), long=st.booleans())
 def test_ranges_of_the_suffix_order(rows, most, long):
